@@ -40,7 +40,11 @@ def gff_attributes(x: Column) -> Column:
 
 def attribute_values(attributes: Column, *keys: str) -> Column:
     """All values of the keys, in the order of keys."""
-    return reduce(F.concat, [F.flatten(F.transform(F.filter(attributes, lambda a, k=k: a["key"] == k), lambda a: a["values"])) for k in keys])
+
+    def of(key: str) -> Column:
+        return F.flatten(F.transform(F.filter(attributes, lambda a: a["key"] == key), lambda a: a["values"]))
+
+    return reduce(F.concat, map(of, keys))
 
 
 def first_attribute(attributes: Column, *keys: str) -> Column:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import archive_queries, graph_queries, index_queries, stream_queries, walk_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (archive_queries, walk_queries, graph_queries, index_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}

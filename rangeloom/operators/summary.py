@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Above any genome: 4^20 base bins.
+MOST_LEVELS = 20
 COUNTERS = ("covered_bases", "tile_count", "encoded_bytes", "decoded_bytes", "node_records")
 
 
@@ -22,7 +24,7 @@ def pyramid(base: DataFrame, span: int, factor: int = 4) -> DataFrame:
     as many ancestors as levels, the logarithm of the manifest's length.
     """
     ends = base.groupBy("manifest_id").agg(F.min("bin_start").alias("lo"), F.max("bin_start").alias("hi"))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda x: x)
+    levels = F.sequence(F.lit(0), F.lit(MOST_LEVELS))
     width = lambda x: F.lit(span) * F.pow(F.lit(factor), x).cast("long")
     single = F.filter(levels, lambda x: F.floor(F.col("lo") / width(x)) == F.floor(F.col("hi") / width(x)))
     tops = ends.select("manifest_id", F.element_at(single, 1).alias("top"))
