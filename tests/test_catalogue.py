@@ -2,10 +2,9 @@
 
 import pytest
 
-from rangeloom.jobs import catalogue
+from helpers import DATA, assert_matches, rows_of
 
-from conftest import DATA
-from helpers import assert_matches, rows_of
+from rangeloom.jobs import catalogue
 
 SQL = catalogue.oracle_sql()
 
