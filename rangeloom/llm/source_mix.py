@@ -87,15 +87,17 @@ def mix_plan(
     max_epochs: int = 3,
     seed: int = 0,
     slices: int = 1024,
-    keep: Sequence[str] = (),
+    carry: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted), whole, part.
 
-    `part` is the words of the partial repetition. `keep` names further columns of docs to carry along.
+    `part` is the words of the partial repetition. carry: adds the whole row of docs as a struct `row`.
     """
     sized = materialize(size_documents(docs, seed), "mix-sizes")
     sources = fill_sources(sized, weights, max_epochs, slices)
-    rows = sized if not keep else docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_hash(seed, F.col("doc_id")).alias("mark"), *keep)
+    rows = sized
+    if carry:
+        rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_hash(seed, F.col("doc_id")).alias("mark"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     d, s = rows.alias("d"), sources.alias("s")
     joined = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *[F.col(f"s.{c}") for c in sources.columns if c != "source"])
     here = _slice(F.col("mark"), slices)
@@ -107,7 +109,7 @@ def mix_plan(
         .withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("extra") - F.col("edge_below") - (F.sum("size").over(walk) - F.col("size")))))
     )
     out = clear.unionByName(edge).withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "whole", "part", *keep)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "whole", "part", *["row"] * carry)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -116,13 +118,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     A partial repetition holds the first `part` words of its text, joined by blanks. Documents without
     words carry nothing to mix and are not repeated. `n_chars`, if there is one, follows the text.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    plan = mix_plan(docs, keep=rest, **options)
+    plan = mix_plan(docs, carry=True, **options)
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("whole"), F.lit(0).cast("long")) + 1)))
     last = F.col("copy") > F.col("whole")
     cut = last & (F.col("part") < F.col("size"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("part").cast("int")), " ")
-    copies = copies.where((F.col("size") > 0) & (~last | (F.col("part") > 0))).withColumn("text", F.when(cut, head).otherwise(F.col("text")))
-    if "n_chars" in rest:
-        copies = copies.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return copies.select(docs.columns)
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("part").cast("int")), " ")
+    copies = copies.where((F.col("size") > 0) & (~last | (F.col("part") > 0))).withColumn("head", F.when(cut, head))
+    new = {"text": F.coalesce("head", "row.text"), "n_chars": F.coalesce(F.length("head").cast("long"), "row.n_chars") if "n_chars" in docs.columns else None}
+    return copies.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
