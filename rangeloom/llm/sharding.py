@@ -9,8 +9,8 @@ bundles. A bucket holds about `bucket_groups` groups and a bundle `bundle_bucket
 has a bounded share; the last step sees one row of k numbers for `bucket_groups * bundle_buckets` groups.
 
 Groups too large for their bucket to make up for, giants, are differenced by themselves. The imbalance
-they leave is handed to the buckets in equal shares as one more partial partition, so that the buckets fill
-what the giants left; bucket parts are then tied to shards and need no further combination.
+they leave is handed in equal shares, as one more partial partition, to as many buckets as it takes to fill
+it. Those buckets and the giants then count as one partial partition among the other buckets'.
 
 Spreads shrink at every combination, so the final byte counts differ by far less than one group unless a
 single group outweighs the average shard.
@@ -79,17 +79,20 @@ def difference(parts: np.ndarray) -> np.ndarray:
     return into
 
 
-def _within_bucket(shards: int, lean: np.ndarray):
-    """lean[s]: bytes of giants in shard s, as the bucket's share; the bucket's parts then make up for them."""
+def _within_bucket(shards: int, lean: np.ndarray, tied: int):
+    """The first `tied` buckets make up for the giants: they share lean[s], the bytes of giants in part s, and their
+    parts are named as the giants' are. They leave as bucket -1, the giants' own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group", kind="stable")
+        bucket = int(pdf["bucket"].iloc[0])
         parts = np.zeros((len(pdf) + 1, shards), np.int64)
         parts[:-1, 0] = pdf["bytes"]
-        parts[-1] = lean
+        if bucket < tied:
+            parts[-1] = lean // tied
         into = difference(parts)
-        shard_of = np.argsort(into[-1])  # a part is named by the slot of `lean` that it holds
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "group": pdf["group"].to_numpy(), "part": shard_of[into[:-1, 0]].astype(np.int32), "bytes": pdf["bytes"].to_numpy()})
+        named = np.argsort(into[-1])  # a part is named by the slot of `lean` that it holds
+        return pd.DataFrame({"bucket": np.int32(-1 if bucket < tied else bucket), "group": pdf["group"].to_numpy(), "part": named[into[:-1, 0]].astype(np.int32), "bytes": pdf["bytes"].to_numpy()})
 
     return run
 
@@ -99,7 +102,7 @@ def _giants(shards: int):
         pdf = pdf.sort_values("group", kind="stable")
         parts = np.zeros((len(pdf), shards), np.int64)
         parts[:, 0] = pdf["bytes"]
-        return pd.DataFrame({"group": pdf["group"].to_numpy(), "bytes": pdf["bytes"].to_numpy(), "shard": difference(parts)[:, 0].astype(np.int32)})
+        return pd.DataFrame({"group": pdf["group"].to_numpy(), "bytes": pdf["bytes"].to_numpy(), "part": difference(parts)[:, 0].astype(np.int32)})
 
     return run
 
@@ -121,23 +124,22 @@ def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GR
     n_buckets = max(1, -(-n // bucket_groups))
     # A group above half of what a bucket has for a shard is a giant: at most 2 * shards of them a bucket.
     limit = total // (2 * shards * n_buckets) if n_buckets > 1 else total
-    giants = materialize(groups.where(F.col("bytes") > limit).groupBy(F.lit(0).alias("all")).applyInPandas(_giants(shards), "group binary, bytes long, shard int"), "shard-giants")
+    giants = materialize(groups.where(F.col("bytes") > limit).groupBy(F.lit(0).alias("all")).applyInPandas(_giants(shards), "group binary, bytes long, part int"), "shard-giants")
     lean = np.zeros(shards, np.int64)
-    for r in giants.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # a row a shard
-        lean[r["shard"]] = r["bytes"]
-    lean = (lean - lean.min()) // n_buckets
+    for r in giants.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect():  # a row a shard
+        lean[r["part"]] = r["bytes"]
+    lean -= lean.min()
+    tied = min(n_buckets, -(-int(lean.max()) // max(1, limit)))
     dealt = groups.where(F.col("bytes") <= limit).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(n_buckets)).cast("int"))
-    low = materialize(dealt.groupBy("bucket").applyInPandas(_within_bucket(shards, lean), "bucket int, group binary, part int, bytes long"), "shard-buckets")
-    placed = giants.select("group", "shard")
-    if lean.any() or n_buckets == 1:  # parts are named by shard
-        return placed.unionByName(low.select("group", F.col("part").alias("shard")))
-    by_bucket = materialize(low.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).withColumn("bundle", F.floor(F.col("bucket") / bundle_buckets).cast("int")), "shard-sums")
-    mid = by_bucket.groupBy("bundle").applyInPandas(_combine("bucket", shards), "bucket int, part int, into int")
-    mid = materialize(mid.withColumn("bundle", F.floor(F.col("bucket") / bundle_buckets).cast("int")), "shard-bundles")
+    low = dealt.groupBy("bucket").applyInPandas(_within_bucket(shards, lean, tied), "bucket int, group binary, part int, bytes long")
+    low = materialize(low.unionByName(giants.select(F.lit(-1).alias("bucket"), "group", "part", "bytes")), "shard-buckets")
+    bundle = F.floor(F.col("bucket") / bundle_buckets).cast("int").alias("bundle")
+    by_bucket = materialize(low.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")), "shard-sums").select("*", bundle)
+    mid = materialize(by_bucket.groupBy("bundle").applyInPandas(_combine("bucket", shards), "bucket int, part int, into int"), "shard-bundles").select("*", bundle)
     by_bundle = by_bucket.join(mid.drop("bundle"), ["bucket", "part"]).groupBy("bundle", F.col("into").alias("part")).agg(F.sum("bytes").alias("bytes"))
     top = by_bundle.groupBy(F.lit(0).alias("all")).applyInPandas(_combine("bundle", shards), "bundle int, part int, into int").withColumnRenamed("into", "shard")
     where = materialize(mid.join(top.withColumnRenamed("part", "into"), ["bundle", "into"]).select("bucket", "part", "shard"), "shard-map")
-    return placed.unionByName(low.join(where, ["bucket", "part"]).select("group", "shard"))
+    return low.join(where, ["bucket", "part"]).select("group", "shard")
 
 
 def number_within(rows: DataFrame, key: str, by: list[str], slices: int = 256) -> DataFrame:
