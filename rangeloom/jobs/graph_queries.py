@@ -15,10 +15,12 @@ from . import sql as S
 CONTEXT = 30
 
 
-def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of the reference paths, and of the order paths between nearby parts."""
+def graph_edges(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
+    """Edges of the reference paths, and of the order paths between nearby parts. every: of the whole order paths."""
     ref = T.reference_walk(spark, sf).select(F.col("contig").alias("path_id"), "ord", "handle")
-    alt = graph.canonical_edges(T.order_walks(spark, sf)).where(F.abs(H.node_of(F.col("from_handle")) - H.node_of(F.col("to_handle"))) <= 40)
+    alt = graph.canonical_edges(T.order_walks(spark, sf))
+    if not every:
+        alt = alt.where(F.abs(H.node_of(F.col("from_handle")) - H.node_of(F.col("to_handle"))) <= 40)
     return graph.canonical_edges(ref).union(alt).distinct()
 
 
@@ -26,35 +28,42 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.reference_visits(T.reference_walk(spark, sf))
 
 
-def _context(spark: SparkSession, sf: str) -> DataFrame:
-    queries = T.region_queries(spark, sf).where(F.col("query_id") % 10 == 0).withColumnRenamed("query_id", "key")
+def _regions(spark: SparkSession, sf: str, every: bool) -> DataFrame:
+    """Every supplier's region, spread over the contigs; else the tenth of the regions that the recursive SQL can answer."""
+    return T.spread_queries(spark, sf) if every else T.region_queries(spark, sf).where(F.col("query_id") % 10 == 0)
+
+
+def _context(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    queries = _regions(spark, sf, every).withColumnRenamed("query_id", "key")
     seeds = graph.context_seeds(queries, _visits(spark, sf))
-    return graph.expand_context(seeds, T.nodes(spark, sf), graph_edges(spark, sf), CONTEXT)
+    return graph.expand_context(seeds, T.nodes(spark, sf), graph_edges(spark, sf, every=every), CONTEXT)
 
 
-def context_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _context(spark, sf).select(F.col("key").alias("query_id"), "node_id", F.col("side").cast("int").alias("side"), "distance")
+def context_nodes(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
+    return _context(spark, sf, every).select(F.col("key").alias("query_id"), "node_id", F.col("side").cast("int").alias("side"), "distance")
 
 
-def region_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    held = _context(spark, sf).select(F.col("key").alias("query_id"), "node_id").distinct().join(T.nodes(spark, sf), "node_id")
+def region_nodes(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
+    held = _context(spark, sf, every).select(F.col("key").alias("query_id"), "node_id").distinct().join(T.nodes(spark, sf), "node_id")
     return held.select("query_id", "node_id", "seq")
 
 
-def region_edges(spark: SparkSession, sf: str) -> DataFrame:
+def region_edges(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
     """Edges with both ends among a query's nodes: the node list of a query meets the edges twice."""
-    nodes = materialize(_context(spark, sf).select("key", "node_id").distinct(), "region-nodes")
-    edges = graph_edges(spark, sf).withColumn("_f", H.node_of(F.col("from_handle"))).withColumn("_t", H.node_of(F.col("to_handle")))
+    nodes = materialize(_context(spark, sf, every).select("key", "node_id").distinct(), "region-nodes")
+    edges = graph_edges(spark, sf, every=every).withColumn("_f", H.node_of(F.col("from_handle"))).withColumn("_t", H.node_of(F.col("to_handle")))
     out = nodes.withColumnRenamed("node_id", "_f").join(edges, "_f").join(nodes.withColumnRenamed("node_id", "_t"), ["key", "_t"], "left_semi")
     return out.select(F.col("key").alias("query_id"), "from_handle", "to_handle")
 
 
-def region_walk(spark: SparkSession, sf: str) -> DataFrame:
+def region_walk(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
     """The reference visits of each query: its core, grown outwards while the neighbours are in the context."""
-    queries = T.region_queries(spark, sf).where(F.col("query_id") % 10 == 0).select(F.col("query_id").alias("key"), "contig", "q_start", "q_end")
-    nodes = _context(spark, sf).select("key", "node_id").distinct().withColumn("selected", F.lit(True))
+    queries = _regions(spark, sf, every).select(F.col("query_id").alias("key"), "contig", "q_start", "q_end")
+    nodes = _context(spark, sf, every).select("key", "node_id").distinct().withColumn("selected", F.lit(True))
     v = _visits(spark, sf)
-    near = queries.join(v, "contig").where((F.col("start") < F.col("q_end") + 4 * CONTEXT) & (F.col("end") > F.col("q_start") - 4 * CONTEXT))
+    near = queries.join(v, "contig")
+    if not every:  # through order edges the context may hold visits far from the core
+        near = near.where((F.col("start") < F.col("q_end") + 4 * CONTEXT) & (F.col("end") > F.col("q_start") - 4 * CONTEXT))
     marked = near.withColumn("core", (F.col("start") < F.col("q_end")) & (F.col("end") > F.col("q_start"))).join(nodes, ["key", "node_id"], "left")
     marked = marked.withColumn("selected", F.coalesce("selected", F.lit(False)) | F.col("core"))
     walk = graph.extended_core(marked.select("key", "ord", "handle", "start", "end", "core", "selected"))
@@ -79,15 +88,16 @@ def graph_diff(spark: SparkSession, sf: str) -> DataFrame:
     return graph.set_differences(edges("A"), edges("R"), ["from_handle", "to_handle"])
 
 
-def edge_classes(spark: SparkSession, sf: str) -> DataFrame:
+def edge_classes(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
     ref = T.reference_walk(spark, sf).select(F.col("contig").alias("path_id"), "ord", "handle")
-    return graph.edge_classes(graph_edges(spark, sf), graph.canonical_edges(ref), T.reference_walk(spark, sf).where(F.col("seq_len") > 4).select("node_id"))
+    return graph.edge_classes(graph_edges(spark, sf, every=every), graph.canonical_edges(ref), T.reference_walk(spark, sf).where(F.col("seq_len") > 4).select("node_id"))
 
 
-def alt_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of the parts that order paths link closely."""
+def alt_components(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
+    """Components of the parts that order paths link closely. every: of those that they link at all."""
     alt = graph.canonical_edges(T.order_walks(spark, sf)).select(H.node_of(F.col("from_handle")).alias("a"), H.node_of(F.col("to_handle")).alias("b"))
-    return graph.components(alt.where(F.abs(F.col("a") - F.col("b")).between(1, 3))).withColumnRenamed("node", "node_id")
+    apart = F.abs(F.col("a") - F.col("b"))
+    return graph.components(alt.where(apart >= 1 if every else apart.between(1, 3))).withColumnRenamed("node", "node_id")
 
 
 def payload_size(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,6 +134,10 @@ def fragment_islands(spark: SparkSession, sf: str) -> DataFrame:
     return islands(v.select("contig", "start", "end"), ["contig"], "start", "end").groupBy("contig", "island").agg(F.count(F.lit(1)).alias("visits"), (F.max("end") - F.min("start")).alias("bases"))
 
 
+def _every(query):
+    return lambda spark, sf: query(spark, sf, every=True)
+
+
 _KEPT = S.canonical_edge("a", "b")
 
 
@@ -172,4 +186,11 @@ halves AS (SELECT DISTINCT key // 1024 * 1024 AS s, key // 1024 * 1024 + 1024 AS
 sums AS (SELECT h.s, h.e, h.depth, sum(n)::BIGINT AS lines FROM halves h JOIN hits ON key >= s AND key < e GROUP BY ALL)
 SELECT s AS start_key, e AS end_key, depth, lines FROM sums WHERE depth = 4 OR lines <= 6000"""),
     "fragment_islands": (fragment_islands, f"WITH {S.REFERENCE_WALK}, {S.VISITS}, f AS (SELECT contig, s, e FROM visits WHERE seq_len >= 3), {S.islands('f', 'contig', 0)} SELECT contig, island::BIGINT AS island, count(*) AS visits, (max(e) - min(s))::BIGINT AS bases FROM islands GROUP BY contig, island"),
+    # Every region and all order edges. Recursive SQL is too slow for them; tests hold them against brute force.
+    "context_nodes_all": (_every(context_nodes), None),
+    "region_nodes_all": (_every(region_nodes), None),
+    "region_edges_all": (_every(region_edges), None),
+    "region_walk_all": (_every(region_walk), None),
+    "edge_classes_all": (_every(edge_classes), None),
+    "alt_components_all": (_every(alt_components), None),
 }

@@ -61,6 +61,14 @@ def region_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(key.alias("query_id"), F.lit("REF").alias("sample"), brand.alias("contig"), start.alias("q_start"), (start + 1 + F.pmod(key * 13, F.lit(200))).cast("long").alias("q_end"))
 
 
+def spread_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region_queries with q_start spread over the real length of each contig, so regions grow with the references."""
+    q, m = region_queries(spark, sf_dir), manifests(spark, sf_dir).select("contig", "start", "end")
+    start = F.col("start") + F.pmod(F.col("query_id") * 7919, F.col("end") - F.col("start"))
+    held = q.join(F.broadcast(m), "contig").withColumn("_size", F.col("q_end") - F.col("q_start")).withColumn("q_start", start)
+    return held.select("query_id", "sample", "contig", "q_start", (F.col("q_start") + F.col("_size")).alias("q_end"))
+
+
 def order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path_id, ord, handle, node_id: the parts of each order, reversed where the line's status is F."""
     line = read(spark, sf_dir, "lineitem")
