@@ -15,24 +15,29 @@ def _folder(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return tiles.event_stream(spark, f"{sf}/events.parquet")
+def _path(sf: str) -> str:
+    return f"{sf}/events.parquet"
 
 
 def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by window and type, as an update stream whose last version of each window counts."""
-    return tiles.run_upserts(tiles.tumbling_counts(_events(spark, sf), late="60 days"), ["window_start", "event_type"], _folder(spark), "summary")
+    counts = tiles.tumbling_counts(tiles.event_stream(spark, _path(sf)), late=tiles.whole_span(spark, _path(sf)))
+    return tiles.run_upserts(counts, ["window_start", "event_type"], _folder(spark), "summary")
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed sessions: those that end a day or more before the last event are written."""
-    done = tiles.run_to_table(tiles.sessions(_events(spark, sf)), _folder(spark), "sessions")
+    """Closed sessions: those that end a day or more before the last event are written.
+
+    The watermark says what is closed, so it can't wait for files out of order: they come as one micro-batch.
+    """
+    done = tiles.run_to_table(tiles.sessions(tiles.event_stream(spark, _path(sf), None)), _folder(spark), "sessions")
     return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("longest"))
 
 
 def stream_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct events passed through, then counted by tile."""
-    passed = tiles.run_to_table(tiles.distinct_events(_events(spark, sf)).select("event_id", "event_type", F.unix_micros("time").alias("us")), _folder(spark), "events")
+    events = tiles.distinct_events(tiles.event_stream(spark, _path(sf)), late=tiles.whole_span(spark, _path(sf)))
+    passed = tiles.run_to_table(events.select("event_id", "event_type", F.unix_micros("time").alias("us")), _folder(spark), "events")
     return passed.groupBy(F.floor(F.col("us") / 21_600_000_000).alias("tile_id"), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream of an events table, one file or a folder of them; the schema is that of the files."""
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A file stream of an events table, one file or a folder of them; the schema is that of the files.
+
+    Without files_per_trigger the files that are there make one micro-batch, so none of their rows is late.
+    """
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file is a legal source
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(pattern)
+
+
+def whole_span(spark: SparkSession, path: str) -> str:
+    """A lateness that no row of the table exceeds, in whatever order its files come."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = spark.read.parquet(path).agg(F.max(us) - F.min(us)).first()[0] or 0
+    return f"{span // 1_000_000 + 86_400} seconds"
 
 
 def tumbling_counts(events: DataFrame, *, window: str = "6 hours", late: str = "1 day") -> DataFrame:
