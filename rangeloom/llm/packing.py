@@ -38,7 +38,7 @@ PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 def _cut(vocabulary: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

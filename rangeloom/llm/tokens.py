@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import public_tokenizers
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, added: bool = False):
     """Encodes a text to ids; `vocabulary` names a file of public_tokenizers.
 
     The .json vocabulary is loaded through its .tiktoken twin where there is one: same ids, several times
-    faster. Special tokens' strings are ordinary text.
+    faster. added: the strings of its added tokens, as `<|endoftext|>`, become those tokens wherever they stand,
+    as the vocabulary says; else they are ordinary text.
     """
     stem, _, kind = vocabulary.rpartition(".")
     if kind == "json" and stem == "byte_bpe_50k":
@@ -21,10 +23,12 @@ def encoder(vocabulary: str):
 
         with open(public_tokenizers.path(f"{stem}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        fast = tiktoken.Encoding(stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return fast.encode_ordinary
+        with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+            strings = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        fast = tiktoken.Encoding(stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=strings)
+        return (lambda text: fast.encode(text, allowed_special="all")) if added else fast.encode_ordinary
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = not added
     return lambda text: slow.encode(text, add_special_tokens=False).ids
