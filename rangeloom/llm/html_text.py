@@ -1,11 +1,12 @@
 """Main text of web pages: structural rules, and removal of subtrees that a host's pages share.
 
 Pass 1 parses every page and emits, for its host, hashes of its block subtrees. Spark counts per host in how
-many different pages each hash occurs (pages with equal text count once, so copies of an article do not make
-it a template). A subtree found in at least `share` of a host's different pages, and in at least `min_pages`,
+many different pages each hash occurs (pages with equal main text count once, so copies of an article do not make
+it a template, whatever menus and adverts they have). A subtree found in at least `share` of a host's different pages, and in at least `min_pages`,
 is a template. Pass 2 parses again and drops, from each page,
 
-* elements that are never text: scripts, styles, forms, menus and so on, by tag, role, class or id;
+* elements that are never text: scripts, styles, forms, menus and so on, by tag, role, class or id (but never
+  one that holds the page's main element or longest article or, where there is none, most of its text);
 * template subtrees of its host;
 
 then takes the article: the elements marked as article body, else `article`, else `main`, else the body.
@@ -48,6 +49,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser teasers widget widgets pagination pager toolbar copyright disclaimer skip hidden".split()
 )
+#: Words that may stand beside them in one class or id: `ad-slot` is an advert, `has-sidebar` is no sidebar.
+LAYOUT_WORDS = frozenset("area bar block body bottom box button buttons center col column container content form group header holder icon icons inner item items layer left link links list main message outer page panel post posts region right row section site slot small space text title top unit wrap wrapper x".split())
 KEEP_TAGS = frozenset("html body main article".split())
 #: Subtrees that are hashed.
 HASHED = frozenset("div section p ul ol dl table blockquote figure header footer nav aside form h1 h2 h3 h4 h5 h6 details main pre address span li".split())
@@ -124,7 +127,46 @@ def parse(source: str) -> Element:
     return root
 
 
-def is_boilerplate(node: Element, in_article: bool) -> bool:
+def _is_main(node: Element) -> bool:
+    return node.tag == "main" or "main" in node.attrs and node.attributes().get("role") == "main" or "articleBody" in node.attrs and node.attributes().get("itemprop") == "articleBody"
+
+
+def kept_elements(root: Element) -> frozenset[int]:
+    """Elements that no rule drops: those that hold a main element or article body, else the longest article, else most of the text."""
+    order: list[tuple[Element, int]] = [(root, -1)]
+    sizes: list[int] = []
+    for i, (node, _) in enumerate(order):  # order grows meanwhile
+        sizes.append(0)
+        for child in node.children:
+            if isinstance(child, str):
+                sizes[i] += len(child.strip())
+            else:
+                order.append((child, i))
+    for i in range(len(order) - 1, 0, -1):
+        node, parent = order[i]
+        if node.tag not in DROP_TAGS or node.tag == "form":
+            sizes[parent] += sizes[i]
+    held = [i for i, (node, _) in enumerate(order) if _is_main(node)] or sorted((i for i, (node, _) in enumerate(order) if node.tag == "article"), key=lambda i: -sizes[i])[:1]
+    if not held:
+        return frozenset(id(node) for (node, _), n in zip(order, sizes, strict=True) if 2 * n > sizes[0] and (node.tag not in DROP_TAGS or node.tag == "form"))
+    kept = set()
+    for i in held:
+        while i >= 0 and id(order[i][0]) not in kept:
+            kept.add(id(order[i][0]))
+            i = order[i][1]
+    return frozenset(kept)
+
+
+def _names_boilerplate(names: str, in_article: bool) -> bool:
+    """Whether a class or id, taken as a whole, names what is not the article."""
+    parts = {w.lower() for w in NAME_PART.findall(names)}
+    marks = DROP_WORDS if in_article else DROP_WORDS | {"header"}
+    return bool(parts & marks) and parts <= marks | LAYOUT_WORDS
+
+
+def is_boilerplate(node: Element, in_article: bool, kept: frozenset[int] = frozenset()) -> bool:
+    if id(node) in kept:
+        return False
     tag = node.tag
     if tag in KEEP_TAGS and tag != "article":
         return False
@@ -139,39 +181,39 @@ def is_boilerplate(node: Element, in_article: bool) -> bool:
     attrs = node.attributes()
     if attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    names = {w.lower() for w in NAME_PART.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    return bool(names & DROP_WORDS) or (not in_article and "header" in names)
+    return any(_names_boilerplate(names, in_article) for names in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
 
 
-def _text_into(node: Element, out: list[str], drop: frozenset[int], in_article: bool, headings_only: bool = False) -> None:
+def _text_into(node: Element, out: list[str], drop: frozenset[int], kept: frozenset[int], in_article: bool, headings_only: bool = False) -> None:
     for child in node.children:
         if isinstance(child, str):
             if not headings_only:
                 out.append(html.unescape(child))
             continue
-        if is_boilerplate(child, in_article) or id(child) in drop:
+        if is_boilerplate(child, in_article, kept) or id(child) in drop:
             continue
         gap = child.tag in BLOCK
         if gap:
             out.append(" ")
-        only = headings_only and child.tag not in HEADINGS or child.tag == "header"
-        _text_into(child, out, drop, in_article or child.tag == "article", only)
+        only = id(child) not in kept and (headings_only and child.tag not in HEADINGS or child.tag == "header")
+        _text_into(child, out, drop, kept, in_article or child.tag == "article", only)
         if gap:
             out.append(" ")
 
 
-def _find(node: Element, wanted, drop: frozenset[int], out: list[Element]) -> None:
+def _find(node: Element, wanted, drop: frozenset[int], kept: frozenset[int], out: list[Element]) -> None:
     for child in node.children:
-        if isinstance(child, str) or is_boilerplate(child, False) and child.tag != "article" or id(child) in drop:
+        if isinstance(child, str) or is_boilerplate(child, False, kept) and child.tag != "article" or id(child) in drop:
             continue
         if wanted(child):
-            if not is_boilerplate(child, True):
+            if not is_boilerplate(child, True, kept):
                 out.append(child)
         else:
-            _find(child, wanted, drop, out)
+            _find(child, wanted, drop, kept, out)
 
 
 def main_text(root: Element, drop: frozenset[int] = frozenset()) -> str:
+    kept = kept_elements(root)
     for wanted in (
         lambda n: "articleBody" in n.attrs and n.attributes().get("itemprop") == "articleBody",
         lambda n: n.tag == "article",
@@ -180,14 +222,14 @@ def main_text(root: Element, drop: frozenset[int] = frozenset()) -> str:
         lambda n: n.tag == "#root",
     ):
         found: list[Element] = []
-        _find(root, wanted, drop, found)
+        _find(root, wanted, drop, kept, found)
         if wanted(root):
             found = [root]
         if found:
             out: list[str] = []
             for node in found:
                 out.append(" ")
-                _text_into(node, out, drop, node.tag in ("article", "main"))
+                _text_into(node, out, drop, kept, node.tag in ("article", "main"))
             text = " ".join("".join(out).split())
             if text or found == [root]:
                 return text
@@ -233,8 +275,9 @@ def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, hashes = [], []
         for source in batch.column("html").to_pylist():
             found: list[tuple[int, int, Element]] = []
-            key, _ = subtree_hashes(parse(source or ""), found)
-            keys.append(_signed(key))
+            root = parse(source or "")
+            subtree_hashes(root, found)
+            keys.append(_signed(xxhash.xxh64_intdigest(main_text(root).encode("utf-8", "surrogatepass"))))
             hashes.append(sorted({_signed(h) for h, _, _ in found}))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page_key", "hashes"])
 
@@ -242,9 +285,11 @@ def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 10) -> DataFrame:
     """host, templates: hashes of the subtrees that recur across a host's pages. At most (subtrees a page) / share of them a host."""
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_emit_hashes, "host string, page_key long, hashes array<long>")
-    different = materialize(seen.groupBy("host", "page_key").agg(F.first("hashes").alias("hashes")), "page-hashes")
-    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    counts = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    seen = materialize(seen, "page-hashes")
+    sizes = seen.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    # Copies of a page have one key but may have blocks of their own.
+    held = seen.select("host", "page_key", F.explode("hashes").alias("hash")).distinct()
+    counts = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     return counts.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
