@@ -112,17 +112,22 @@ def mix_plan(
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "whole", "part", *["row"] * carry)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, cut: bool = True, **options) -> DataFrame:
     """The mixed corpus: docs with a row for each repetition.
 
-    A partial repetition holds the first `part` words of its text, joined by blanks. Documents without
+    A partial repetition holds the first `part` words of its text, joined by blanks. cut=False: it holds the whole
+    text if half its words or more are due or no other copy of it is taken, and else is left out, so a source's words
+    are within a document of its target and no text is shortened. Documents without
     words carry nothing to mix and are not repeated. `n_chars`, if there is one, follows the text.
     """
     plan = mix_plan(docs, carry=True, **options)
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("whole"), F.lit(0).cast("long")) + 1)))
     last = F.col("copy") > F.col("whole")
-    cut = last & (F.col("part") < F.col("size"))
+    if not cut:
+        due = (2 * F.col("part") >= F.col("size")) | ((F.col("whole") == 0) & (F.col("part") > 0))
+        copies = copies.withColumn("part", F.when(due, F.col("size")).otherwise(F.lit(0).cast("long")))
+    shortened = last & (F.col("part") < F.col("size"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD_PATTERN), F.lit(0)), 1, F.col("part").cast("int")), " ")
-    copies = copies.where((F.col("size") > 0) & (~last | (F.col("part") > 0))).withColumn("head", F.when(cut, head))
+    copies = copies.where((F.col("size") > 0) & (~last | (F.col("part") > 0))).withColumn("head", F.when(shortened, head))
     new = {"text": F.coalesce("head", "row.text"), "n_chars": F.coalesce(F.length("head").cast("long"), "row.n_chars") if "n_chars" in docs.columns else None}
     return copies.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
