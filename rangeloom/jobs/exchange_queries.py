@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, intervals, lanes, summary
+from ..operators import graph, intervals, lanes, measures, summary
 from ..sources import payload
 from ..sources import tables as T
 from . import sql as S
@@ -20,7 +20,8 @@ def _ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def id_codec_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of the varint coding of each part's order ids."""
-    return payload.pack_ids(_ids(spark, sf), "key", "ids").select("key", F.col("ulen").alias("bytes"))
+    line = T.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("id"))
+    return measures.id_runs(line, ["key"], "id").select("key", F.col("delta_bytes").alias("bytes"))
 
 
 def id_codec_round_trip(spark: SparkSession, sf: str) -> DataFrame:
