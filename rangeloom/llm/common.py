@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -57,12 +56,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are out of use; it does so when their objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def extended(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema with further columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])

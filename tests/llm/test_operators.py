@@ -258,9 +258,11 @@ def near_copy(rng, text, changes):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("block", [64, 3])
-def test_jaccard_join_against_brute_force(make_docs, rng, monkeypatch, block):
+@pytest.mark.parametrize(("block", "piece"), [(64, 2048), (3, 7)])
+def test_jaccard_join_against_brute_force(make_docs, rng, monkeypatch, block, piece):
+    """Also with families of many pieces, whose near copies lie on both sides of the threshold."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "PIECE_SETS", piece)
     base = [words(rng, n) for n in (5, 8, 30, 120, 300)]
     passage = words(rng, 60)
     texts = [near_copy(rng, rng.choice(base), rng.randrange(0, 9)) for _ in range(70)]
