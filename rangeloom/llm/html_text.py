@@ -1,17 +1,21 @@
-"""Main text of web pages: structural rules, and removal of subtrees that a host's pages share.
+"""Main text of web pages: removal of subtrees that a host's pages share, and a few structural rules.
 
-Pass 1 parses every page and emits, for its host, hashes of its block subtrees. Spark counts per host in how
-many different pages each hash occurs (pages with equal main text count once, so copies of an article do not make
-it a template, whatever menus and adverts they have). A subtree found in at least `share` of a host's different pages, and in at least `min_pages`,
-is a template. Pass 2 parses again and drops, from each page,
+Pass 1 parses every page and emits, for its host, hashes of its block subtrees (tags, attributes and text), apart
+for those inside the page's main element and those beside it. The main element is what is marked as article body or
+main, else the longest article, else what holds most of the text. Spark counts per host in how many different pages
+each hash occurs (pages with equal main text count once, so copies of an article do not make it a template, whatever
+menus and adverts they have). Beside the main element a subtree is a template from `beside_pages` different pages
+and a share of `beside_share` of the host's on; inside it, where near copies of an article share paragraphs, only
+from `min_pages` and `share` on. Pass 2 parses again, takes out the host's template subtrees and
 
-* elements that are never text: scripts, styles, forms, menus and so on, by tag, role, class or id (but never
-  one that holds the page's main element or longest article or, where there is none, most of its text);
-* template subtrees of its host;
+* elements that are never text: scripts, styles, forms, menus and so on, by tag, role, or a class or id that as a
+  whole names what is not the article (never one that holds the main element; within an article, paragraphs,
+  headings, lists and the like go only under a plain name such as `ad`);
 
 then takes the article: the elements marked as article body, else `article`, else `main`, else the body.
 
-Text is decoded; white space within the text becomes one blank; blocks are joined by one blank.
+Text is decoded; white space within the text becomes one blank; blocks are joined by one blank. Pages are walked
+without recursion, so the depth of nesting has no bound.
 
 Cases: null html is an empty page; a null or odd url belongs to the host ''; broken markup is closed as
 browsers do; a page without text gives ''; repeated rows are pages of their own, counted once as templates;
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +57,11 @@ DROP_WORDS = frozenset(
 #: Words that may stand beside them in one class or id: `ad-slot` is an advert, `has-sidebar` is no sidebar.
 LAYOUT_WORDS = frozenset("area bar block body bottom box button buttons center col column container content form group header holder icon icons inner item items layer left link links list main message outer page panel post posts region right row section site slot small space text title top unit wrap wrapper x".split())
 KEEP_TAGS = frozenset("html body main article".split())
+#: Elements that hold the whole page.
+FRAME = frozenset("#root html body".split())
+#: In an article a class or id drops one of these only if it is one of the plain names.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th tr table figure span a b i em strong code".split())
+PLAIN_NAMES = frozenset("ad ads advert advertisement advertisements advertising adsense sponsored promo comment comments cookie-notice newsletter breadcrumb breadcrumbs".split())
 #: Subtrees that are hashed.
 HASHED = frozenset("div section p ul ol dl table blockquote figure header footer nav aside form h1 h2 h3 h4 h5 h6 details main pre address span li".split())
 
@@ -76,12 +86,19 @@ class Element:
 def parse(source: str) -> Element:
     root = Element("#root", "")
     stack = [root]
+    is_open: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
     at, end = 0, len(source)
 
+    def close_from(i: int) -> None:
+        is_open.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     def close_to(tags: tuple[str, ...], scope: frozenset[str]) -> None:
+        if not any(is_open[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                close_from(i)
                 return
             if stack[i].tag in scope:
                 return
@@ -99,10 +116,10 @@ def parse(source: str) -> Element:
             closing = closing.lower()
             if closing == "br":
                 stack[-1].children.append(Element("br", ""))
-            elif closing not in VOID:
+            elif is_open[closing]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == closing:
-                        del stack[i:]
+                        close_from(i)
                         break
                     if closing not in BLOCK and stack[i].tag in BLOCK:
                         break  # a stray inline end tag
@@ -124,6 +141,7 @@ def parse(source: str) -> Element:
                 at = close.end() if close else end
             elif tag not in VOID and not (attrs or "").endswith("/") or tag in BLOCK - VOID:
                 stack.append(node)
+                is_open[tag] += 1
     return root
 
 
@@ -181,39 +199,51 @@ def is_boilerplate(node: Element, in_article: bool, kept: frozenset[int] = froze
     attrs = node.attributes()
     if attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    return any(_names_boilerplate(names, in_article) for names in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    if tag in PROSE and in_article:
+        return any(name.lower() in PLAIN_NAMES for name in names)
+    return any(_names_boilerplate(name, in_article) for name in names)
 
 
-def _text_into(node: Element, out: list[str], drop: frozenset[int], kept: frozenset[int], in_article: bool, headings_only: bool = False) -> None:
-    for child in node.children:
+def _text_into(top: Element, out: list[str], drop: frozenset[int], kept: frozenset[int], in_article: bool) -> None:
+    """Appends the text below `top`, in order, without what is dropped. Of a header only headings count."""
+    todo: list[tuple[Element | str, bool, bool]] = [(c, in_article, False) for c in reversed(top.children)]
+    while todo:
+        child, inside, headings_only = todo.pop()
         if isinstance(child, str):
             if not headings_only:
                 out.append(html.unescape(child))
             continue
-        if is_boilerplate(child, in_article, kept) or id(child) in drop:
+        if not child.tag:  # the end of a block
+            out.append(" ")
+            continue
+        if is_boilerplate(child, inside, kept) or id(child) in drop:
             continue
-        gap = child.tag in BLOCK
-        if gap:
+        if child.tag in BLOCK:
             out.append(" ")
+            todo.append((_END, inside, False))
         only = id(child) not in kept and (headings_only and child.tag not in HEADINGS or child.tag == "header")
-        _text_into(child, out, drop, kept, in_article or child.tag == "article", only)
-        if gap:
-            out.append(" ")
+        todo += [(c, inside or child.tag == "article", only) for c in reversed(child.children)]
+
 
+_END = Element("", "")
 
-def _find(node: Element, wanted, drop: frozenset[int], kept: frozenset[int], out: list[Element]) -> None:
-    for child in node.children:
+
+def _find(top: Element, wanted, drop: frozenset[int], kept: frozenset[int], out: list[Element]) -> None:
+    todo = list(reversed(top.children))
+    while todo:
+        child = todo.pop()
         if isinstance(child, str) or is_boilerplate(child, False, kept) and child.tag != "article" or id(child) in drop:
             continue
         if wanted(child):
             if not is_boilerplate(child, True, kept):
                 out.append(child)
         else:
-            _find(child, wanted, drop, kept, out)
+            todo += reversed(child.children)
 
 
-def main_text(root: Element, drop: frozenset[int] = frozenset()) -> str:
-    kept = kept_elements(root)
+def main_text(root: Element, drop: frozenset[int] = frozenset(), kept: frozenset[int] | None = None) -> str:
+    kept = kept_elements(root) if kept is None else kept
     for wanted in (
         lambda n: "articleBody" in n.attrs and n.attributes().get("itemprop") == "articleBody",
         lambda n: n.tag == "article",
@@ -236,23 +266,38 @@ def main_text(root: Element, drop: frozenset[int] = frozenset()) -> str:
     return ""
 
 
-def subtree_hashes(node: Element, into: list[tuple[int, int, Element]]) -> tuple[int, int]:
-    """(hash, letters of text) of a subtree; `into` gets those of its hashed subtrees with text."""
-    h, size = xxhash.xxh64(node.tag), 0
-    for child in node.children:
-        if isinstance(child, str):
-            text = " ".join(child.split())
-            if text:
-                h.update(b"\x00" + text.encode("utf-8", "surrogatepass"))
-                size += len(text)
-        elif child.tag not in RAW:
-            inner, n = subtree_hashes(child, into)
-            h.update(b"\x01" + inner.to_bytes(8, "little"))
-            size += n
-    value = h.intdigest()
-    if size and node.tag in HASHED:
-        into.append((value, size, node))
-    return value, size
+def subtree_hashes(root: Element, kept: frozenset[int]) -> list[tuple[int, bool, Element]]:
+    """(hash, inside, element) of the page's block subtrees with text; inside: a kept element other than the page's frame holds it.
+
+    The hash covers tags, attributes and text of the whole subtree. Elements kept by their markup are no templates; one
+    kept only as it holds most of the text may be one, and counts as inside.
+    """
+    todo: list[tuple[Element, bool, bool]] = [(root, False, False)]
+    done: dict[int, tuple[bytes, int]] = {}
+    found, marked = [], False
+    while todo:
+        node, inside, entered = todo.pop()
+        if not entered:
+            todo.append((node, inside, True))
+            within = inside or id(node) in kept and node.tag not in FRAME
+            todo += [(c, within, False) for c in node.children if not isinstance(c, str) and c.tag not in RAW]
+            continue
+        h, size = xxhash.xxh64(f"{node.tag} {node.attrs.strip()}".encode("utf-8", "surrogatepass")), 0
+        for child in node.children:
+            if isinstance(child, str):
+                text = " ".join(child.split())
+                if text:
+                    h.update(b"\x00" + text.encode("utf-8", "surrogatepass"))
+                    size += len(text)
+            elif child.tag not in RAW:
+                inner, n = done.pop(id(child))
+                h.update(b"\x01" + inner)
+                size += n
+        done[id(node)] = h.digest(), size
+        marked = marked or id(node) in kept and (node.tag == "article" or _is_main(node))
+        if size and node.tag in HASHED:
+            found.append((_signed(h.intdigest()), inside or id(node) in kept, node))
+    return [x for x in found if id(x[2]) not in kept] if marked else found
 
 
 def _signed(x: int) -> int:
@@ -263,56 +308,67 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _limit_depth() -> None:
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-
-
 def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _limit_depth()
     for batch in batches:
-        keys, hashes = [], []
+        keys, beside, within = [], [], []
         for source in batch.column("html").to_pylist():
-            found: list[tuple[int, int, Element]] = []
             root = parse(source or "")
-            subtree_hashes(root, found)
-            keys.append(_signed(xxhash.xxh64_intdigest(main_text(root).encode("utf-8", "surrogatepass"))))
-            hashes.append(sorted({_signed(h) for h, _, _ in found}))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page_key", "hashes"])
+            kept = kept_elements(root)
+            found = subtree_hashes(root, kept)
+            keys.append(_signed(xxhash.xxh64_intdigest(main_text(root, kept=kept).encode("utf-8", "surrogatepass"))))
+            within.append(sorted({h for h, inside, _ in found if inside}))
+            beside.append(sorted({h for h, inside, _ in found if not inside}))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (beside, within)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), *lists], ["host", "page_key", "beside", "inside"])
 
 
-def site_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 10) -> DataFrame:
-    """host, templates: hashes of the subtrees that recur across a host's pages. At most (subtrees a page) / share of them a host."""
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_emit_hashes, "host string, page_key long, hashes array<long>")
+def site_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 10, beside_share: float = 0.02, beside_pages: int = 3) -> DataFrame:
+    """host, templates, inner: hashes of the subtrees that recur across a host's pages, beside and inside the main element.
+
+    Of either kind there are at most (subtrees a page) / share of them a host.
+    """
+    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_emit_hashes, "host string, page_key long, beside array<long>, inside array<long>")
     seen = materialize(seen, "page-hashes")
-    sizes = seen.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    sizes = seen.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     # Copies of a page have one key but may have blocks of their own.
-    held = seen.select("host", "page_key", F.explode("hashes").alias("hash")).distinct()
-    counts = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    places = F.concat(F.transform("beside", lambda h: F.struct(h.alias("hash"), F.lit(False).alias("inside"))), F.transform("inside", lambda h: F.struct(h.alias("hash"), F.lit(True).alias("inside"))))
+    held = seen.select("host", "page_key", F.inline(places)).distinct()
+    counts = held.groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(min_pages, beside_pages))
+    known = counts.join(sizes, "host").where(
+        F.when(F.col("inside"), (F.col("n") >= min_pages) & (F.col("n") >= share * F.col("n_pages"))).otherwise((F.col("n") >= beside_pages) & (F.col("n") >= beside_share * F.col("n_pages")))
+    )
+    return known.groupBy("host").agg(F.collect_list(F.when(~F.col("inside"), F.col("hash"))).alias("templates"), F.collect_list(F.when(F.col("inside"), F.col("hash"))).alias("inner"))
+
+
+def clean_page(source: str, templates: set[int], inner: set[int]) -> tuple[str, int]:
+    """The main text of a page, and how many template subtrees were taken out of it."""
+    root = parse(source)
+    kept, drop = kept_elements(root), frozenset()
+    if templates or inner:
+        drop = frozenset(id(node) for h, inside, node in subtree_hashes(root, kept) if h in (inner if inside else templates))
+    return main_text(root, drop, kept), len(drop)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _limit_depth()
     for batch in batches:
-        texts = []
-        for source, templates in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True):
-            root, drop = parse(source or ""), frozenset()
-            if templates:
-                known, found = set(templates), []
-                subtree_hashes(root, found)
-                drop = frozenset(id(node) for h, _, node in found if _signed(h) in known)
-            texts.append(main_text(root, drop))
-        columns = {n: batch.column(n) for n in batch.schema.names if n not in ("html", "templates")}
-        columns["text"] = pa.array(texts, pa.string())
+        texts, counts = [], []
+        for source, templates, inner in zip(*[batch.column(c).to_pylist() for c in ("html", "_templates", "_inner")], strict=True):
+            text, n = clean_page(source or "", set(templates or ()), set(inner or ()))
+            texts.append(text)
+            counts.append(n)
+        columns = {n: batch.column(n) for n in batch.schema.names if n not in ("html", "_templates", "_inner")}
+        columns |= {"text": pa.array(texts, pa.string()), "n_templates": pa.array(counts, pa.int64())}
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def extract_text(pages: DataFrame, **options) -> DataFrame:
-    """pages with `html` replaced by `text` (other columns stay; a former `text` is replaced)."""
-    pages = pages.drop("text", "templates")
+    """pages with `html` replaced by `text` and `n_templates`, the subtrees taken out as templates.
+
+    Other columns stay as they are, `_host`, `_templates` and `_inner` excepted; a former `text` or `n_templates` is replaced.
+    """
+    pages = pages.drop("text", "n_templates", "_host", "_templates", "_inner")
     known = materialize(site_templates(pages, **options), "site-templates")
     # A host may own most pages: the join is left to the optimizer, which broadcasts a small list and splits a skewed host.
-    joined = pages.withColumn("_host", host_of(F.col("url"))).join(known.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
-    return joined.mapInArrow(_extract, extended(pages.drop("html"), text="string"))
+    known = known.withColumnsRenamed({"host": "_host", "templates": "_templates", "inner": "_inner"})
+    joined = pages.withColumn("_host", host_of(F.col("url"))).join(known, "_host", "left").drop("_host")
+    return joined.mapInArrow(_extract, extended(pages.drop("html"), text="string", n_templates="long"))

@@ -30,7 +30,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
 
 
 def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
