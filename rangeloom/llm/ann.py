@@ -1,9 +1,12 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a sample of at most about `sample_rows` vectors and has a fixed number of leaves at
-most, so it is broadcast. Every row of the table is filed under the leaf that it falls into. A query visits
-leaves through a priority queue of tree nodes ordered by their centre's distance; how many leaves is
-calibrated on the sample: visits are widened until the share of true neighbours found reaches `recall`.
+The top of the tree is fitted on a sample of about `sample_rows` vectors and is broadcast. Every row of the table
+is filed under the leaf that it falls into. While leaves hold over `split_rows` rows, each of those is split by a tree
+of its own, fitted on a sample of its rows, and its rows and the queries that visit it are sent on below it: the tree
+grows with the table, and a query reads a bounded number of leaves of bounded size a level. A query visits leaves
+through a priority queue of tree nodes ordered by their centre's distance; how many leaves is calibrated on each
+tree's sample: visits are widened until the share of true neighbours found reaches `recall`. After `max_levels` levels,
+or where rows are all alike, leaves stay large.
 
 Rows of a leaf are dealt to chunks of bounded size, however many there are, and the queries of a chunk to
 batches of bounded size, so a leaf that holds a third of all rows is many units of work. Distances are exact.
@@ -11,12 +14,13 @@ batches of bounded size, so a leaf that holds a third of all rows is many units
 Cases: a vector that is null, zero, or holds a null or a non-finite component takes no part, nor does a null
 id, nor a vector whose length differs from the commonest length; repeated ids are rows of their own, a query
 never meets a row of its own id, and a repeated query id is asked once, with its smallest vector; ties go to
-the smaller id; an empty table gives no rows.
+the smaller id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Rows of two numbers a leaf that may be broadcast; more are joined by shuffling.
+MOST_BROADCAST_LEAVES = 500_000
+
 
 @dataclass
 class Tree:
@@ -148,10 +155,10 @@ def _distances(k: int):
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             for qid, q in zip(queries["query_id"].to_numpy(), queries["q"], strict=True):
-                far = np.sqrt(((x - q) ** 2).sum(axis=1))
-                far[ids == qid] = np.inf
-                best = np.argsort(far, kind="stable")[:k] if len(far) <= 4 * k else _smallest(far, k)
-                best = best[far[best] < np.inf]
+                far = np.sqrt(((x - q) ** 2).sum(axis=1))  # may be infinite
+                others = np.flatnonzero(ids != qid)
+                held = far[others]
+                best = others[np.argsort(held, kind="stable")[:k] if len(held) <= 4 * k else _smallest(held, k)]
                 out.append((np.full(len(best), qid), ids[best], far[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
@@ -166,6 +173,62 @@ def _smallest(far: np.ndarray, k: int) -> np.ndarray:
     return near[np.argsort(far[near], kind="stable")][:k]
 
 
+def _leaf_tree(x: np.ndarray, *, branch: int, leaf_rows: int, k: int, recall: float, probes: int, seed: int) -> tuple[Tree, int]:
+    tree = build_tree(x, branch=branch, leaf_rows=leaf_rows, rounds=6, seed=seed)
+    return tree, calibrate(tree, x, k=k, recall=recall, probes=probes, seed=seed)
+
+
+#: A leaf's children are numbered within so many, more than a tree's sample has rows; four levels of them fit a long.
+_FAN = 1 << 15
+
+
+def _grow(index: DataFrame, plans: DataFrame, big: DataFrame, options: dict, sample_rows: int, chunk_rows: int, batch_queries: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Splits the leaves in `big` (leaf, rows) by a tree each, fitted on a sample of the leaf, and sends queries on below them."""
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        tree, visits = _leaf_tree(_matrix(rows.column("x").combine_chunks()), **options)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([pickle.dumps(tree)]), pa.array([visits], pa.int32())], ["leaf", "tree", "visits"])
+
+    def load(trees: pa.Table) -> tuple[Tree, int]:
+        return pickle.loads(trees.column("tree")[0].as_py()), trees.column("visits")[0].as_py()
+
+    def file(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["vec_id", "x", "leaf"])
+        tree, _ = load(trees)
+        leaf = tree.file(_matrix(rows.column("x").combine_chunks())).astype(np.int64) + (key[0].as_py() + 1) * _FAN
+        return pa.table([rows.column("vec_id"), rows.column("x"), pa.array(leaf)], ["vec_id", "x", "leaf"])
+
+    def visit(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["query_id", "q", "leaf"])
+        tree, most = load(trees)
+        leaves = [tree.visit(q, most) for q in _matrix(rows.column("q").combine_chunks())]
+        at = np.repeat(np.arange(rows.num_rows), [len(x) for x in leaves])
+        leaf = np.concatenate(leaves).astype(np.int64) + (key[0].as_py() + 1) * _FAN
+        return pa.table([rows.column("query_id").take(pa.array(at)), rows.column("q").take(pa.array(at)), pa.array(leaf)], ["query_id", "q", "leaf"])
+
+    def dealt(rows: DataFrame, by: str, size: int) -> tuple[DataFrame, DataFrame]:
+        """rows of big leaves with a chunk number, and the trees once for each chunk."""
+        chunks = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks")).join(trees, "leaf").select("leaf", "chunks")
+        chunks = materialize(chunks, "ann-chunks")
+        cut = rows.join(F.broadcast(chunks), "leaf").withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")).drop("chunks")  # a row a big leaf
+        return cut, trees.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    share = F.col("rows") * F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 20)) < F.lit(sample_rows) * (1 << 20)
+    picked = index.join(F.broadcast(big), "leaf").where(share).select("leaf", "x")
+    trees = materialize(picked.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary, visits int"), "ann-trees")
+    out = []
+    for rows, by, size, step, schema in (
+        (index, "vec_id", 4 * chunk_rows, file, "vec_id long, x array<double>, leaf long"),
+        (plans, "query_id", batch_queries, visit, "query_id long, q array<double>, leaf long"),
+    ):
+        cut, sent = dealt(rows, by, size)
+        below = cut.groupBy("leaf", "chunk").cogroup(sent.groupBy("leaf", "chunk")).applyInArrow(step, schema)
+        out.append(materialize(rows.join(F.broadcast(trees.select("leaf")), "leaf", "left_anti").select(below.columns).unionByName(below), "ann-grown"))
+    return out[0], out[1]
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -175,6 +238,8 @@ def nearest(
     sample_rows: int = 10_000,
     branch: int = 8,
     leaf_rows: int = 64,
+    split_rows: int = 8_192,
+    max_levels: int = 4,
     probes: int = 200,
     chunk_rows: int = 4_096,
     batch_queries: int = 1_024,
@@ -186,33 +251,41 @@ def nearest(
     share = min(1.0, sample_rows / max(1, n))
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).orderBy("vec_id").select("x").toArrow()  # about sample_rows rows
     x = _matrix(sample.column("x").combine_chunks()) if sample.num_rows else np.zeros((0, 1))
-    tree = build_tree(x, branch=branch, leaf_rows=leaf_rows, rounds=6, seed=seed)
-    visits = calibrate(tree, x, k=k, recall=recall, probes=probes, seed=seed)
+    options = {"branch": branch, "leaf_rows": leaf_rows, "k": k, "recall": recall, "probes": probes, "seed": seed}
+    tree, visits = _leaf_tree(x, **options)
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = shared.value.file(_matrix(batch.column("x"))) if batch.num_rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], ["vec_id", "x", "leaf"])
+            leaf = shared.value.file(_matrix(batch.column("x"))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int64))], ["vec_id", "x", "leaf"])
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("q"))
             leaves = [shared.value.visit(q, visits, sizes, k + 1) for q in x] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "q", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "q", "leaves"])
 
-    index = materialize(rows.mapInArrow(filed, "vec_id long, x array<double>, leaf int"), "ann-index")
-    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row a leaf
+    index = materialize(rows.mapInArrow(filed, "vec_id long, x array<double>, leaf long"), "ann-index")
+    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row a leaf of the first tree
     sizes = [counts.get(i, 0) for i in range(tree.leaves)]
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("q"))
-    plans = materialize(asked.mapInArrow(planned, "query_id long, q array<double>, leaves array<int>"), "ann-plans")
-    visitors = plans.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
+    plans = asked.mapInArrow(planned, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf"))
+    plans = materialize(plans, "ann-plans")
+    for level in range(1, max_levels):
+        big = materialize(index.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows), "ann-big")
+        if not big.limit(1).count():
+            break
+        index, plans = _grow(index, plans, big, options, sample_rows, chunk_rows, batch_queries, seed + level)
+
+    visitors = plans.groupBy("leaf").count()
     # A row a leaf: into how many chunks and batches its rows and queries are dealt.
     deal = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")).join(visitors, "leaf").select("leaf", "chunks", F.ceil(F.col("count") / batch_queries).cast("int").alias("batches"))
-    deal = F.broadcast(materialize(deal, "ann-deal"))
+    deal = materialize(deal, "ann-deal")
+    deal = F.broadcast(deal) if deal.count() <= MOST_BROADCAST_LEAVES else deal
     dealt = index.join(deal, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "vec_id", "x")
     sent = (
-        plans.select("query_id", "q", F.explode("leaves").alias("leaf")).join(deal, "leaf")
+        plans.join(deal, "leaf")
         .select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("batches")).cast("int").alias("batch"), "query_id", "q")
     )
     keys = ["leaf", "chunk", "batch"]

@@ -1,7 +1,8 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
 Vectors become integers, `floor(scale * x)`. The index cuts the rows into blocks and stores, for each
-dimension, one bitmap per binary digit of (value - smallest value of that dimension in the block).
+dimension, one bitmap per binary digit of (value - smallest value of that dimension in the block). It is written
+once; queries are sent to the blocks.
 
 A query is answered block by block:
 
@@ -14,27 +15,29 @@ A query is answered block by block:
   slice is a tie on the whole score, resolved by the smaller id;
 * the few rows selected get their score from the stored integers.
 
-The blocks of queries meet the blocks of rows in one join on the block number; each pair returns at most
-k rows a query, and a window keeps the best k of those.
+The queries meet the blocks of rows in a cogroup on the block number, `unit_queries` of them at a time; each block
+returns at most k rows a query, and a window keeps the best k of those.
 
 Cases: a vector that is null or holds a null or a non-finite component takes no part, nor does a null id;
 shorter vectors count as if padded with zeros; repeated ids are rows of their own, but a query never meets
-a row of its own id, and a repeated query id is asked once, with its smallest vector; ties go to the smaller id; an empty table gives no rows. Components times scale must
-stay within 2^24 in size, or the job fails with an error.
+a row of its own id, and a repeated query id is asked once, with its smallest vector; ties go to the smaller id;
+extra columns are ignored; an empty table gives no rows. Components beyond a long once scaled are the largest or
+smallest long, and so are scores beyond it; scores within it are exact whatever the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BLOCK_ROWS = 8192
-QUERY_ROWS = 256
-LIMIT = 1 << 24
+UNIT_QUERIES = 16_384
+BLOCK = "block int, n int, width int, ids binary, q binary, low binary, digits binary, slices binary"
+LONG = np.iinfo(np.int64)
 
 
 def quantise(vectors: DataFrame, scale: int) -> DataFrame:
@@ -46,46 +49,72 @@ def quantise(vectors: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def _stack(arrays: pd.Series, width: int) -> np.ndarray:
+def _stack(arrays: list, width: int) -> np.ndarray:
     out = np.zeros((len(arrays), width), np.int64)
     for row, a in zip(out, arrays, strict=True):
         row[: len(a)] = a
-    if len(out) and np.abs(out).max(initial=0) > LIMIT:
-        raise ValueError(f"a quantised component lies beyond {LIMIT}")
     return out
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of rows as ids and int32 components, ordered by id so that early bits are small ids."""
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    width = max((len(a) for a in pdf["q"]), default=0)
-    q = _stack(pdf["q"], width).astype("<i4")
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "n": [len(pdf)], "width": [width], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "q": [q.tobytes()]})
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """One block of rows, ordered by id so that early bits are small ids, with its bitmaps."""
+    rows = rows.sort_by("vec_id")
+    vectors = rows.column("q").to_pylist()
+    q = _stack(vectors, max(map(len, vectors), default=0))
+    ids = rows.column("vec_id").to_numpy().astype("<i8")
+    low, digits, slices = slice_rows(q)
+    cells = [[key[0].as_py()], [len(ids)], [q.shape[1]], *[[x.tobytes()] for x in (ids, q, low, digits, slices)]]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
+
+
+def slice_rows(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least value of each dimension, its number of binary digits above that, and the bitmaps, dimension by dimension."""
+    n, width = q.shape
+    low = q.min(axis=0) if n else np.zeros(width, np.int64)
+    offset = q.view(np.uint64) - low.view(np.uint64)  # wraps around to the true difference
+    digits = np.array([int(v).bit_length() for v in offset.max(axis=0)] if n else [0] * width, np.int64)
+    maps = [_bitmap((offset[:, d] >> np.uint64(j)) & np.uint64(1)) for d in range(width) for j in range(digits[d])]
+    return low, digits, np.stack(maps) if maps else np.zeros((0, -(-n // 64)), np.uint64)
+
+
+def _bitmap(bits: np.ndarray) -> np.ndarray:
+    out = np.zeros(-(-len(bits) // 64) * 8, np.uint8)
+    packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+    out[: len(packed)] = packed
+    return out.view(np.uint64)
 
 
 def blocks(rows: DataFrame, count: int) -> DataFrame:
     """rows dealt to `count` blocks by a hash of the id."""
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(_pack, "block int, n int, width int, ids binary, q binary")
+    return dealt.groupBy("block").applyInArrow(_pack, BLOCK)
 
 
 class BitSlicedBlock:
     """The bitmaps of one block, packed into 64-bit words."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray):
-        self.ids, self.q, self.n = ids, q.astype(np.int64), len(ids)
+    def __init__(self, ids: np.ndarray, q: np.ndarray, digits: np.ndarray, slices: np.ndarray):
+        self.ids, self.q, self.n = ids, q, len(ids)
         self.words = -(-self.n // 64)
-        self.low = self.q.min(axis=0) if self.n else np.zeros(q.shape[1], np.int64)
-        offset = self.q - self.low
-        self.digits = [int(v).bit_length() for v in offset.max(axis=0)] if self.n else [0] * q.shape[1]
-        self.slices = [[self._bitmap((offset[:, d] >> j) & 1) for j in range(self.digits[d])] for d in range(q.shape[1])]
-        self.all = self._bitmap(np.ones(self.n, np.uint8))
-
-    def _bitmap(self, bits: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.words * 8, np.uint8)
-        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
-        out[: len(packed)] = packed
-        return out.view(np.uint64)
+        ends = np.cumsum([0, *digits])
+        self.slices = [slices[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.all = _bitmap(np.ones(self.n, np.uint8))
+        self.largest = max(abs(int(q.min(initial=0))), int(q.max(initial=0)))
+
+    @classmethod
+    def of(cls, row: dict) -> BitSlicedBlock:
+        n, width = row["n"], row["width"]
+        read = lambda c, t: np.frombuffer(row[c], t)
+        return cls(read("ids", "<i8"), read("q", "<i8").reshape(n, width), read("digits", "<i8"), read("slices", "<u8").reshape(-1, -(-n // 64)))
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact scores of rows, within the range of a long."""
+        rows = self.q[at]
+        if self.largest * max(map(abs, query.tolist()), default=0) * max(1, len(query)) <= LONG.max:
+            return rows @ query
+        exact = [sum(a * b for a, b in zip(r, query.tolist(), strict=True)) for r in rows.tolist()]
+        return np.array([min(max(x, LONG.min), LONG.max) for x in exact], np.int64)
 
     def score_slices(self, query: np.ndarray) -> list[np.ndarray]:
         """Bitmaps of (score - a constant of query and block), least significant first."""
@@ -141,39 +170,33 @@ class BitSlicedBlock:
 
 
 def _search(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int, BitSlicedBlock] | None = None
-        for pdf in batches:
-            for r in pdf.itertuples():
-                width = max(r.width, r.query_width)
-                pad = lambda raw, n, w: np.pad(np.frombuffer(raw, "<i4").reshape(n, w), ((0, 0), (0, width - w)))
-                if held is None or held[0] != (r.block, width):
-                    held = ((r.block, width), BitSlicedBlock(np.frombuffer(r.ids, "<i8"), pad(r.q, r.n, r.width)))
-                index, queries = held[1], pad(r.query_q, r.query_n, r.query_width).astype(np.int64)
-                out = []
-                for qid, q in zip(np.frombuffer(r.query_ids, "<i8"), queries, strict=True):
-                    at = index.top(q, int(qid), k)
-                    out.append((np.full(len(at), qid), index.ids[at], index.q[at] @ q))
-                if out:
-                    yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [np.zeros((3, 0), np.int64)]
+        if rows.num_rows and queries.num_rows:
+            index = BitSlicedBlock.of(rows.to_pylist()[0])
+            width = index.q.shape[1]
+            for qid, q in zip(queries.column("query_id").to_pylist(), queries.column("q").to_pylist(), strict=True):
+                query = _stack([q[:width]], width)[0]  # what one side lacks counts as zero
+                at = index.top(query, qid, k)
+                out.append(np.stack([np.full(len(at), qid), index.ids[at], index.scores(at, query)]))
+        return pa.table(list(np.concatenate(out, axis=1)), ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, unit_queries: int = UNIT_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query over all other rows.
 
-    is_query is a predicate on vec_id. Work is queries times rows, cut into pairs of blocks of bounded size.
+    is_query is a predicate on vec_id. Work is queries times rows, cut into units of bounded size.
     """
     rows = quantise(vectors, scale)
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
+    asked = materialize(rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("q").alias("q")), "search-queries")
     n, m = rows.count(), asked.count()
-    row_blocks = blocks(rows, max(1, -(-n // block_rows)))
-    query_count = max(1, -(-m // query_rows))
-    query_blocks = blocks(asked, query_count).select(*[F.col(c).alias(f"query_{c}") for c in ("block", "n", "width", "ids", "q")])
-    # A block of queries goes to each block of rows: the join key is the row block's number.
-    sent = query_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // block_rows)) - 1)))).withColumn("unit", F.col("query_block"))
-    units = row_blocks.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(query_count - 1))))
-    found = units.join(sent, ["block", "unit"]).drop("unit").mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    count, units = max(1, -(-n // block_rows)), max(1, -(-m // unit_queries))
+    index = materialize(blocks(rows, count), "bit-slices")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = asked.withColumn("unit", F.pmod(F.xxhash64("query_id"), F.lit(units)).cast("int")).withColumn("block", each(count))
+    met = index.withColumn("unit", each(units)).groupBy("block", "unit").cogroup(sent.groupBy("block", "unit"))
+    found = met.applyInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,75 +1,122 @@
 """Language identification by word-first backoff.
 
-A model holds, for each language, log frequencies of its commonest words and of its commonest character
-n-grams of 4 to 1 letters. A known word scores by its log frequency in each language. An unseen word falls
-back to the longest n-grams of it that are known at all: first its 4-grams, else 3-grams, and so on down to
-letters; their mean log frequency scores the word. A document's language has the highest mean over words.
+A model holds, for each language, log frequencies of the words and of the character n-grams of 4 to 1 letters that it
+was seen with. A known word scores by its log frequency in each language. An unseen word falls back to the longest
+n-grams of it that are known at all: first its 4-grams, else 3-grams, and so on down to letters; their mean log
+frequency scores the word. A document's language has the highest mean over words. Words are runs of letters and of
+the marks that combine with them.
 
-Training reads at most about `docs_per_lang` whole documents a language, chosen by a hash of the id, and keeps
-`top` words and `top` n-grams of each order a language, so a model has a fixed size and can be broadcast.
-Prediction reads every whole text, one pass, no shuffle.
+Training reads whole documents, at most about `docs_per_lang` of a language, chosen by a hash of the id; that bounds
+the model, and nothing that was learned is cut. The model is sparse: for each term, by its 64-bit hash, only the
+languages that it was seen in. Prediction reads every whole text, one pass, no shuffle.
 
 Cases: null text or a text without a letter is `und` with score 0; so is everything if nothing could be
 learned; documents with null lang, null text or null doc_id are not learned from; equal scores go to the
-first language by code point; repeated rows are scored alike; extra columns stay untouched.
+first language by code point; repeated rows are scored alike; columns lang_pred and score are replaced, all other
+extra columns stay untouched; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _class_of(kinds: str) -> str:
+    """The characters whose general category begins with one of `kinds`, as ranges of a pattern."""
+    held = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] in kinds]
+    cuts = [i for i, (a, b) in enumerate(zip(held[:-1], held[1:], strict=True)) if b != a + 1]
+    return "".join(f"\\U{held[a]:08x}-\\U{held[b]:08x}" for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(held) - 1], strict=True))
+
+
+WORD = re.compile(f"[{_class_of('L')}][{_class_of('LM')}]*")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
-#: Words of a worker's cache of backed-off scores.
-CACHE_WORDS = 300_000
+#: Numbers in a worker's cache of word scores.
+CACHE_NUMBERS = 4_000_000
+
+
+def _hashes(terms: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms], np.uint64)
+
+
+@dataclass
+class Terms:
+    """Terms of one kind: sorted hashes, and for each the languages seen with it and by how much they beat the unseen."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+    unseen: np.ndarray  # log frequency of a term not seen, by language
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> Terms:
+        order = np.argsort(hashes, kind="stable")
+        names, starts = np.unique(hashes[order], return_index=True)
+        total = np.bincount(langs, weights=counts, minlength=n_langs) + 0.5 * len(names)
+        gains = np.log((counts[order] + 0.5) / 0.5).astype(np.float32)
+        return cls(names, np.append(starts, len(hashes)), langs[order], gains, np.log(0.5 / np.maximum(total, 0.5)))
+
+    def rows(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log frequencies of terms in every language, and which of the terms are known."""
+        wanted = _hashes(terms)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == wanted if len(self.hashes) else np.zeros(len(terms), bool)
+        out = np.tile(self.unseen, (len(terms), 1))
+        for row in np.flatnonzero(known):
+            a, b = self.starts[at[row]], self.starts[at[row] + 1]
+            out[row, self.langs[a:b]] += self.gains[a:b]
+        return out, known
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]]
+    kinds: dict[int, Terms]  # 0: words, else the n of n-grams
 
-    def backoff(self, word: str) -> tuple[float, ...]:
+    def backoff(self, word: str) -> np.ndarray:
         """Scores of a word that is not known: from its longest known n-grams."""
         padded = f"<{word}>"
         for n in ORDERS:
-            table = self.grams[n]
-            held = [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]
-            if held:
-                return tuple([sum(x) / len(held) for x in zip(*held, strict=True)])
-        return (0.0,) * len(self.langs)
+            if len(padded) >= n:
+                rows, known = self.kinds[n].rows([padded[i : i + n] for i in range(len(padded) - n + 1)])
+                if known.any():
+                    return rows[known].mean(axis=0)
+        return np.zeros(len(self.langs))
 
     def scorer(self):
-        cache: dict[str, tuple[float, ...]] = {}
-        known, backoff, langs = self.words, self.backoff, self.langs
+        cache: dict[str, np.ndarray] = {}
+        langs = self.langs
+        most = max(1_000, CACHE_NUMBERS // max(1, len(langs)))
+
+        def learn(words: list[str]) -> None:
+            rows, known = self.kinds[0].rows(words)
+            for w, row, k in zip(words, rows, known, strict=True):
+                cache[w] = row if k else self.backoff(w)
 
         def score(text: str | None) -> tuple[str, float]:
             counts = Counter(WORD.findall(text.lower())) if text else None
             if not counts or not langs:
                 return UNKNOWN, 0.0
-            if len(cache) > CACHE_WORDS:
+            if len(cache) > most:
                 cache.clear()
-            rows = []
-            for w in counts:
-                row = known.get(w) or cache.get(w)
-                if row is None:
-                    row = cache[w] = backoff(w)
-                rows.append(row)
-            n = np.fromiter(counts.values(), np.float64, len(rows))
-            mean = n @ np.array(rows) / n.sum()
+            if fresh := [w for w in counts if w not in cache]:
+                learn(fresh)
+            n = np.fromiter(counts.values(), np.float64, len(counts))
+            mean = n @ np.array([cache[w] for w in counts]) / n.sum()
             odds = np.exp((mean - mean.max()) * min(n.sum(), 20.0))
             best = int(np.argmax(mean))
             return langs[best], float(odds[best] / odds.sum())
@@ -88,32 +135,21 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for i in range(len(padded) - order + 1):
                         counts[lang, order, padded[i : i + order]] += n
         keys = list(zip(*counts, strict=True)) if counts else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "kind", "term", "n"])
+        hashes = pa.array(_hashes(list(keys[2])).view(np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), hashes, pa.array(list(counts.values()), pa.int64())], ["lang", "kind", "term", "n"])
 
 
-def train(docs: DataFrame, *, docs_per_lang: int = 1_500, top: int = 12_000, min_count: int = 2) -> LanguageModel:
+def train(docs: DataFrame, *, docs_per_lang: int = 1_500) -> LanguageModel:
     """docs: doc_id, text, lang of the documents to learn from."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row a language
-    if not sizes:
-        return LanguageModel([], {}, {n: {} for n in ORDERS})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
-    chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    counts = chosen.mapInArrow(_count_terms, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
-    totals = Window.partitionBy("lang", "kind")
-    ranked = counts.withColumn("total", F.sum("n").over(totals)).withColumn("place", F.row_number().over(totals.orderBy(F.col("n").desc(), "term")))
-    rows = ranked.where((F.col("place") <= top) & (F.col("n") >= min_count)).collect()  # top * 5 rows a language
-    langs = sorted({r["lang"] for r in rows})
-    seen: dict[int, dict[str, list[int]]] = {kind: {} for kind in (0, *ORDERS)}
-    sums = {(r["lang"], r["kind"]): r["total"] for r in rows}
-    for r in rows:
-        seen[r["kind"]].setdefault(r["term"], [0] * len(langs))[langs.index(r["lang"])] = r["n"]
-
-    def logs(kind: int) -> dict[str, tuple[float, ...]]:
-        base = [sums.get((lang, kind), 0) + len(seen[kind]) * 0.5 for lang in langs]
-        return {t: tuple(math.log((n + 0.5) / b) for n, b in zip(ns, base, strict=True)) for t, ns in seen[kind].items()}
-
-    return LanguageModel(langs, logs(0), {n: logs(n) for n in ORDERS})
+    share = docs.groupBy("lang").agg((F.least(F.lit(1.0), docs_per_lang / F.count(F.lit(1))) * (1 << 20)).alias("share"))  # a row a language
+    chosen = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 20)) < F.col("share"))
+    counts = chosen.select("text", "lang").mapInArrow(_count_terms, "lang string, kind int, term long, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+    learned = counts.toArrow()  # 20 bytes or so for each term of docs_per_lang documents a language
+    langs = sorted(learned.column("lang").unique().to_pylist())
+    lang = np.searchsorted(np.array(langs), np.array(learned.column("lang").to_pylist())) if langs else np.zeros(0, np.int64)
+    kind, term, n = (learned.column(c).to_numpy() for c in ("kind", "term", "n"))
+    return LanguageModel(langs, {k: Terms.of(term[kind == k].view(np.uint64), lang[kind == k], n[kind == k].astype(np.float64), len(langs)) for k in (0, *ORDERS)})
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

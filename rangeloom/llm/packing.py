@@ -9,13 +9,15 @@ only sequences that can take the piece in all three are considered, and of those
 * with the largest weighted dot product of demand and residual (`rule="dot"`), or
 * with the smallest weighted norm of what would remain (`rule="norm"`)
 
-wins; ties go to the oldest sequence. All measures are shares of the full capacity. The norm rule is best
-fit in the usual sense and is the default; with groups of `group_pieces` pieces the loss at a group's end is
-a sequence or so in thousands.
-
-Cases: null text is empty and yields one piece, the end id; repeated rows are documents of their own;
-extra columns are ignored; an empty table gives no rows. A piece alone in a sequence always fits: document
-and attention capacities must allow one whole piece.
+wins; ties go to the fewest tokens left, then to the oldest sequence. All measures are shares of the full capacity.
+The norm rule is the default, with weights on all three residuals: among sequences with nearly as little room it
+takes the one that holds more documents and cost already, so rooms and documents run out together. Unless capacities
+for documents and cost are given they are what the tokens allow. With groups of `group_pieces` pieces the loss at a
+group's end is a sequence or so in thousands.
+
+Cases: null text is empty and yields one piece, the end id; repeated rows are documents of their own, dealt to
+different groups; extra columns, whatever their names, are ignored; an empty table gives no rows. A piece alone in a
+sequence always fits: document and attention capacities must allow one whole piece.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .tokens import encoder
 
 GROUP_PIECES = 8_000
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
+#: Weights of the tokens, documents and attention cost that a sequence has left.
+WEIGHTS = (1.0, 0.5, 0.5)
 
 
 def _cut(vocabulary: str, length: int, end_id: int):
@@ -81,10 +85,10 @@ def best_fit(lengths: np.ndarray, length: int, max_docs: int, max_cost: int, wei
         free = room[:n_open]
         can = np.flatnonzero((free >= need).all(axis=1))
         if len(can):
-            if rule == "dot":
-                best = can[np.argmax((free[can] / full * (need / full)) @ w)]
-            else:
-                best = can[np.argmin((((free[can] - need) / full) ** 2) @ w)]
+            left = free[can]
+            cost = -(left / full * (need / full)) @ w if rule == "dot" else (((left - need) / full) ** 2) @ w
+            tied = np.flatnonzero(cost == cost.min())
+            best = can[tied[np.argmin(left[tied, 0])]]
         else:
             if n_open == len(room):
                 room, names = np.concatenate([room, np.zeros_like(room)]), np.concatenate([names, np.zeros_like(names)])
@@ -101,9 +105,9 @@ def best_fit(lengths: np.ndarray, length: int, max_docs: int, max_cost: int, wei
 
 def _pack_group(length: int, max_docs: int, max_cost: int, weights: tuple[float, float, float], rule: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         at, offset = best_fit(pdf["length"].to_numpy(), length, max_docs, max_cost, weights, rule)
-        return pdf.drop(columns="group").assign(sequence_id=pdf["group"].to_numpy() * (1 << 32) + at, offset=offset)
+        return pdf.drop(columns=["group", "row"]).assign(sequence_id=pdf["group"].to_numpy() * (1 << 32) + at, offset=offset)
 
     return run
 
@@ -114,24 +118,25 @@ def pack(
     length: int = 1024,
     max_docs: int | None = None,
     max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
     group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
-    """pieces with sequence_id and offset. pieces: doc_id, piece, start, length, ids_crc32.
+    """pieces with sequence_id and offset. pieces: doc_id, piece, start, length, ids_crc32, row (any distinct numbers).
 
     Without max_docs and max_cost a sequence may hold as many documents and cost as its tokens allow.
     """
     max_docs, max_cost = max_docs or length, max_cost or length * length
     open_pieces = pieces.where(F.col("length") < length)
     groups = max(1, -(-open_pieces.count() // group_pieces))
-    dealt = open_pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    schema = extended(pieces, sequence_id="long", offset="long")
+    dealt = open_pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    schema = extended(pieces.drop("row"), sequence_id="long", offset="long")
     packed = dealt.groupBy("group").applyInPandas(_pack_group(length, max_docs, max_cost, weights, rule), schema)
-    alone = pieces.where(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    alone = pieces.where(F.col("length") == length).drop("row").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 2, **options) -> DataFrame:
-    pieces = materialize(cut_pieces(docs, vocabulary=vocabulary, length=length, end_id=end_id), "pieces")
+    pieces = cut_pieces(docs, vocabulary=vocabulary, length=length, end_id=end_id).withColumn("row", F.monotonically_increasing_id())
+    pieces = materialize(pieces, "pieces")
     return pack(pieces, length=length, **options)

@@ -8,16 +8,16 @@ partition, and the same differencing combines the buckets: first within bundles
 bundles. A bucket holds about `bucket_groups` groups and a bundle `bundle_buckets` buckets, so every task
 has a bounded share; the last step sees one row of k numbers for `bucket_groups * bundle_buckets` groups.
 
-Groups too large for their bucket to make up for, giants, are differenced by themselves. The imbalance
-they leave is handed in equal shares, as one more partial partition, to as many buckets as it takes to fill
+Groups too large for their bucket to make up for, giants, are differenced by themselves, in chests of
+`bucket_groups` of them and then chest by chest. The imbalance they leave is handed in equal shares, as one more partial partition, to as many buckets as it takes to fill
 it. Those buckets and the giants then count as one partial partition among the other buckets'.
 
 Spreads shrink at every combination, so the final byte counts differ by far less than one group unless a
 single group outweighs the average shard.
 
 Cases: a null text has size 1 and its rows are a group of their own; empty texts are a group; repeated
-rows are members like any others; an empty table gives no rows; with fewer groups than shards some shards
-stay empty.
+rows are members like any others; extra columns, whatever their names, are ignored; an empty table gives no
+rows; with fewer groups than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -102,11 +102,22 @@ def _giants(shards: int):
         pdf = pdf.sort_values("group", kind="stable")
         parts = np.zeros((len(pdf), shards), np.int64)
         parts[:, 0] = pdf["bytes"]
-        return pd.DataFrame({"group": pdf["group"].to_numpy(), "bytes": pdf["bytes"].to_numpy(), "part": difference(parts)[:, 0].astype(np.int32)})
+        return pd.DataFrame({"chest": pdf["chest"].to_numpy(), "group": pdf["group"].to_numpy(), "bytes": pdf["bytes"].to_numpy(), "own": difference(parts)[:, 0].astype(np.int32)})
 
     return run
 
 
+def _place_giants(giants: DataFrame, shards: int, bucket_groups: int) -> DataFrame:
+    """giants (group, bytes) -> (group, bytes, part): differenced in chests of bounded size, and then the chests."""
+    chests = max(1, -(-giants.count() // bucket_groups))
+    dealt = giants.withColumn("chest", F.pmod(F.xxhash64("group"), F.lit(chests)).cast("int"))
+    low = materialize(dealt.groupBy("chest").applyInPandas(_giants(shards), "chest int, group binary, bytes long, own int"), "shard-giants")
+    sums = low.groupBy("chest", F.col("own").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    where = sums.groupBy(F.lit(0).alias("all")).applyInPandas(_combine("chest", shards), "chest int, part int, into int")  # a row a chest and part
+    where = where.select("chest", F.col("part").alias("own"), F.col("into").alias("part"))
+    return materialize(low.join(where, ["chest", "own"]).select("group", "bytes", "part"), "shard-giants")
+
+
 def _combine(key: str, shards: int):
     """Pandas function over rows (key, part, bytes): the part of the combination that each (key, part) goes to."""
 
@@ -124,7 +135,7 @@ def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GR
     n_buckets = max(1, -(-n // bucket_groups))
     # A group above half of what a bucket has for a shard is a giant: at most 2 * shards of them a bucket.
     limit = total // (2 * shards * n_buckets) if n_buckets > 1 else total
-    giants = materialize(groups.where(F.col("bytes") > limit).groupBy(F.lit(0).alias("all")).applyInPandas(_giants(shards), "group binary, bytes long, part int"), "shard-giants")
+    giants = _place_giants(groups.where(F.col("bytes") > limit).select("group", "bytes"), shards, bucket_groups)
     lean = np.zeros(shards, np.int64)
     for r in giants.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect():  # a row a shard
         lean[r["part"]] = r["bytes"]
