@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive_queries, audit_queries, exchange_queries, graph_queries, index_queries, stream_queries, walk_queries
+from . import archive_queries, audit_queries, exchange_queries, graph_queries, index_queries, stream_queries, verify_queries, walk_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (archive_queries, walk_queries, graph_queries, index_queries, audit_queries, exchange_queries, stream_queries)
+MODULES = (archive_queries, walk_queries, graph_queries, index_queries, audit_queries, exchange_queries, verify_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import handles as H
 from ..operators import graph, intervals
-from ..operators.ordered import islands
+from ..operators.ordered import islands, prefix_sums
 from ..sources import tables as T
 from ..sources.scratch import materialize
 from . import sql as S
@@ -29,8 +29,8 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf: str, every: bool) -> DataFrame:
-    """Every supplier's region, spread over the contigs; else the tenth of the regions that the recursive SQL can answer."""
-    return T.spread_queries(spark, sf) if every else T.region_queries(spark, sf).where(F.col("query_id") % 10 == 0)
+    """Every supplier's region; every: spread over the whole contigs."""
+    return T.spread_queries(spark, sf) if every else T.region_queries(spark, sf)
 
 
 def _context(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
@@ -59,15 +59,14 @@ def region_edges(spark: SparkSession, sf: str, *, every: bool = False) -> DataFr
 def region_walk(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
     """The reference visits of each query: its core, grown outwards while the neighbours are in the context."""
     queries = _regions(spark, sf, every).select(F.col("query_id").alias("key"), "contig", "q_start", "q_end")
-    nodes = _context(spark, sf, every).select("key", "node_id").distinct().withColumn("selected", F.lit(True))
-    v = _visits(spark, sf)
-    near = queries.join(v, "contig")
-    if not every:  # through order edges the context may hold visits far from the core
-        near = near.where((F.col("start") < F.col("q_end") + 4 * CONTEXT) & (F.col("end") > F.col("q_start") - 4 * CONTEXT))
-    marked = near.withColumn("core", (F.col("start") < F.col("q_end")) & (F.col("end") > F.col("q_start"))).join(nodes, ["key", "node_id"], "left")
-    marked = marked.withColumn("selected", F.coalesce("selected", F.lit(False)) | F.col("core"))
-    walk = graph.extended_core(marked.select("key", "ord", "handle", "start", "end", "core", "selected"))
-    return walk.select(F.col("key").alias("query_id"), "ord", "handle", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+    v = prefix_sums(_visits(spark, sf), ["contig"], "ord", F.lit(1)).withColumnRenamed("before", "place")
+    nodes = _context(spark, sf, every).select("key", "node_id").distinct().join(queries.select("key", "contig"), "key")
+    core = intervals.overlap_join(queries, v, ["contig"]).withColumn("core", F.lit(True))
+    near = nodes.join(v, ["contig", "node_id"]).withColumn("core", F.lit(False))
+    columns = ["key", "ord", "place", "handle", "start", "end"]
+    held = core.select(*columns, "core").unionByName(near.select(*columns, "core")).groupBy(*columns).agg(F.max("core").alias("core"))
+    walk = graph.grown_core(held.withColumnRenamed("ord", "_ord").withColumnRenamed("place", "ord"))
+    return walk.select(F.col("key").alias("query_id"), F.col("_ord").alias("ord"), "handle", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 def merged_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +151,7 @@ _GRAPH = ", ".join((
     "arcs AS (SELECT from_handle AS a, to_handle AS b FROM edges UNION SELECT xor(to_handle, 1::BIGINT), xor(from_handle, 1::BIGINT) FROM edges)",
     "moves AS (SELECT a // 2 AS node_id, CASE WHEN a % 2 = 1 THEN 0 ELSE 1 END AS side, b // 2 AS to_node, CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END AS to_side, 1::BIGINT AS cost FROM arcs "
     "UNION ALL SELECT node_id, side, node_id, 1 - side, greatest(0, length(seq) - 1)::BIGINT FROM nodes, (VALUES (0), (1)) v(side))",
-    "hit AS (SELECT q.query_id, v.*, q.q_start, q.q_end FROM region_queries q JOIN visits v ON q.contig = v.contig AND v.s < q.q_end AND v.e > q.q_start WHERE q.query_id % 10 = 0)",
+    "hit AS (SELECT q.query_id, v.*, q.q_start, q.q_end FROM region_queries q JOIN visits v ON q.contig = v.contig AND v.s < q.q_end AND v.e > q.q_start)",
     "seeds AS (SELECT query_id, node_id, CASE WHEN handle % 2 = 1 THEN 1 ELSE 0 END AS side, greatest(s, q_start) - s AS d FROM hit UNION SELECT query_id, node_id, CASE WHEN handle % 2 = 1 THEN 0 ELSE 1 END, greatest(0, e - least(e, q_end)) FROM hit)",
     "reach AS (SELECT query_id, node_id, side, d FROM seeds UNION SELECT r.query_id, m.to_node, m.to_side, r.d + m.cost FROM reach r JOIN moves m ON r.node_id = m.node_id AND r.side = m.side WHERE r.d + m.cost <= 30)",
     "context AS (SELECT query_id, node_id, side, min(d) AS distance FROM reach GROUP BY ALL)", "chosen AS (SELECT DISTINCT query_id, node_id FROM context)",
@@ -170,7 +169,7 @@ QUERIES = {
     "region_edges": (region_edges, f"WITH RECURSIVE {_GRAPH} SELECT c.query_id, e.from_handle, e.to_handle FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2"),
     "region_walk": (region_walk, f"""WITH RECURSIVE {_GRAPH},
 marked AS (SELECT q.query_id, v.ord, v.handle, v.s, v.e, v.s < q.q_end AND v.e > q.q_start AS core, c.node_id IS NOT NULL OR (v.s < q.q_end AND v.e > q.q_start) AS selected
-  FROM region_queries q JOIN visits v ON v.contig = q.contig LEFT JOIN chosen c ON c.query_id = q.query_id AND c.node_id = v.node_id WHERE q.query_id % 10 = 0 AND v.s < q.q_end + 120 AND v.e > q.q_start - 120),
+  FROM region_queries q JOIN visits v ON v.contig = q.contig LEFT JOIN chosen c ON c.query_id = q.query_id AND c.node_id = v.node_id WHERE v.s < q.q_end + 120 AND v.e > q.q_start - 120),
 ends AS (SELECT query_id, min(ord) AS f, max(ord) AS l FROM marked WHERE core GROUP BY query_id)
 SELECT m.query_id, m.ord, m.handle, m.s AS start_pos, m.e AS end_pos FROM marked m JOIN ends x USING (query_id)
 WHERE m.ord BETWEEN x.f AND x.l OR (m.selected AND NOT EXISTS (SELECT 1 FROM marked o WHERE o.query_id = m.query_id AND NOT o.selected AND o.ord BETWEEN least(m.ord, x.l) AND greatest(m.ord, x.f) AND (o.ord < x.f OR o.ord > x.l)))"""),

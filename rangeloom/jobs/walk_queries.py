@@ -84,7 +84,7 @@ def membership_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def referenced_paths(spark: SparkSession, sf: str) -> DataFrame:
-    members = T.order_walks(spark, sf).where(F.col("node_id") % 10 == 0).select("path_id")
+    members = T.order_walks(spark, sf).select("path_id")
     catalog = T.paths(spark, sf)
     return walks.referenced_paths(members.join(catalog.select("path_id"), "path_id", "left_semi"), catalog).select("path_id", "canonical_name", "sample")
 
@@ -176,8 +176,8 @@ def path_by_ids_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def path_by_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """path_by_ids_all for a tenth of the lists."""
-    return path_by_ids_all(spark, sf).where(F.col("list_id") % 10 == 0)
+    """path_by_ids_all under its first name."""
+    return path_by_ids_all(spark, sf)
 
 
 def path_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,7 +214,7 @@ QUERIES = {
     "membership_groups": (membership_groups, f"WITH {_G}, {_GROUPS} SELECT tile_id, {S.WALK_TEXT} AS walk, occurrence_weight, unique_path_count FROM grouped"),
     "membership_mismatches": (membership_mismatches, f"WITH {_G}, {_REF}, {_GROUPS} SELECT g.tile_id, {S.WALK_TEXT.replace('walk,', 'g.walk,')} AS walk, g.occurrence_weight, g.unique_path_count, a.weight FROM grouped g LEFT JOIN (SELECT * FROM anonymous WHERE weight > 0) a ON a.tile_id = g.tile_id AND a.walk = g.walk WHERE a.weight IS DISTINCT FROM g.occurrence_weight"),
     "membership_totals": (membership_totals, f"WITH {_G}, {_GROUPS} SELECT count(*) AS groups, sum(occurrence_weight)::BIGINT AS occurrences, sum(unique_path_count)::BIGINT AS unique_path_sum, max(occurrence_weight) AS most, count(DISTINCT tile_id) AS tiles FROM grouped"),
-    "referenced_paths": (referenced_paths, f"WITH {S.ORDER_WALKS}, {S.PATHS} SELECT DISTINCT path_id, canonical_name, sample FROM paths WHERE path_id IN (SELECT path_id FROM order_walks WHERE node_id % 10 = 0)"),
+    "referenced_paths": (referenced_paths, f"WITH {S.ORDER_WALKS}, {S.PATHS} SELECT DISTINCT path_id, canonical_name, sample FROM paths WHERE path_id IN (SELECT path_id FROM order_walks)"),
     "walk_digests": (walk_digests, f"WITH {_G} SELECT tile_id, sha256('REF|events|' || (tile_id * 21600000)::VARCHAR || '|' || ((tile_id + 1) * 21600000)::VARCHAR || '|' || {S.WALK_TEXT}) AS digest, weight FROM weighted"),
     "tile_evidence": (tile_evidence, f"WITH {_G} SELECT tile_id, count(*) AS walks, sum(weight)::BIGINT AS total_weight, sum(len(walk) * weight)::BIGINT AS weighted_visits FROM weighted GROUP BY tile_id"),
     "canonical_edges": (canonical_edges, f"WITH {S.ORDER_WALKS}, {_EDGES} SELECT * FROM edges"),
@@ -230,7 +230,7 @@ QUERIES = {
     "path_tsv": (path_tsv, f"WITH {S.ORDER_WALKS}, {S.PATHS}, w AS (SELECT path_id, string_agg(handle::VARCHAR, ',' ORDER BY ord) AS walk FROM order_walks GROUP BY path_id) SELECT path_id, concat_ws(chr(9), canonical_name, sample, contig, haplotype::VARCHAR, fragment::VARCHAR, walk) AS line FROM w JOIN paths USING (path_id)"),
     "reverse_complement": (reverse_complement, f"WITH {S.NODES} SELECT node_id, {_RC} AS rc FROM nodes"),
     "path_search": (path_search, f"WITH {S.PATHS}, hit AS (SELECT * FROM paths WHERE sample = 'NATION_3' AND contig = 'MACHINERY') SELECT path_id, canonical_name, (SELECT count(*) FROM hit) > 100 AS truncated FROM hit ORDER BY path_id LIMIT 100"),
-    "path_by_ids": (path_by_ids, f"WITH {S.PATHS}, asked AS (SELECT l_suppkey AS list_id, l_partkey AS pos, l_orderkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS path_id FROM lineitem WHERE l_suppkey % 10 = 0) SELECT list_id, pos, path_id, canonical_name FROM asked LEFT JOIN paths USING (path_id)"),
+    "path_by_ids": (path_by_ids, f"WITH {S.PATHS}, asked AS (SELECT l_suppkey AS list_id, l_partkey AS pos, l_orderkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS path_id FROM lineitem) SELECT list_id, pos, path_id, canonical_name FROM asked LEFT JOIN paths USING (path_id)"),
     "path_by_ids_all": (path_by_ids_all, f"WITH {S.PATHS}, asked AS (SELECT l_suppkey AS list_id, l_partkey AS pos, l_orderkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS path_id FROM lineitem) SELECT list_id, pos, path_id, canonical_name FROM asked LEFT JOIN paths USING (path_id)"),
     "path_names": (path_names, f"WITH {S.PATHS} SELECT path_id, canonical_name, sample, contig, haplotype, fragment FROM paths"),
     "id_runs": (id_runs, "WITH one AS (SELECT DISTINCT l_suppkey AS key, l_orderkey AS v FROM lineitem), d AS (SELECT *, v - lag(v) OVER (PARTITION BY key ORDER BY v) AS d FROM one), t AS (SELECT key, count(*) AS ids, sum(CASE WHEN coalesce(d, 0) = 1 THEN 0 ELSE 1 END)::BIGINT AS runs, sum(greatest(1, ceil(length(bin(coalesce(d, v))) / 7.0)))::BIGINT AS delta_bytes FROM d GROUP BY key) SELECT *, runs * 16 AS run_bytes, CASE WHEN runs * 16 < delta_bytes THEN 'runs' ELSE 'delta' END AS codec FROM t"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import handles as H
 from ..sources.scratch import materialize
+from .intervals import overlap_join
 
 
 def canonical_edges(walks: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, context
 
     seeds: key, node_id, side, distance, taken unconditionally; side 0 is the entry and 1 the exit of the forward
     node. Crossing a node of length n costs max(0, n - 1), an edge costs 1. Every round relaxes only the sides
-    that became nearer in the round before; rounds are written to the scratch folder.
+    that became nearer in the round before and writes only those that it brings nearer to the scratch folder.
 
     Leaving a node by its exit side follows arcs of its forward handle, by its entry side those of its reverse
     handle; an arc arrives at the entry side of a forward and at the exit side of a reverse handle.
@@ -59,16 +60,19 @@ def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, context
     crossing = nodes.select("node_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.greatest(F.lit(0), F.length("seq") - 1).cast("long").alias("cost"))
     links = materialize(links.unionByName(crossing.select("node_id", "side", F.col("node_id").alias("to_node"), (1 - F.col("side")).alias("to_side"), "cost")), "arcs")
     keys = ["key", "node_id", "side"]
-    known = materialize(seeds.groupBy(*keys).agg(F.min(F.col("distance").cast("long")).alias("distance")).withColumn("fresh", F.lit(True)), "context")
+    frontier = materialize(seeds.groupBy(*keys).agg(F.min(F.col("distance").cast("long")).alias("distance")), "context")
+    known = frontier
     for _ in range(max_rounds):
-        frontier = known.where("fresh")
         if not frontier.limit(1).count():
-            return known.drop("fresh")
+            return known.groupBy(*keys).agg(F.min("distance").alias("distance"))
         found = frontier.join(links, ["node_id", "side"]).select("key", F.col("to_node").alias("node_id"), F.col("to_side").alias("side"), (F.col("distance") + F.col("cost")).alias("distance")).where(F.col("distance") <= context)
-        both = known.select(*keys, "distance", F.col("distance").alias("old")).unionByName(found.withColumn("old", F.lit(None).cast("long")))
-        known = materialize(
-            both.groupBy(*keys).agg(F.min("distance").alias("distance"), F.min("old").alias("old")).withColumn("fresh", F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old"), "context"
-        )
+        nearer = found.groupBy(*keys).agg(F.min("distance").alias("distance")).alias("f")
+        old = known.alias("k")
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(f"f.{k}") == F.col(f"k.{k}"))
+        frontier = materialize(nearer.join(old, same & (F.col("k.distance") <= F.col("f.distance")), "left_anti"), "context")
+        known = known.unionByName(frontier)
     raise RuntimeError(f"context did not settle in {max_rounds} rounds")
 
 
@@ -77,7 +81,7 @@ def context_seeds(queries: DataFrame, visits: DataFrame) -> DataFrame:
 
     queries: key, contig, q_start, q_end; visits: contig, node_id, handle, start, end.
     """
-    hit = queries.join(visits, "contig").where((F.col("start") < F.col("q_end")) & (F.col("end") > F.col("q_start")))
+    hit = overlap_join(queries, visits, ["contig"])
     first, last = F.greatest("start", "q_start"), F.least("end", "q_end")
     entry, exit_ = first - F.col("start"), F.greatest(F.lit(0), F.col("end") - last)
     reverse = H.is_reverse(F.col("handle"))
@@ -109,6 +113,18 @@ def extended_core(visits: DataFrame) -> DataFrame:
     return ends.where(inside | before | after).select(visits.columns)
 
 
+def grown_core(visits: DataFrame) -> DataFrame:
+    """The core visits of each key with the selected visits that follow them without a gap, on either side.
+
+    visits: key, ord, core; those that are core or selected, each once. A core is a stretch of
+    consecutive ords, so nothing else of a walk need be read.
+    """
+    by = Window.partitionBy("key").orderBy("ord")
+    numbered = visits.withColumn("_run", F.col("ord") - F.row_number().over(by))
+    held = F.max(F.col("core").cast("int")).over(Window.partitionBy("key", "_run"))
+    return numbered.withColumn("_held", held).where(F.col("_held") == 1).drop("_run", "_held")
+
+
 def set_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of one side only, by keys: side 'missing' (in a only) or 'extra' (in b only)."""
     missing = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti").withColumn("side", F.lit("missing"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import coalesced, prefix_sums
+from .ordered import coalesced, islands, prefix_sums, running_reach
 
 
 def tile_references(manifests: DataFrame) -> DataFrame:
@@ -85,20 +85,21 @@ def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: in
     Greedy merging is sequential, so it folds over the sorted ranges of a key. First plain islands are cut off,
     since nothing merges across a larger gap: a fold sees one island.
     """
-    from .ordered import islands
-
     cut = islands(ranges, keys, "start", "end", gap)
     packed = cut.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,members:bigint>>)")
+    kind = "struct<start:bigint,end:bigint,members:bigint>"
+    empty = F.expr(f"struct(cast(array() as array<{kind}>) as done, cast(null as {kind}) as last)")
 
-    def step(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (r["start"] <= last["end"] + gap) & (F.greatest(last["end"], r["end"]) - last["start"] <= cap)
+    # The range that still grows is kept beside the finished ones, so a step copies no more than itself.
+    def step(state: Column, r: Column) -> Column:
+        last = state["last"]
+        fits = last.isNotNull() & (r["start"] <= last["end"] + gap) & (F.greatest(last["end"], r["end"]) - last["start"] <= cap)
         fresh = F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(1).cast("long").alias("members"))
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"), (last["members"] + 1).alias("members"))
-        return F.when(F.size(done) == 0, F.array(fresh)).when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+        done = F.when(fits | last.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(fits, grown).otherwise(fresh).alias("last"))
 
-    merged = packed.withColumn("merged", F.aggregate("ranges", empty, step))
+    merged = packed.withColumn("merged", F.aggregate("ranges", empty, step, lambda x: F.concat(x["done"], F.array(x["last"]))))
     return merged.select(*keys, F.explode("merged").alias("m")).select(*keys, "m.start", "m.end", "m.members")
 
 
@@ -142,6 +143,18 @@ def exclusive_union(spans: DataFrame, keys: Sequence[str], wanted: Column) -> Da
 
 def overlap_violations(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ranges that start before an earlier one ends; exact repeats count once."""
-    by = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.select(*keys, "start", "end").distinct().withColumn("reach", reach).where(F.col("start") < F.col("reach"))
+    once = ranges.select(*keys, "start", "end").distinct()
+    return running_reach(once, keys, "start", "end").withColumnRenamed("_reach", "reach").drop("_block").where(F.col("start") < F.col("reach"))
+
+
+def overlap_join(queries: DataFrame, spans: DataFrame, keys: Sequence[str], *, block: int = 1024) -> DataFrame:
+    """Pairs of queries (q_start, q_end) and spans (start, end) of the same keys that overlap: an equi-join on blocks of coordinates.
+
+    Both are filed under every block that they touch; a pair counts in the first block that both touch.
+    """
+    at = lambda c: F.floor(F.col(c) / block)
+    until = lambda c: F.floor((F.col(c) - 1) / block)
+    asked = queries.where(F.col("q_start") < F.col("q_end")).withColumn("_block", F.explode(F.sequence(at("q_start"), until("q_end"))))
+    filed = spans.where(F.col("start") < F.col("end")).withColumn("_block", F.explode(F.sequence(at("start"), until("end"))))
+    met = asked.join(filed, [*keys, "_block"]).where((F.col("start") < F.col("q_end")) & (F.col("end") > F.col("q_start")))
+    return met.where(F.col("_block") == F.greatest(at("q_start"), at("start"))).drop("_block")

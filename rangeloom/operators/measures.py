@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_count, running_reach
+
 
 def _picked(rows: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """For each key the values at 0-based positions of the sorted values; a position is an expression of `n`.
@@ -66,10 +68,9 @@ def pareto_frontier(rows: DataFrame, key: str, metrics: Sequence[str], *, cells:
 
 def request_rounds(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds `round`: a request opens a new round when it starts at or after the end of all earlier ones."""
-    by = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = requests.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    return marked.withColumn("round", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    reached = running_reach(requests, keys, "start", "end")
+    opens = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0)
+    return running_count(reached, keys, ["start", "end"], opens).withColumnRenamed("_count", "round").drop("_block", "_reach")
 
 
 #: Round-trip ms, overhead ms, megabits a second, parallel requests of the network profiles.

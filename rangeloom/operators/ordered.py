@@ -23,12 +23,52 @@ def prefix_sums(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
     return summed.join(starts, [*keys, "_block"]).withColumn("before", F.col("_start") + F.col("_within")).drop("_block", "_value", "_start", "_within")
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys, of which nulls are equal; right's keys go."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(right, cond).drop(*[f"_right_{k}" for k in keys])
+
+
+def in_blocks(rows: DataFrame, start: str, blocks: int = 1024) -> DataFrame:
+    """Adds `_block`: rows cut into `blocks` equal stretches of the whole range of `start`, whose ends alone reach the driver."""
+    low, high = rows.agg(F.min(start), F.max(start)).head()
+    if low is None:
+        return rows.withColumn("_block", F.lit(0).cast("long"))
+    width = max(1, -(-(int(high) - int(low) + 1) // blocks))
+    return rows.withColumn("_block", F.floor((F.col(start) - int(low)) / width))
+
+
+def running_reach(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Adds `_block` and `_reach`: the largest `end` among earlier rows of the same keys, in order of (start, end); null for the first.
+
+    Rows are ordered within blocks of the range only; a row for each block carries the reach of the blocks before it.
+    """
+    cut = in_blocks(rows, start)
+    tops = cut.groupBy(*keys, "_block").agg(F.max(end).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.withColumn("_carried", F.max("_top").over(before)).drop("_top")
+    inside = Window.partitionBy(*keys, "_block").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    return _same(cut, carried, [*keys, "_block"]).withColumn("_reach", F.greatest("_carried", F.max(end).over(inside))).drop("_carried")
+
+
+def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], counted: Column) -> DataFrame:
+    """Adds `_count`: the sum of `counted` up to each row, over the blocks of `_block` as running_reach leaves them."""
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("_counted", counted)
+    totals = held.groupBy(*keys, "_block").agg(F.sum("_counted").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    return _same(held, starts, [*keys, "_block"]).withColumn("_count", F.col("_start") + F.sum("_counted").over(inside)).drop("_counted", "_start")
+
+
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0) -> DataFrame:
     """Adds `island`: numbers runs of intervals in which each starts at most `gap` after all earlier ones end."""
-    by = Window.partitionBy(*keys).orderBy(start, end)
-    upto = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("_opens", F.when(upto.isNull() | (F.col(start) > upto + gap), 1).otherwise(0))
-    return opened.withColumn("island", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
+    reached = running_reach(rows, keys, start, end)
+    opens = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0)
+    return running_count(reached, keys, [start, end], opens).withColumnRenamed("_count", "island").drop("_block", "_reach")
 
 
 def coalesced(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0) -> DataFrame:

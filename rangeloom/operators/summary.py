@@ -50,9 +50,30 @@ def choose_levels(series: list[dict], most: int) -> dict[int, int]:
     return chosen
 
 
+def levels_within(series: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Level of each manifest of a view: keys, manifest_id, level. series: keys, manifest_id, level (from 0 on), bins.
+
+    As choose_levels has it: while a view's bins exceed `most`, the manifest whose next level saves most is coarsened, the
+    first of equals. A step is taken once it is the best one open, so steps come in order of the least saving up to
+    them; a step that saves nothing bars all that follow. A running sum then tells how many steps a view takes.
+    """
+    by = Window.partitionBy(*keys, "manifest_id").orderBy("level")
+    steps = series.withColumn("_saves", F.col("bins") - F.lead("bins").over(by)).where(F.col("_saves").isNotNull())
+    steps = steps.withColumn("_least", F.min("_saves").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("_least") > 0)
+    finest = series.where(F.col("level") == 0)
+    totals = finest.groupBy(*keys).agg(F.sum("bins").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_least"), "manifest_id", "level").rowsBetween(Window.unboundedPreceding, -1)
+    taken = steps.join(totals, keys).withColumn("_left", F.col("_total") - F.coalesce(F.sum("_saves").over(before), F.lit(0))).where(F.col("_left") > most)
+    counts = taken.groupBy(*keys, "manifest_id").agg((F.max("level") + 1).alias("_level"))
+    return finest.join(counts, [*keys, "manifest_id"], "left").select(*keys, "manifest_id", F.coalesce("_level", F.lit(0)).cast("int").alias("level"))
+
+
 def query_bins(bins: DataFrame, selected: DataFrame) -> DataFrame:
     """Bins under each query, clipped, with the fraction covered. selected: query_id, manifest_id, q_start, q_end, level."""
-    hit = bins.join(selected, ["manifest_id", "level"]).where((F.col("bin_start") < F.col("q_end")) & (F.col("bin_start") + F.col("bin_span") > F.col("q_start")))
+    spans = bins.select("manifest_id", "level", "bin_span").distinct()
+    first, last = F.floor(F.col("q_start") / F.col("bin_span")), F.floor((F.col("q_end") - 1) / F.col("bin_span"))
+    asked = selected.join(spans, ["manifest_id", "level"]).withColumn("bin_start", F.explode(F.sequence(first, last))).withColumn("bin_start", F.col("bin_start") * F.col("bin_span"))
+    hit = bins.join(asked, ["manifest_id", "level", "bin_span", "bin_start"])
     start, end = F.greatest("bin_start", "q_start"), F.least(F.col("bin_start") + F.col("bin_span"), F.col("q_end"))
     return hit.withColumn("clip_start", start).withColumn("clip_end", end).withColumn("coverage_fraction", (F.col("clip_end") - F.col("clip_start")).cast("double") / F.col("bin_span"))
 
