@@ -33,12 +33,34 @@ def _regions(spark: SparkSession, sf: str, every: bool) -> DataFrame:
     return T.spread_queries(spark, sf) if every else T.region_queries(spark, sf)
 
 
-def _context(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    queries = _regions(spark, sf, every).withColumnRenamed("query_id", "key")
+def _context_of(spark: SparkSession, sf: str, queries: DataFrame, every: bool = False) -> DataFrame:
+    """queries: key, contig, q_start, q_end."""
     seeds = graph.context_seeds(queries, _visits(spark, sf))
     return graph.expand_context(seeds, T.nodes(spark, sf), graph_edges(spark, sf, every=every), CONTEXT)
 
 
+def _context(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _context_of(spark, sf, _regions(spark, sf, every).withColumnRenamed("query_id", "key"), every)
+
+
+def _edges_of(spark: SparkSession, sf: str, nodes: DataFrame, every: bool = False) -> DataFrame:
+    """Edges with both ends among a key's nodes: the node list of a key meets the edges twice."""
+    edges = graph_edges(spark, sf, every=every).withColumn("_f", H.node_of(F.col("from_handle"))).withColumn("_t", H.node_of(F.col("to_handle")))
+    out = nodes.withColumnRenamed("node_id", "_f").join(edges, "_f").join(nodes.withColumnRenamed("node_id", "_t"), ["key", "_t"], "left_semi")
+    return out.select("key", "from_handle", "to_handle")
+
+
+def _walk_of(spark: SparkSession, sf: str, queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The reference visits of each key: its core, grown outwards while the neighbours are among its nodes."""
+    v = prefix_sums(_visits(spark, sf), ["contig"], "ord", F.lit(1)).withColumnRenamed("before", "place")
+    core = intervals.overlap_join(queries, v, ["contig"]).withColumn("core", F.lit(True))
+    near = nodes.join(queries.select("key", "contig"), "key").join(v, ["contig", "node_id"]).withColumn("core", F.lit(False))
+    columns = ["key", "ord", "place", "handle", "start", "end"]
+    held = core.select(*columns, "core").unionByName(near.select(*columns, "core")).groupBy(*columns).agg(F.max("core").alias("core"))
+    walk = graph.grown_core(held.withColumnRenamed("ord", "_ord").withColumnRenamed("place", "ord"))
+    return walk.select("key", F.col("_ord").alias("ord"), "handle", "start", "end")
+
+
 def context_nodes(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
     return _context(spark, sf, every).select(F.col("key").alias("query_id"), "node_id", F.col("side").cast("int").alias("side"), "distance")
 
@@ -49,24 +71,42 @@ def region_nodes(spark: SparkSession, sf: str, *, every: bool = False) -> DataFr
 
 
 def region_edges(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
-    """Edges with both ends among a query's nodes: the node list of a query meets the edges twice."""
     nodes = materialize(_context(spark, sf, every).select("key", "node_id").distinct(), "region-nodes")
-    edges = graph_edges(spark, sf, every=every).withColumn("_f", H.node_of(F.col("from_handle"))).withColumn("_t", H.node_of(F.col("to_handle")))
-    out = nodes.withColumnRenamed("node_id", "_f").join(edges, "_f").join(nodes.withColumnRenamed("node_id", "_t"), ["key", "_t"], "left_semi")
-    return out.select(F.col("key").alias("query_id"), "from_handle", "to_handle")
+    return _edges_of(spark, sf, nodes, every).withColumnRenamed("key", "query_id")
 
 
 def region_walk(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
-    """The reference visits of each query: its core, grown outwards while the neighbours are in the context."""
     queries = _regions(spark, sf, every).select(F.col("query_id").alias("key"), "contig", "q_start", "q_end")
-    v = prefix_sums(_visits(spark, sf), ["contig"], "ord", F.lit(1)).withColumnRenamed("before", "place")
-    nodes = _context(spark, sf, every).select("key", "node_id").distinct().join(queries.select("key", "contig"), "key")
-    core = intervals.overlap_join(queries, v, ["contig"]).withColumn("core", F.lit(True))
-    near = nodes.join(v, ["contig", "node_id"]).withColumn("core", F.lit(False))
-    columns = ["key", "ord", "place", "handle", "start", "end"]
-    held = core.select(*columns, "core").unionByName(near.select(*columns, "core")).groupBy(*columns).agg(F.max("core").alias("core"))
-    walk = graph.grown_core(held.withColumnRenamed("ord", "_ord").withColumnRenamed("place", "ord"))
-    return walk.select(F.col("key").alias("query_id"), F.col("_ord").alias("ord"), "handle", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+    walk = _walk_of(spark, sf, queries, _context(spark, sf, every).select("key", "node_id").distinct())
+    return walk.select(F.col("key").alias("query_id"), "ord", "handle", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
+def _mark(*columns: str):
+    """A digest of rows that does not depend on their order: the sum of 60 bits of each row's md5."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns])), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.sum(bits).cast("string")
+
+
+def _assembled(spark: SparkSession, sf: str, queries: DataFrame) -> DataFrame:
+    """Subgraph of each key in one row: nodes, bases, edges and walk, counted and digested. The context is expanded once."""
+    nodes = materialize(_context_of(spark, sf, queries).select("key", "node_id").distinct().join(T.nodes(spark, sf), "node_id"), "region-nodes")
+    n = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.length("seq")).alias("bases"), _mark("node_id", "seq").alias("node_digest"))
+    e = _edges_of(spark, sf, nodes.select("key", "node_id")).groupBy("key").agg(F.count(F.lit(1)).alias("edges"), _mark("from_handle", "to_handle").alias("edge_digest"))
+    w = _walk_of(spark, sf, queries, nodes.select("key", "node_id")).groupBy("key").agg(F.count(F.lit(1)).alias("visits"), F.min("start").alias("walk_start"), F.max("end").alias("walk_end"), _mark("handle", "start").alias("walk_digest"))
+    return n.join(e, "key", "left").join(w, "key").withColumn("edges", F.coalesce("edges", F.lit(0)))
+
+
+def region_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    queries = T.region_queries(spark, sf).select(F.col("query_id").alias("key"), "contig", "q_start", "q_end")
+    return _assembled(spark, sf, queries).withColumnRenamed("key", "query_id")
+
+
+def tile_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """Each reference tile with its context, and the records and bytes that it would take."""
+    tiles = intervals.tile_references(T.manifests(spark, sf)).select((F.col("manifest_id") * 10_000_000 + F.col("tile_index")).alias("key"), "contig", F.col("core_start").alias("q_start"), F.col("core_end").alias("q_end"))
+    held = _assembled(spark, sf, tiles)
+    size = graph.payload_size(F.col("nodes"), F.col("bases"), F.col("edges"), 2 * F.col("nodes"), F.lit(0))
+    return held.select(F.col("key").alias("tile_key"), "nodes", (2 * F.col("nodes")).alias("records"), "edges", "visits", "node_digest", "edge_digest", size.alias("bytes"))
 
 
 def merged_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,21 +184,43 @@ def _edges(source: str, name: str) -> str:
     return f"{name} AS (SELECT DISTINCT CASE WHEN {_KEPT} THEN a ELSE xor(b, 1::BIGINT) END AS from_handle, CASE WHEN {_KEPT} THEN b ELSE xor(a, 1::BIGINT) END AS to_handle FROM (SELECT handle AS a, lead(handle) OVER (PARTITION BY path_id ORDER BY ord) AS b FROM {source}) WHERE b IS NOT NULL)"
 
 
-_GRAPH = ", ".join((
-    S.REFERENCE_WALK, S.VISITS, S.MANIFESTS, S.QUERIES, S.NODES, S.ORDER_WALKS,
+def _graph(asked: str, *before: str) -> str:
+    return ", ".join((
+    S.REFERENCE_WALK, S.VISITS, S.MANIFESTS, S.QUERIES, *before, S.NODES, S.ORDER_WALKS,
     "ref_path AS (SELECT contig AS path_id, ord, handle FROM reference_walk)", _edges("ref_path", "ref_edges"), _edges("order_walks", "order_edges"),
     "edges AS (SELECT * FROM ref_edges UNION SELECT * FROM order_edges WHERE abs(from_handle // 2 - to_handle // 2) <= 40)",
     "arcs AS (SELECT from_handle AS a, to_handle AS b FROM edges UNION SELECT xor(to_handle, 1::BIGINT), xor(from_handle, 1::BIGINT) FROM edges)",
     "moves AS (SELECT a // 2 AS node_id, CASE WHEN a % 2 = 1 THEN 0 ELSE 1 END AS side, b // 2 AS to_node, CASE WHEN b % 2 = 1 THEN 1 ELSE 0 END AS to_side, 1::BIGINT AS cost FROM arcs "
     "UNION ALL SELECT node_id, side, node_id, 1 - side, greatest(0, length(seq) - 1)::BIGINT FROM nodes, (VALUES (0), (1)) v(side))",
-    "hit AS (SELECT q.query_id, v.*, q.q_start, q.q_end FROM region_queries q JOIN visits v ON q.contig = v.contig AND v.s < q.q_end AND v.e > q.q_start)",
+    "hit AS (SELECT q.query_id, v.*, q.q_start, q.q_end FROM " + asked + " q JOIN visits v ON q.contig = v.contig AND v.s < q.q_end AND v.e > q.q_start)",
     "seeds AS (SELECT query_id, node_id, CASE WHEN handle % 2 = 1 THEN 1 ELSE 0 END AS side, greatest(s, q_start) - s AS d FROM hit UNION SELECT query_id, node_id, CASE WHEN handle % 2 = 1 THEN 0 ELSE 1 END, greatest(0, e - least(e, q_end)) FROM hit)",
     "reach AS (SELECT query_id, node_id, side, d FROM seeds UNION SELECT r.query_id, m.to_node, m.to_side, r.d + m.cost FROM reach r JOIN moves m ON r.node_id = m.node_id AND r.side = m.side WHERE r.d + m.cost <= 30)",
     "context AS (SELECT query_id, node_id, side, min(d) AS distance FROM reach GROUP BY ALL)", "chosen AS (SELECT DISTINCT query_id, node_id FROM context)",
-))
+    ))
+
+
+_GRAPH = _graph("region_queries")
 _BASE = ", ".join((S.REFERENCE_WALK, S.ORDER_WALKS, "ref_path AS (SELECT contig AS path_id, ord, handle FROM reference_walk)", _edges("ref_path", "ref_edges"), _edges("order_walks", "order_edges"), "edges AS (SELECT * FROM ref_edges UNION SELECT * FROM order_edges WHERE abs(from_handle // 2 - to_handle // 2) <= 40)"))
 
 
+def _walked(asked: str) -> str:
+    return f"""marked AS (SELECT q.query_id, v.ord, v.handle, v.s, v.e, v.s < q.q_end AND v.e > q.q_start AS core, c.node_id IS NOT NULL OR (v.s < q.q_end AND v.e > q.q_start) AS selected
+  FROM {asked} q JOIN visits v ON v.contig = q.contig LEFT JOIN chosen c ON c.query_id = q.query_id AND c.node_id = v.node_id WHERE v.s < q.q_end + 120 AND v.e > q.q_start - 120),
+ends AS (SELECT query_id, min(ord) AS f, max(ord) AS l FROM marked WHERE core GROUP BY query_id),
+walked AS (SELECT m.query_id, m.ord, m.handle, m.s, m.e FROM marked m JOIN ends x USING (query_id)
+WHERE m.ord BETWEEN x.f AND x.l OR (m.selected AND NOT EXISTS (SELECT 1 FROM marked o WHERE o.query_id = m.query_id AND NOT o.selected AND o.ord BETWEEN least(m.ord, x.l) AND greatest(m.ord, x.f) AND (o.ord < x.f OR o.ord > x.l))))"""
+
+
+def _marked(*columns: str) -> str:
+    return f"sum(('0x' || substr(md5(concat_ws(':', {', '.join(c + '::VARCHAR' for c in columns)})), 1, 15))::BIGINT)::VARCHAR"
+
+
+_ASKED = "asked AS (SELECT manifest_id * 10000000 + tile_index AS query_id, contig, core_start AS q_start, core_end AS q_end FROM tiles)"
+_COUNTED = f"""n AS (SELECT query_id, count(*) AS nodes, sum(length(seq))::BIGINT AS bases, {_marked('node_id', 'seq')} AS node_digest FROM chosen JOIN nodes USING (node_id) GROUP BY query_id),
+x AS (SELECT c.query_id, count(*) AS edges, {_marked('from_handle', 'to_handle')} AS edge_digest FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2 GROUP BY c.query_id),
+w AS (SELECT query_id, count(*) AS visits, min(s) AS walk_start, max(e) AS walk_end, {_marked('handle', 's')} AS walk_digest FROM walked GROUP BY query_id)"""
+
+
 def _flagged(flag: str) -> str:
     return f"w{flag} AS (SELECT l_orderkey AS path_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, (l_partkey + 1) * 2 AS handle FROM lineitem WHERE l_returnflag = '{flag}'), {_edges(f'w{flag}', f'e{flag}')}"
 
@@ -167,12 +229,9 @@ QUERIES = {
     "context_nodes": (context_nodes, f"WITH RECURSIVE {_GRAPH} SELECT query_id, node_id, side, distance FROM context"),
     "region_nodes": (region_nodes, f"WITH RECURSIVE {_GRAPH} SELECT query_id, node_id, seq FROM chosen JOIN nodes USING (node_id)"),
     "region_edges": (region_edges, f"WITH RECURSIVE {_GRAPH} SELECT c.query_id, e.from_handle, e.to_handle FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2"),
-    "region_walk": (region_walk, f"""WITH RECURSIVE {_GRAPH},
-marked AS (SELECT q.query_id, v.ord, v.handle, v.s, v.e, v.s < q.q_end AND v.e > q.q_start AS core, c.node_id IS NOT NULL OR (v.s < q.q_end AND v.e > q.q_start) AS selected
-  FROM region_queries q JOIN visits v ON v.contig = q.contig LEFT JOIN chosen c ON c.query_id = q.query_id AND c.node_id = v.node_id WHERE v.s < q.q_end + 120 AND v.e > q.q_start - 120),
-ends AS (SELECT query_id, min(ord) AS f, max(ord) AS l FROM marked WHERE core GROUP BY query_id)
-SELECT m.query_id, m.ord, m.handle, m.s AS start_pos, m.e AS end_pos FROM marked m JOIN ends x USING (query_id)
-WHERE m.ord BETWEEN x.f AND x.l OR (m.selected AND NOT EXISTS (SELECT 1 FROM marked o WHERE o.query_id = m.query_id AND NOT o.selected AND o.ord BETWEEN least(m.ord, x.l) AND greatest(m.ord, x.f) AND (o.ord < x.f OR o.ord > x.l)))"""),
+    "region_walk": (region_walk, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')} SELECT query_id, ord, handle, s AS start_pos, e AS end_pos FROM walked"),
+    "region_subgraph": (region_subgraph, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')}, {_COUNTED} SELECT query_id, nodes, bases, node_digest, coalesce(edges, 0) AS edges, edge_digest, visits, walk_start, walk_end, walk_digest FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id)"),
+    "tile_subgraph": (tile_subgraph, f"WITH RECURSIVE {_graph('asked', S.TILES, _ASKED)}, {_walked('asked')}, {_COUNTED} SELECT query_id AS tile_key, nodes, 2 * nodes AS records, coalesce(edges, 0) AS edges, visits, node_digest, edge_digest, 128 + nodes * 16 + bases + coalesce(edges, 0) * 16 + 2 * nodes * 24 AS bytes FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id)"),
     "merged_nodes": (merged_nodes, f"WITH {S.NODES} SELECT node_id, seq FROM nodes WHERE node_id IN (SELECT l_partkey + 1 FROM lineitem)"),
     "graph_diff": (graph_diff, f"WITH {_flagged('A')}, {_flagged('R')} SELECT *, 'missing' AS side FROM (SELECT * FROM eA EXCEPT SELECT * FROM eR) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM eR EXCEPT SELECT * FROM eA)"),
     "edge_classes": (edge_classes, f"WITH {_BASE}, long AS (SELECT node_id FROM reference_walk WHERE seq_len > 4) SELECT from_handle, to_handle, CASE WHEN (from_handle, to_handle) IN (SELECT (from_handle, to_handle) FROM ref_edges) THEN 'reference' WHEN from_handle % 2 <> to_handle % 2 THEN 'inversion' WHEN from_handle // 2 IN (SELECT node_id FROM long) AND to_handle // 2 IN (SELECT node_id FROM long) THEN 'deletion' ELSE 'alternate' END AS kind FROM edges"),
