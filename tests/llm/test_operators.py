@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_helpers import words
+from llm_helpers import brute_components, brute_lines, words
 from pyspark.sql import functions as F
 
 from rangeloom.llm import ann, bit_sliced, html_text, jaccard_join, language_id, line_dedup, packing, quality, sharding, source_mix
@@ -112,14 +112,6 @@ def test_overfull_cuckoo_filter_stays_sound():
         CuckooFilter(16).delete(keys[0])
 
 
-def brute_lines(texts, least):
-    def key(line):
-        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-
-    count = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
-    return ["\n".join(x for x in (t or "").split("\n") if count[key(x)] < least) for t in texts]
-
-
 def test_line_dedup_against_brute_force(make_docs, rng):
     common = ["Share this!", "  SHARE this!\t", "Éa", "ÉA", "", "menu", "Menu "]
     texts = ["\n".join(rng.choice(common) if rng.random() < 0.5 else words(rng, 4) for _ in range(rng.randrange(1, 12))) for _ in range(60)] + [None, ""]
@@ -291,27 +283,6 @@ def test_tree_grows_with_the_table(spark):
 # --- Jaccard join
 
 
-def brute_components(texts, part=75, whole=100):
-    def grams(t):
-        w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\x0b", " ").split() if x]
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [grams(t) for t in texts]
-    up = list(range(len(texts)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[i] & sets[j])
-        if both and whole * both >= part * (len(sets[i]) + len(sets[j]) - both):
-            a, b = sorted((root(i), root(j)))
-            up[b] = a
-    return [len(s) for s in sets], [root(i) for i in range(len(texts))]
-
-
 def near_copy(rng, text, changes):
     w = text.split()
     for _ in range(changes):
