@@ -18,12 +18,14 @@ extra columns stay untouched; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,32 @@ from pyspark.sql import functions as F
 from .common import extended
 
 
-def _class_of(kinds: str) -> str:
-    """The characters whose general category begins with one of `kinds`, as ranges of a pattern."""
-    held = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] in kinds]
-    cuts = [i for i, (a, b) in enumerate(zip(held[:-1], held[1:], strict=True)) if b != a + 1]
-    return "".join(f"\\U{held[a]:08x}-\\U{held[b]:08x}" for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(held) - 1], strict=True))
+def _word_pattern(last: int) -> re.Pattern[str]:
+    """A letter and the letters and marks that follow, among the characters up to `last`."""
+
+    def ranges(kinds: str) -> str:
+        held = [i for i in range(last + 1) if unicodedata.category(chr(i))[0] in kinds]
+        cuts = [i for i, (a, b) in enumerate(itertools.pairwise(held)) if b != a + 1]
+        return "".join(f"\\U{held[a]:08x}-\\U{held[b]:08x}" for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(held) - 1], strict=True))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
+#: Patterns of few characters match faster: ASCII, Latin, the first plane. The whole one is built when it is first needed.
+_ASCII, _LATIN, _PLANE = re.compile("[A-Za-z]+"), _word_pattern(0x24F), _word_pattern(0xFFFF)
+_whole = cache(partial(_word_pattern, sys.maxunicode))
+_BEYOND_LATIN, _BEYOND_PLANE = re.compile("[^\\u0000-\\u024f]"), re.compile("[^\\u0000-\\uffff]")
+
+
+def find_words(text: str) -> list[str]:
+    """The words of a text."""
+    if text.isascii():
+        return _ASCII.findall(text)
+    if not _BEYOND_LATIN.search(text):
+        return _LATIN.findall(text)
+    return (_whole() if _BEYOND_PLANE.search(text) else _PLANE).findall(text)
 
 
-WORD = re.compile(f"[{_class_of('L')}][{_class_of('LM')}]*")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 #: Numbers in a worker's cache of word scores.
@@ -98,25 +118,25 @@ class LanguageModel:
         return np.zeros(len(self.langs))
 
     def scorer(self):
-        cache: dict[str, np.ndarray] = {}
+        known_rows: dict[str, np.ndarray] = {}
         langs = self.langs
         most = max(1_000, CACHE_NUMBERS // max(1, len(langs)))
 
         def learn(words: list[str]) -> None:
             rows, known = self.kinds[0].rows(words)
             for w, row, k in zip(words, rows, known, strict=True):
-                cache[w] = row if k else self.backoff(w)
+                known_rows[w] = row if k else self.backoff(w)
 
         def score(text: str | None) -> tuple[str, float]:
-            counts = Counter(WORD.findall(text.lower())) if text else None
+            counts = Counter(find_words(text.lower())) if text else None
             if not counts or not langs:
                 return UNKNOWN, 0.0
-            if len(cache) > most:
-                cache.clear()
-            if fresh := [w for w in counts if w not in cache]:
+            if len(known_rows) > most:
+                known_rows.clear()
+            if fresh := [w for w in counts if w not in known_rows]:
                 learn(fresh)
             n = np.fromiter(counts.values(), np.float64, len(counts))
-            mean = n @ np.array([cache[w] for w in counts]) / n.sum()
+            mean = n @ np.array([known_rows[w] for w in counts]) / n.sum()
             odds = np.exp((mean - mean.max()) * min(n.sum(), 20.0))
             best = int(np.argmax(mean))
             return langs[best], float(odds[best] / odds.sum())
@@ -128,7 +148,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter[tuple[str, int, str]] = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for word, n in Counter(WORD.findall(text.lower())).items():
+            for word, n in Counter(find_words(text.lower())).items():
                 counts[lang, 0, word] += n
                 padded = f"<{word}>"
                 for order in ORDERS:

@@ -35,7 +35,8 @@ def test_language_backs_off_to_shorter_grams(spark, make_docs):
     assert score("schwalbe")[0] == "de" and score("quizas")[0] == "es"
     assert score("zzz###")[0] in ("de", "es")
     assert {score(x)[0] for x in ("123", "\u00bd \u00b2 \u2167 \u0661", "_ - !", "\u0301")} == {"und"}
-    assert language_id.WORD.findall("a\u0301b \u0939\u093f\u0928\u094d\u0926\u0940 x1y") == ["a\u0301b", "\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y"]
+    assert language_id.find_words("a\u0301b \u0939\u093f\u0928\u094d\u0926\u0940 x1y") == ["a\u0301b", "\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y"]
+    assert language_id.find_words("\U00010400\U00010401 b\u00e9 \U0001f600 \u01c5x") == ["\U00010400\U00010401", "b\u00e9", "\u01c5x"] and language_id.find_words("na\u00efve \u00bd") == ["na\u00efve"]
 
 
 # --- source mixing
