@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import handles as H
@@ -16,8 +16,7 @@ from .walk_queries import event_walks
 def locate_starts(spark: SparkSession, sf: str) -> DataFrame:
     """The user of each walk start, found again from its tile, handle and occurrence alone."""
     v = T.event_visits(spark, sf)
-    numbered = v.withColumn("occurrence", F.row_number().over(Window.partitionBy("tile_id", "handle").orderBy("path_id", "ord")) - 1)
-    starts = walks.traversal_starts(numbered.select("tile_id", "path_id", "ord", "handle", "occurrence")).select("tile_id", "handle", "occurrence")
+    starts = walks.traversal_starts(audit.occurrences(v).select("tile_id", "path_id", "ord", "handle", "occurrence")).select("tile_id", "handle", "occurrence")
     return audit.locate(starts, v).select("tile_id", "handle", F.col("occurrence").cast("long").alias("occurrence"), "path_id")
 
 
@@ -94,7 +93,7 @@ def gfa_scan(spark: SparkSession, sf: str) -> DataFrame:
     nodes = T.nodes(spark, sf).select(F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), "seq").alias("value"))
     ref = T.reference_walk(spark, sf).select(F.col("contig").alias("path_id"), "ord", "handle")
     side = lambda h: F.when(H.is_reverse(F.col(h)), "-").otherwise("+")
-    edges = graph.canonical_edges(ref).select(F.concat_ws("\t", F.lit("L"), H.node_of(F.col("from_handle")).cast("string"), side("from_handle"), H.node_of(F.col("to_handle")).cast("string"), side("to_handle"), F.lit("0M")).alias("value"))
+    edges = graph.canonical_edges(ref, long=True).select(F.concat_ws("\t", F.lit("L"), H.node_of(F.col("from_handle")).cast("string"), side("from_handle"), H.node_of(F.col("to_handle")).cast("string"), side("to_handle"), F.lit("0M")).alias("value"))
     steps = ref.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(H.node_of(F.col("handle")).cast("string"), F.lit("+")).alias("s")))).alias("w"))
     paths = steps.select(F.concat_ws("\t", F.lit("P"), "path_id", F.array_join(F.transform("w", lambda x: x["s"]), ","), F.lit("*")).alias("value"))
     lines = nodes.union(edges).union(paths)

@@ -21,7 +21,7 @@ def graph_edges(spark: SparkSession, sf: str, *, every: bool = False) -> DataFra
     alt = graph.canonical_edges(T.order_walks(spark, sf))
     if not every:
         alt = alt.where(F.abs(H.node_of(F.col("from_handle")) - H.node_of(F.col("to_handle"))) <= 40)
-    return graph.canonical_edges(ref).union(alt).distinct()
+    return graph.canonical_edges(ref, long=True).union(alt).distinct()
 
 
 def _visits(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,6 +101,12 @@ def region_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return _assembled(spark, sf, queries).withColumnRenamed("key", "query_id")
 
 
+def contig_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """A digest of each contig's walk and sequences that neither depends on any order nor gathers a contig."""
+    held = T.reference_walk(spark, sf).join(T.nodes(spark, sf), "node_id")
+    return held.groupBy("contig").agg(F.count(F.lit(1)).alias("visits"), F.sum("seq_len").alias("bases"), _mark("ord", "handle", "seq").alias("digest"))
+
+
 def tile_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """Each reference tile with its context, and the records and bytes that it would take."""
     tiles = intervals.tile_references(T.manifests(spark, sf)).select((F.col("manifest_id") * 10_000_000 + F.col("tile_index")).alias("key"), "contig", F.col("core_start").alias("q_start"), F.col("core_end").alias("q_end"))
@@ -129,7 +135,7 @@ def graph_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def edge_classes(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
     ref = T.reference_walk(spark, sf).select(F.col("contig").alias("path_id"), "ord", "handle")
-    return graph.edge_classes(graph_edges(spark, sf, every=every), graph.canonical_edges(ref), T.reference_walk(spark, sf).where(F.col("seq_len") > 4).select("node_id"))
+    return graph.edge_classes(graph_edges(spark, sf, every=every), graph.canonical_edges(ref, long=True), T.reference_walk(spark, sf).where(F.col("seq_len") > 4).select("node_id"))
 
 
 def alt_components(spark: SparkSession, sf: str, *, every: bool = False) -> DataFrame:
@@ -231,6 +237,7 @@ QUERIES = {
     "region_edges": (region_edges, f"WITH RECURSIVE {_GRAPH} SELECT c.query_id, e.from_handle, e.to_handle FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2"),
     "region_walk": (region_walk, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')} SELECT query_id, ord, handle, s AS start_pos, e AS end_pos FROM walked"),
     "region_subgraph": (region_subgraph, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')}, {_COUNTED} SELECT query_id, nodes, bases, node_digest, coalesce(edges, 0) AS edges, edge_digest, visits, walk_start, walk_end, walk_digest FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id)"),
+    "contig_digest": (contig_digest, f"WITH {S.NODES}, {S.REFERENCE_WALK} SELECT contig, count(*) AS visits, sum(seq_len)::BIGINT AS bases, {_marked('ord', 'handle', 'seq')} AS digest FROM reference_walk JOIN nodes USING (node_id) GROUP BY contig"),
     "tile_subgraph": (tile_subgraph, f"WITH RECURSIVE {_graph('asked', S.TILES, _ASKED)}, {_walked('asked')}, {_COUNTED} SELECT query_id AS tile_key, nodes, 2 * nodes AS records, coalesce(edges, 0) AS edges, visits, node_digest, edge_digest, 128 + nodes * 16 + bases + coalesce(edges, 0) * 16 + 2 * nodes * 24 AS bytes FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id)"),
     "merged_nodes": (merged_nodes, f"WITH {S.NODES} SELECT node_id, seq FROM nodes WHERE node_id IN (SELECT l_partkey + 1 FROM lineitem)"),
     "graph_diff": (graph_diff, f"WITH {_flagged('A')}, {_flagged('R')} SELECT *, 'missing' AS side FROM (SELECT * FROM eA EXCEPT SELECT * FROM eR) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM eR EXCEPT SELECT * FROM eA)"),

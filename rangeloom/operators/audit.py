@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import in_blocks, running_count
 
 def pairing(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Full outer pairing of two tables on keys, with `status`: same, differs, missing (only in a) or extra (only in b)."""
@@ -38,25 +39,34 @@ def outcome(expected_hash: Column, expected_error: Column, actual_hash: Column,
     )
 
 
+def occurrences(visits: DataFrame) -> DataFrame:
+    """Adds `occurrence`: numbers the visits of each (tile_id, handle) from 0, by path and place, over blocks of path ids."""
+    counted = running_count(in_blocks(visits, "path_id"), ["tile_id", "handle"], ["path_id", "ord"], F.lit(1))
+    return counted.withColumn("occurrence", F.col("_count") - 1).drop("_block", "_count")
+
+
 def locate(starts: DataFrame, visits: DataFrame) -> DataFrame:
     """The path of each (tile, handle, occurrence): occurrences of a handle are numbered by path and place.
 
     With the walks stored, locating is one equi-join; starts without a path are an error.
     """
-    by = Window.partitionBy("tile_id", "handle").orderBy("path_id", "ord")
-    numbered = visits.withColumn("occurrence", F.row_number().over(by) - 1).select("tile_id", "handle", "occurrence", "path_id", F.lit(True).alias("_found"))
+    numbered = occurrences(visits).select("tile_id", "handle", "occurrence", "path_id", F.lit(True).alias("_found"))
     held = starts.join(numbered, ["tile_id", "handle", "occurrence"], "left")
     found = F.when(F.col("_found"), True).otherwise(F.raise_error(F.lit("an occurrence belongs to no path")).cast("boolean"))
     return held.where(found).drop("_found")
 
 
 def successor_runs(visits: DataFrame) -> DataFrame:
-    """Run-length coding of each handle's successors in the order of paths: tile_id, handle, run, successor (0 at an end), length."""
+    """Run-length coding of each handle's successors in the order of paths: tile_id, handle, run, successor (0 at an end), length.
+
+    A run starts where the occurrence before has another successor, which an equi-join on its number tells.
+    """
     step = Window.partitionBy("tile_id", "path_id").orderBy("ord")
-    next_ = visits.withColumn("successor", F.coalesce(F.lead("handle").over(step), F.lit(0)))
-    by = Window.partitionBy("tile_id", "handle").orderBy("path_id", "ord")
-    marked = next_.withColumn("_new", F.when(F.lag("successor").over(by).eqNullSafe(F.col("successor")), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    next_ = occurrences(visits.withColumn("successor", F.coalesce(F.lead("handle").over(step), F.lit(0))))
+    before = next_.select("tile_id", "handle", (F.col("occurrence") + 1).alias("occurrence"), F.col("successor").alias("_before"))
+    marked = next_.join(before, ["tile_id", "handle", "occurrence"], "left")
+    new = F.when(F.col("_before").eqNullSafe(F.col("successor")), 0).otherwise(1)
+    runs = running_count(in_blocks(marked, "path_id"), ["tile_id", "handle"], ["path_id", "ord"], new).withColumnRenamed("_count", "run")
     return runs.groupBy("tile_id", "handle", "run", "successor").agg(F.count(F.lit(1)).alias("length"))
 
 

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import handles as H
 from ..sources.scratch import materialize
 from .intervals import overlap_join
+from .ordered import prefix_sums
 
 
-def canonical_edges(walks: DataFrame) -> DataFrame:
-    """Distinct edges between consecutive visits, in canonical orientation: from_handle, to_handle. walks: path_id, ord, handle."""
-    by = Window.partitionBy("path_id").orderBy("ord")
-    steps = walks.select(F.col("handle").alias("a"), F.lead("handle").over(by).alias("b")).where(F.col("b").isNotNull())
+def canonical_edges(walks: DataFrame, *, long: bool = False) -> DataFrame:
+    """Distinct edges between consecutive visits, in canonical orientation: from_handle, to_handle. walks: path_id, ord, handle.
+
+    long: a path may hold most visits; its visits are numbered over blocks and meet their followers in an equi-join.
+    """
+    if long:
+        at = prefix_sums(walks.select("path_id", "ord", "handle"), ["path_id"], "ord", F.lit(1))
+        after = at.select("path_id", (F.col("before") - 1).alias("before"), F.col("handle").alias("b"))
+        steps = at.select("path_id", "before", F.col("handle").alias("a")).join(after, ["path_id", "before"])
+    else:
+        by = Window.partitionBy("path_id").orderBy("ord")
+        steps = walks.select(F.col("handle").alias("a"), F.lead("handle").over(by).alias("b")).where(F.col("b").isNotNull())
     keep = H.is_canonical_edge(F.col("a"), F.col("b"))
     return steps.select(F.when(keep, F.col("a")).otherwise(H.flip(F.col("b"))).alias("from_handle"), F.when(keep, F.col("b")).otherwise(H.flip(F.col("a"))).alias("to_handle")).distinct()
 
@@ -58,7 +67,11 @@ def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, context
         F.lit(1).cast("long").alias("cost"),
     )
     crossing = nodes.select("node_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.greatest(F.lit(0), F.length("seq") - 1).cast("long").alias("cost"))
-    links = materialize(links.unionByName(crossing.select("node_id", "side", F.col("node_id").alias("to_node"), (1 - F.col("side")).alias("to_side"), "cost")), "arcs")
+    # Crossing a node and leaving it on the other side is a move of its own, which halves the rounds.
+    over = crossing.select("node_id", F.col("side").alias("_from"), (1 - F.col("side")).alias("side"), F.col("cost").alias("_cross"))
+    through = over.join(links, ["node_id", "side"]).select("node_id", F.col("_from").alias("side"), "to_node", "to_side", (F.col("cost") + F.col("_cross")).alias("cost"))
+    crossed = crossing.select("node_id", "side", F.col("node_id").alias("to_node"), (1 - F.col("side")).alias("to_side"), "cost")
+    links = materialize(links.unionByName(crossed).unionByName(through).where(F.col("cost") <= context), "arcs")
     keys = ["key", "node_id", "side"]
     frontier = materialize(seeds.groupBy(*keys).agg(F.min(F.col("distance").cast("long")).alias("distance")), "context")
     known = frontier
