@@ -296,6 +296,7 @@ def test_jaccard_join_against_brute_force(make_docs, rng, monkeypatch, block, pi
     """Also with families of many pieces, whose near copies lie on both sides of the threshold."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     monkeypatch.setattr(jaccard_join, "PIECE_SETS", piece)
+    monkeypatch.setattr(jaccard_join, "SPOKESMEN", min(16, piece // 2))
     base = [words(rng, n) for n in (5, 8, 30, 120, 300)]
     passage = words(rng, 60)
     texts = [near_copy(rng, rng.choice(base), rng.randrange(0, 9)) for _ in range(70)]
