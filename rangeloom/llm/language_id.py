@@ -66,6 +66,8 @@ ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 #: Numbers in a worker's cache of word scores.
 CACHE_NUMBERS = 4_000_000
+#: Texts whose new words are looked up together.
+SCORED_TEXTS = 64
 
 
 def _hashes(terms: list[str]) -> np.ndarray:
@@ -95,10 +97,12 @@ class Terms:
         wanted = _hashes(terms)
         at = np.minimum(np.searchsorted(self.hashes, wanted), max(0, len(self.hashes) - 1))
         known = self.hashes[at] == wanted if len(self.hashes) else np.zeros(len(terms), bool)
-        out = np.tile(self.unseen, (len(terms), 1))
-        for row in np.flatnonzero(known):
-            a, b = self.starts[at[row]], self.starts[at[row] + 1]
-            out[row, self.langs[a:b]] += self.gains[a:b]
+        out = np.broadcast_to(self.unseen, (len(terms), len(self.unseen))).copy()
+        rows = np.flatnonzero(known)
+        first = self.starts[at[rows]]
+        count = self.starts[at[rows] + 1] - first
+        flat = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        out[np.repeat(rows, count), self.langs[flat]] += self.gains[flat]
         return out, known
 
 
@@ -107,39 +111,58 @@ class LanguageModel:
     langs: list[str]
     kinds: dict[int, Terms]  # 0: words, else the n of n-grams
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Scores of a word that is not known: from its longest known n-grams."""
-        padded = f"<{word}>"
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Scores of words that are not known: each from its longest known n-grams."""
+        out, todo, padded = np.zeros((len(words), len(self.langs))), range(len(words)), [f"<{w}>" for w in words]
         for n in ORDERS:
-            if len(padded) >= n:
-                rows, known = self.kinds[n].rows([padded[i : i + n] for i in range(len(padded) - n + 1)])
-                if known.any():
-                    return rows[known].mean(axis=0)
-        return np.zeros(len(self.langs))
+            grams = [(i, padded[i][j : j + n]) for i in todo for j in range(len(padded[i]) - n + 1)]
+            if grams:
+                rows, known = self.kinds[n].rows([g for _, g in grams])
+                owner = np.array([i for i, _ in grams])[known]
+                held, sums = np.bincount(owner, minlength=len(words)), np.zeros_like(out)
+                np.add.at(sums, owner, rows[known])
+                out[held > 0] = sums[held > 0] / held[held > 0, None]
+                todo = [i for i in todo if not held[i]]
+        return out
 
     def scorer(self):
-        known_rows: dict[str, np.ndarray] = {}
+        """A function from texts to (language, score), which remembers the scores of words."""
         langs = self.langs
         most = max(1_000, CACHE_NUMBERS // max(1, len(langs)))
+        place: dict[str, int] = {}
+        table = np.zeros((0, len(langs)))
 
         def learn(words: list[str]) -> None:
+            nonlocal table
+            if len(place) + len(words) > most:
+                place.clear()
             rows, known = self.kinds[0].rows(words)
-            for w, row, k in zip(words, rows, known, strict=True):
-                known_rows[w] = row if k else self.backoff(w)
-
-        def score(text: str | None) -> tuple[str, float]:
-            counts = Counter(find_words(text.lower())) if text else None
-            if not counts or not langs:
-                return UNKNOWN, 0.0
-            if len(known_rows) > most:
-                known_rows.clear()
-            if fresh := [w for w in counts if w not in known_rows]:
+            unknown = np.flatnonzero(~known)
+            rows[unknown] = self.backoff([words[i] for i in unknown])
+            start = len(place)
+            if start + len(words) > len(table):
+                table = np.concatenate([table[:start], np.zeros((start + 2 * len(words) + len(table), len(langs)))])
+            table[start : start + len(words)] = rows
+            place.update(zip(words, range(start, start + len(words)), strict=True))
+
+        def score(texts: list[str | None]) -> list[tuple[str, float]]:
+            found = []
+            counts = [Counter(find_words(t.lower())) if t and langs else {} for t in texts]
+            fresh = list(dict.fromkeys(w for c in counts for w in c if w not in place))
+            if fresh:
+                if len(place) + len(fresh) > most:  # the cache is emptied, so all words of these texts are learned
+                    fresh = list(dict.fromkeys(w for c in counts for w in c))
                 learn(fresh)
-            n = np.fromiter(counts.values(), np.float64, len(counts))
-            mean = n @ np.array([known_rows[w] for w in counts]) / n.sum()
-            odds = np.exp((mean - mean.max()) * min(n.sum(), 20.0))
-            best = int(np.argmax(mean))
-            return langs[best], float(odds[best] / odds.sum())
+            for c in counts:
+                if not c:
+                    found.append((UNKNOWN, 0.0))
+                    continue
+                n = np.fromiter(c.values(), np.float64, len(c))
+                mean = n @ table[np.fromiter(map(place.__getitem__, c), np.int64, len(c))] / n.sum()
+                odds = np.exp((mean - mean.max()) * min(n.sum(), 20.0))
+                best = int(np.argmax(mean))
+                found.append((langs[best], float(odds[best] / odds.sum())))
+            return found
 
         return score
 
@@ -180,7 +203,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
         for batch in batches:
-            found = [score(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            found = [x for at in range(0, len(texts), SCORED_TEXTS) for x in score(texts[at : at + SCORED_TEXTS])]
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns |= {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
