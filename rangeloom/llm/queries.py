@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bit_sliced, html_text, jaccard_join, language_id, line_dedup, packing, quality, sharding, source_mix
+from . import ann, bit_sliced, divergence, html_text, jaccard_join, language_id, line_dedup, merkle, packing, quality, sharding, source_mix
 from .common import materialize, table
+from .token_files import TokenFiles
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return TokenFiles.write(docs, vocabulary="word_bpe_49k.json", end_id=1).documents()
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, most_terms=10)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = merkle.row_digest(*[F.col(c) for c in docs.columns])
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    claimed = F.when(tampered, merkle.row_digest(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in docs.columns])).otherwise(leaf)
+    return merkle.build(docs, leaf, claimed).proofs().select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_source_mix, op3_line_dedup, op4_html_text, op5_bit_sliced_top_k, op6_kmeans_tree, op7_jaccard_join, op8_best_fit, op9_shards, op10_quality)
+    ops = (
+        op1_language_id, op2_source_mix, op3_line_dedup, op4_html_text, op5_bit_sliced_top_k, op6_kmeans_tree, op7_jaccard_join,
+        op8_best_fit, op9_shards, op10_quality, op11_token_files, op12_source_divergence, op13_merkle_manifest,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -130,6 +151,60 @@ SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_i
 FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id, s.n
 """
 
+_OP12 = r"""
+WITH words AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM words),
+seen AS (SELECT lang, source, doc, unnest(w) AS term FROM words),
+kept AS (SELECT lang, term, count(*) AS n FROM seen GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM seen JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * s.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 2) // (s.total + 2 * s.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP13 = """
+WITH RECURSIVE marked AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS key, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+             lambda c, d: list_reduce(list_concat([xor(c, d)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+  FROM documents),
+leaves AS (
+  SELECT *, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS other FROM marked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM leaves),
+tree AS (
+  SELECT key, 0 AS lvl, place AS idx, leaf AS h, n FROM placed
+  UNION ALL SELECT key, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY key, lvl, idx // 2, n),
+subroots AS (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, place AS idx, subroot AS h, n FROM subroots
+  UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, idx // 2, n),
+levels AS (SELECT key, 0 AS stage, lvl, idx, h, n FROM tree UNION ALL SELECT NULL, 1, lvl, idx, h, n FROM top),
+climb AS (
+  SELECT p.doc_id, p.key, p.place AS doc, s.place AS at_top, 0 AS stage, 0 AS lvl, p.place AS idx, p.n, coalesce(p.other, p.leaf) AS h, '' AS path, p.leaf, s.subroot, s.n AS tops FROM placed p JOIN subroots s USING (key)
+  UNION ALL
+  SELECT c.doc_id, c.key, c.doc, c.at_top, CASE WHEN c.n > 1 THEN c.stage ELSE 1 END, CASE WHEN c.n > 1 THEN c.lvl + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.idx // 2 ELSE c.at_top END,
+         CASE WHEN c.n > 1 THEN (c.n + 1) // 2 ELSE c.tops END,
+         CASE WHEN c.n <= 1 THEN c.h WHEN c.idx % 2 = 1 THEN sha256(x.h || c.h) ELSE sha256(c.h || coalesce(x.h, '')) END, c.path || CASE WHEN c.n > 1 THEN coalesce(x.h, '') ELSE '' END, c.leaf, c.subroot, c.tops
+  FROM climb c LEFT JOIN levels x ON x.stage = c.stage AND x.key IS NOT DISTINCT FROM CASE WHEN c.stage = 0 THEN c.key END AND x.lvl = c.lvl AND x.idx = xor(c.idx, 1::BIGINT)
+  WHERE c.n > 1 OR c.stage = 0)
+SELECT c.doc_id, c.leaf, c.subroot, t.h AS root, sha256(c.path) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+FROM climb c CROSS JOIN (SELECT h FROM top WHERE n = 1) t WHERE c.stage = 1 AND c.n = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": _OP2, "op3_line_dedup": _OP3, "op5_bit_sliced_top_k": _OP5, "op7_jaccard_join": _OP7}
+    return {"op2_source_mix": _OP2, "op3_line_dedup": _OP3, "op5_bit_sliced_top_k": _OP5, "op7_jaccard_join": _OP7, "op12_source_divergence": _OP12, "op13_merkle_manifest": _OP13}

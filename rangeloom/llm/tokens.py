@@ -6,8 +6,12 @@ import base64
 import json
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
+#: ASCII white space as a blank.
+SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str, added: bool = False):
@@ -32,3 +36,71 @@ def encoder(vocabulary: str, added: bool = False):
     slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     slow.encode_special_tokens = not added
     return lambda text: slow.encode(text, add_special_tokens=False).ids
+
+
+def words_apart(vocabulary: str) -> bool:
+    """Whether the ids of a text are those of its words, parted by ASCII white space, one after the other.
+
+    So it is if the splitting pattern keeps no white space and the normalizers neither join nor see across it.
+    """
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        told = json.load(file)
+    normalizer, splitter = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    normalizers = normalizer.get("normalizers", [normalizer])
+    local = all(n.get("type") in ("NFC", "Lowercase") or (n.get("type") == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ") for n in normalizers)
+    splits = [s for s in splitter.get("pretokenizers", [splitter]) if s.get("type") == "Split"]
+    # An inverted split that removes what does not match keeps the matches; no alternative of this one matches white space.
+    kept = any(s["behavior"] == "Removed" and s["invert"] and s["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+") for s in splits)
+    return local and kept and not told.get("post_processor")
+
+
+class WordEncoder:
+    """Encodes texts with the tokenizers library, word by word where the vocabulary allows it; a word is encoded once a task.
+
+    The table of known words is emptied when it holds `most_words` words or `most_ids` ids, so memory is bounded.
+    """
+
+    def __init__(self, vocabulary: str, *, most_words: int = 200_000, most_ids: int = 2_000_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.apart = words_apart(vocabulary)
+        self.most_words, self.most_ids = most_words, most_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1024, np.uint32), 0
+        self.ends = np.zeros(1024, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            for word, found in zip(words[at : at + 4096], self.tokenizer.encode_batch(words[at : at + 4096], add_special_tokens=False), strict=True):
+                ids = found.ids
+                n = len(self.known)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                if n >= len(self.ends):
+                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+                self.ends[n] = self.used
+                self.known[word] = n
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has."""
+        if not self.apart:
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        if len(self.known) > self.most_words or self.used > self.most_ids:
+            self._clear()
+        split = [t.translate(SPACES).split(" ") for t in texts]
+        self._learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known])
+        at = np.fromiter((self.known[w] for words in split for w in words), np.int64)
+        ends = self.ends[at]
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        sizes = ends - starts
+        stops = np.cumsum(sizes)
+        flat = self.flat[np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        last = np.cumsum([len(words) for words in split])
+        return flat, np.diff(np.append(0, stops[last - 1]))
