@@ -38,29 +38,25 @@ class Stream:
 
 def bits_of(values: np.ndarray) -> np.ndarray:
     """Binary digits of unsigned values."""
-    out = np.zeros(len(values), np.uint8)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step) > 0
-        out[high] += step
-        rest[high] >>= np.uint64(step)
-    return out + (rest > 0)
-
-
-def _escape_width(bits: np.ndarray) -> int:
-    """The widest value that a block packs: what lies above costs less as escapes than the words that it would widen."""
-    widest = int(bits.max(initial=0))
-    best, cost = 60, None
-    n = len(bits)
-    for width in WIDTHS[::-1].tolist():
-        outside = int((bits > width).sum())
-        spent = n * width / 7.5 + ESCAPE_BYTES * outside  # sixty of 64 bits hold values
-        if cost is None or spent < cost:
-            best, cost = width, spent
-        if ESCAPE_BYTES * outside > cost:
-            break
-    # The packer mixes widths, so escapes pay only where they are few; else the block is packed as it is.
-    return best if widest > 60 or int((bits > best).sum()) * 64 <= n else 60
+    out = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    wide = np.flatnonzero(values >> np.uint64(53))  # a float may round these up to the next power of two
+    out[wide] = 53 + np.frexp((values[wide] >> np.uint64(53)).astype(np.float64))[1]
+    return out
+
+
+def _escape_widths(bits: np.ndarray, block: int) -> np.ndarray:
+    """For each block the widest value that it packs: what lies above costs less as escapes than the words that it would widen.
+
+    The packer mixes widths, so escapes pay only where they are few; any other block packs whatever fits into a word.
+    """
+    blocks = -(-len(bits) // block)
+    held = np.bincount(np.arange(len(bits)) // block * 65 + bits, minlength=65 * blocks).reshape(blocks, 65)
+    sizes = held.sum(axis=1, keepdims=True)
+    outside = sizes - np.cumsum(held, axis=1)[:, WIDTHS]
+    cost = sizes * WIDTHS / 7.5 + ESCAPE_BYTES * outside  # sixty of 64 bits hold values
+    pick = cost.shape[1] - 1 - np.argmin(cost[:, ::-1], axis=1)
+    few = np.take_along_axis(outside, pick[:, None], 1)[:, 0] * 64 <= sizes[:, 0]
+    return np.where(few | (held[:, 61:].sum(axis=1) > 0), WIDTHS[pick], 60)
 
 
 def _choices(bits: np.ndarray) -> np.ndarray:
@@ -83,8 +79,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> Stream:
     n = len(values)
     bits = bits_of(values)
     starts = np.arange(0, n, block)
-    limits = np.array([_escape_width(bits[a : a + block]) if bits[a : a + block].max() > 12 else 60 for a in starts.tolist()], np.int64)
-    escape_at = np.flatnonzero(bits > np.repeat(limits, np.diff(np.append(starts, n))) if n else bits > 60)
+    escape_at = np.flatnonzero(bits > np.repeat(_escape_widths(bits, block), np.diff(np.append(starts, n))))
     escaped = values[escape_at]
     if len(escape_at):
         values, bits = values.copy(), bits.copy()
@@ -106,10 +101,13 @@ def encode(values: np.ndarray, block: int = BLOCK) -> Stream:
     for selector in np.unique(selectors).tolist():
         count, width = int(COUNTS[selector]), int(BITS[selector])
         mine = np.flatnonzero(selectors == selector)
+        first, end = at[mine], ends[mine]
         packed = np.full(len(mine), selector << 60, np.uint64)
         for i in range(count if width else 0):
-            value = np.where(at[mine] + i < ends[mine], longer[at[mine] + i], np.uint64(0))
-            packed |= value << np.uint64(i * width)
+            value = longer[first + i] << np.uint64(i * width)
+            if i:
+                value[first + i >= end] = 0
+            packed |= value
         words[mine] = packed
     return Stream(n, words, np.array(offsets, np.uint32), escape_at.astype(np.uint32), escaped, block)
 
@@ -138,10 +136,10 @@ def decode(stream: Stream, first: int = 0, last: int | None = None) -> np.ndarra
             continue
         mine = np.flatnonzero(selectors == selector)
         mask = np.uint64((1 << width) - 1)
+        first, left, packed = at[mine], ends[mine] - at[mine], words[mine]
         for i in range(count):
-            place = at[mine] + i
-            inside = place < ends[mine]
-            out[place[inside]] = words[mine][inside] >> np.uint64(i * width) & mask
+            inside = left > i
+            out[first[inside] + i] = packed[inside] >> np.uint64(i * width) & mask
     mine = (stream.escape_at >= start) & (stream.escape_at < end)
     out[stream.escape_at[mine].astype(np.int64) - start] = stream.escaped[mine]
     return out

@@ -10,7 +10,7 @@ a lost task is written again, and readers take as many segments as they like at
 Documents are dealt in ranges of doc_id (and, for rows that share one, of a hash of the text, so that no id is a hot
 key), sorted there, and encoded where they land: texts cross the network once, ids never do.
 
-Words are encoded by the tokenizers library, many at a time, each new word of a task once: the vocabulary drops white
+Words are encoded by the tokenizers library, many at a time, and a worker keeps the ids of those it met first: the vocabulary drops white
 space and never joins what white space parts, so the ids of a text are those of its words in turn (`tokens.words_apart`
 checks that of a vocabulary; others encode whole texts).
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import scratch_dir
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 SEGMENT_IDS = 1 << 16
 _STREAM = "{p}n long, {p}words binary, {p}offsets binary, {p}escape_at binary, {p}escaped binary"
@@ -53,7 +53,7 @@ def stream_of(row: dict, prefix: str) -> simple8b.Stream:
 
 
 def _encode(vocabulary: str, end_id: int, segment_ids: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = WordEncoder(vocabulary)
+    encoder = word_encoder(vocabulary)
     part, segment, first = TaskContext.get().partitionId(), 0, 0
     names: list = []
     sizes: list[int] = []
@@ -66,9 +66,9 @@ def _encode(vocabulary: str, end_id: int, segment_ids: int, schema: pa.Schema, b
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            flat, lengths = encoder.encode([t or "" for t in some.column("text").to_pylist()])
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            flat, lengths = encoder.encode(some.column("text"))
             ends = np.cumsum(lengths + 1)
             whole = np.full(int(ends[-1]), end_id, np.uint32)
             keep = np.ones(len(whole), bool)

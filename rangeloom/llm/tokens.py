@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-
-#: ASCII white space as a blank.
-SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 @lru_cache(maxsize=2)
@@ -54,53 +54,84 @@ def words_apart(vocabulary: str) -> bool:
     return local and kept and not told.get("post_processor")
 
 
+#: After a Latin letter such a mark begins another piece in any text, so a blank may part them.
+MARKED = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,;:!?])"
+
+
 class WordEncoder:
-    """Encodes texts with the tokenizers library, word by word where the vocabulary allows it; a word is encoded once a task.
+    """Encodes texts with the tokenizers library, word by word where the vocabulary allows it.
 
-    The table of known words is emptied when it holds `most_words` words or `most_ids` ids, so memory is bounded.
+    Words are parted, lower-cased (A-Z, which the vocabulary does too) and told apart for many texts at once; each
+    different word is looked up once a call. A worker keeps the ids of the first `most_words` words that it meets, and
+    encodes any other once a call: common words are met early.
     """
 
-    def __init__(self, vocabulary: str, *, most_words: int = 200_000, most_ids: int = 2_000_000):
+    def __init__(self, vocabulary: str, *, most_words: int = 500_000, most_letters: int = 40):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.apart = words_apart(vocabulary)
-        self.most_words, self.most_ids = most_words, most_ids
-        self._clear()
-
-    def _clear(self) -> None:
+        self.most_words, self.most_letters = most_words, most_letters
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1024, np.uint32), 0
         self.ends = np.zeros(1024, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            for word, found in zip(words[at : at + 4096], self.tokenizer.encode_batch(words[at : at + 4096], add_special_tokens=False), strict=True):
-                ids = found.ids
-                n = len(self.known)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if n >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.ends[n] = self.used
-                self.known[word] = n
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and how many each has."""
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in one array, and how many each has."""
+        flat, sizes = [], np.zeros(len(words), np.int64)
+        for at in range(0, len(words), 1024):
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(words[at : at + 1024], add_special_tokens=False), at):
+                ids = e.ids
+                sizes[i] = len(ids)
+                flat += ids
+        return np.array(flat, np.uint32), sizes
+
+    def _learn(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        short = np.fromiter((len(w) <= self.most_letters for w in words), bool, len(words))
+        short[np.cumsum(short) > self.most_words - len(self.known)] = False
+        flat, sizes = flat[np.repeat(short, sizes)], sizes[short]
+        n = len(self.known)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(sizes) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.ends[n : n + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.known.update(zip((w for w, s in zip(words, short.tolist(), strict=True) if s), range(n, n + len(sizes)), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has. Null texts have none."""
+        texts = pc.fill_null(texts, "")
         if not self.apart:
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
-        if len(self.known) > self.most_words or self.used > self.most_ids:
-            self._clear()
-        split = [t.translate(SPACES).split(" ") for t in texts]
-        self._learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known])
-        at = np.fromiter((self.known[w] for words in split for w in words), np.int64)
-        ends = self.ends[at]
-        starts = np.where(at > 0, self.ends[at - 1], 0)
-        sizes = ends - starts
-        stops = np.cumsum(sizes)
-        flat = self.flat[np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
-        last = np.cumsum([len(words) for words in split])
-        return flat, np.diff(np.append(0, stops[last - 1]))
+            return self._ids(texts.to_pylist())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, pattern=MARKED, replacement=r"\1 \2"))
+        per_text, words = pc.list_value_length(split).to_numpy(zero_copy_only=False), split.flatten()
+        # An added token is read as it is written, so its look-alikes in capitals must stay what they are.
+        words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        told = pc.dictionary_encode(words)
+        different = told.dictionary.to_pylist()
+        at = np.fromiter((self.known.get(w, -1) for w in different), np.int64, len(different))
+        old, new = at >= 0, np.flatnonzero(at < 0)
+        starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        stops = self.ends[at[old]]
+        starts[old] = np.where(at[old] > 0, self.ends[at[old] - 1], 0)
+        sizes[old] = stops - starts[old]
+        fresh = [different[i] for i in new.tolist()]
+        more, sizes[new] = self._ids(fresh)
+        starts[new] = self.used + np.cumsum(sizes[new]) - sizes[new]
+        flat = np.concatenate([self.flat[: self.used], more])
+        self._learn(fresh, more, sizes[new])
+        codes = told.indices.to_numpy(zero_copy_only=False)
+        count = sizes[codes]
+        after = np.cumsum(count)
+        out = flat[np.repeat(starts[codes] - (after - count), count) + np.arange(int(after[-1]) if len(after) else 0)]
+        last = np.cumsum(per_text)
+        return out, np.diff(np.append(0, np.append(0, after)[last]))
+
+
+@lru_cache(maxsize=2)
+def word_encoder(vocabulary: str) -> WordEncoder:
+    """The worker's encoder of a vocabulary; tasks that follow one another in a worker share what it knows."""
+    return WordEncoder(vocabulary)

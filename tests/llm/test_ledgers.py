@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,8 +25,13 @@ from rangeloom.llm.tokens import WordEncoder, words_apart
 VOCABULARY = "word_bpe_49k.json"
 
 
+@lru_cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+
+
 def plain_ids(text):
-    return [*Tokenizer.from_file(public_tokenizers.path(VOCABULARY)).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 # Simple-8b
@@ -55,16 +62,17 @@ def test_simple8b_packs_and_escapes():
 # Token files
 
 
-def test_words_give_the_ids_of_whole_texts():
-    odd = ["", " ", "a b", "Straße ΑΣ  ΟΔΟΣ", "é ́x", "it's 'RE  42", "<|endoftext|>x <|startoftext|>", "x y​", "ﬁ İ", "1" * 400, "\x0b\x0c\r\n\ta"]
-    encoder = WordEncoder(VOCABULARY, most_words=5)
+def test_words_give_the_ids_of_whole_texts(rng):
+    odd = ["", " ", "a b", "Straße ΑΣ  ΟΔΟΣ.", "é ́x", "it's 'RE  42.5", "<|endoftext|>x <|STARTOFTEXT|> <|startoftext|>.", "x y​", "ﬁ İ İ.", "1" * 400, "\x0b\x0c\r\n\ta", "A.'s b!'RE c?!d ≠.", "Ünï,c;ode:×.÷"]
+    odd += ["".join(rng.choice("aB. ,'sé!́\t<|>x9") for _ in range(30)) for _ in range(200)]
     assert words_apart(VOCABULARY) and not words_apart("byte_bpe_50k.json")
-    for _ in range(2):
-        flat, sizes = encoder.encode(odd)
-        at = np.cumsum(sizes)
-        assert [flat[e - n : e].tolist() for e, n in zip(at, sizes, strict=True)] == [plain_ids(t)[:-1] for t in odd]
-    whole = WordEncoder("byte_bpe_50k.json")
-    flat, sizes = whole.encode(["a b", ""])
+    for encoder in (WordEncoder(VOCABULARY, most_words=5), WordEncoder(VOCABULARY, most_letters=3)):
+        for _ in range(2):
+            flat, sizes = encoder.encode(pa.array([*odd, None]))
+            at = np.cumsum(sizes)
+            assert [flat[e - n : e].tolist() for e, n in zip(at, sizes, strict=True)] == [*[plain_ids(t)[:-1] for t in odd], []]
+        assert len(encoder.known) <= 2000
+    flat, sizes = WordEncoder("byte_bpe_50k.json").encode(pa.array(["a b", None]))
     assert sizes.tolist() == [2, 0] and len(flat) == 2
 
 
