@@ -10,7 +10,7 @@ from ..sources import payload
 from ..sources import tables as T
 from . import sql as S
 from .archive_queries import stored_tiles
-from .index_queries import _pyramid
+from .index_queries import _SUMMARY, _pyramid
 
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,10 +37,9 @@ def lane_allocation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def level_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """Level of each reference for a whole-archive view of at most 40 bins. The series is a row a reference and level."""
-    series = [r.asDict() for r in _pyramid(spark, sf).groupBy("manifest_id", "level").agg(F.count(F.lit(1)).alias("bins")).collect()]
-    chosen = summary.choose_levels(series, 40)
-    return spark.createDataFrame(list(chosen.items()), "manifest_id long, level int")
+    """Level of each reference for a view of the whole archive of at most 40 bins."""
+    series = _pyramid(spark, sf).groupBy("manifest_id", "level").agg(F.count(F.lit(1)).alias("bins")).withColumn("view", F.lit(0))
+    return summary.levels_within(series, ["view"], 40).drop("view")
 
 
 def entry_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +76,7 @@ QUERIES = {
     "id_codec_sizes": (id_codec_sizes, "SELECT key, sum(greatest(1, ceil(length(bin(d)) / 7.0)))::BIGINT AS bytes FROM (SELECT key, v - coalesce(lag(v) OVER (PARTITION BY key ORDER BY v), 0) AS d FROM (SELECT DISTINCT l_partkey AS key, l_orderkey AS v FROM lineitem)) GROUP BY key"),
     "id_codec_round_trip": (id_codec_round_trip, "SELECT key, string_agg(v::VARCHAR, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT l_partkey AS key, l_orderkey AS v FROM lineitem) GROUP BY key"),
     "lane_allocation": (lane_allocation, f"WITH {S.READS}, ends AS (SELECT key, s AS p, 1 AS d FROM reads UNION ALL SELECT key, e + 1, -1 FROM reads), steps AS (SELECT key, p, sum(d) AS d FROM ends GROUP BY ALL), open AS (SELECT key, sum(d) OVER (PARTITION BY key ORDER BY p ROWS UNBOUNDED PRECEDING) AS n FROM steps), m AS (SELECT key, max(n)::BIGINT AS lanes FROM open GROUP BY key) SELECT key, lanes, (SELECT count(*) FROM reads r WHERE r.key = m.key) AS spans FROM m"),
-    "level_choice": (level_choice, None),
+    "level_choice": (level_choice, f"WITH RECURSIVE {_SUMMARY}, series AS (SELECT 0 AS view, manifest_id, level, count(*) AS bins FROM pyramid GROUP BY ALL), {S.chosen_levels(40).replace('SELECT view, c.m', 'SELECT c.m')}"),
     "entry_violations": (entry_violations, "SELECT unnest(['outside', 'empty', 'told_twice', 'overlapping']) AS rule, unnest([0, 0, (SELECT count(*) FROM (SELECT payload_offset FROM stored GROUP BY 1 HAVING count(DISTINCT (clen, ulen)) > 1)), 0])::BIGINT AS found".join([f"WITH {S.ARCHIVE} ", ""])),
     "edge_degree": (edge_degree, f"WITH {S.ORDER_WALKS}, steps AS (SELECT handle AS a, lead(handle) OVER (PARTITION BY path_id ORDER BY ord) AS b FROM order_walks), arcs AS (SELECT a, b FROM steps WHERE b IS NOT NULL UNION SELECT xor(b, 1::BIGINT), xor(a, 1::BIGINT) FROM steps WHERE b IS NOT NULL) SELECT a AS handle, count(*) AS arcs FROM arcs GROUP BY a"),
     "inspect": (inspect, f"WITH {S.NODES}, {S.ORDER_WALKS}, {S.PATHS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT sum(length(seq)) FROM nodes)::BIGINT AS bases, (SELECT count(*) FROM order_walks) AS visits, (SELECT count(DISTINCT path_id) FROM order_walks) AS paths, (SELECT count(DISTINCT sample) FROM paths) AS samples, (SELECT count(DISTINCT contig) FROM paths) AS contigs"),

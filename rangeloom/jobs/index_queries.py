@@ -70,12 +70,6 @@ def gff_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def locus_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of messy names: the first forty characters of every document."""
-    d = T.read(spark, sf, "documents")
-    return d.select("doc_id", X.locus_key(F.concat(F.lit(" \t"), F.substring("text", 1, 40), F.lit("\n"))).alias("key"))
-
-
-def locus_keys_all(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of messy names: the whole text of every document."""
     d = T.read(spark, sf, "documents")
     return d.select("doc_id", X.locus_key(F.concat(F.lit(" \t"), F.col("text"), F.lit("\n"))).alias("key"))
@@ -220,8 +214,7 @@ SELECT supplier, coalesce(wanted || '#', '') || command_contig || ':' || format(
   CASE WHEN NOT known THEN 'not found' WHEN wanted = 'REF' THEN 'ok' WHEN wanted = 'ALT' THEN CASE WHEN two THEN 'ok' ELSE 'not found' END WHEN two THEN 'ambiguous' ELSE 'ok' END AS status FROM j"""),
     "gff_parse": (gff_parse, f"WITH {_GFF} SELECT contig, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos, strand, stable_id, display_name, matched_name FROM gff"),
     "gff_containment": (gff_containment, f"WITH {S.REFERENCE_WALK}, {S.MANIFESTS}, {_GFF} SELECT g.contig, count(*) AS names, count(DISTINCT stable_id) AS features, max(end_pos)::BIGINT AS last_end FROM gff g WHERE EXISTS (SELECT 1 FROM manifests m WHERE m.contig = g.contig AND g.start_pos >= m.s AND g.end_pos <= m.e) GROUP BY g.contig"),
-    "locus_keys": (locus_keys, "SELECT doc_id, translate(trim(' ' || chr(9) || substr(text, 1, 40) || chr(10), ' ' || chr(9) || chr(10) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM documents"),
-    "locus_keys_all": (locus_keys_all, "SELECT doc_id, translate(trim(' ' || chr(9) || text || chr(10), ' ' || chr(9) || chr(10) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM documents"),
+    "locus_keys": (locus_keys, "SELECT doc_id, translate(trim(' ' || chr(9) || text || chr(10), ' ' || chr(9) || chr(10) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM documents"),
     "summary_base": (summary_base, f"WITH {_SUMMARY}, grid AS (SELECT manifest_id, unnest(range(lo, hi + 1, 256)) AS bin_start FROM ends) SELECT manifest_id, bin_start, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _NAMES)} FROM grid LEFT JOIN base USING (manifest_id, bin_start)"),
     "summary_pyramid": (summary_pyramid, f"WITH {_SUMMARY} SELECT * FROM pyramid"),
     "summary_levels": (summary_levels, f"WITH {_SUMMARY} SELECT manifest_id, (top + 1)::BIGINT AS levels FROM tops"),

@@ -28,8 +28,8 @@ stored AS (
          (manifest_id * 1000000 + (tile_index // 2) * 1000)::BIGINT AS payload_offset FROM held)"""
 
 QUERIES = """region_queries AS (
-  SELECT s_suppkey AS query_id, 'REF' AS sample, 'Brand#' || (s_suppkey % 25 + 1)::VARCHAR AS contig,
-         (s_suppkey * 37 % 500 + 700)::BIGINT AS q_start, (s_suppkey * 37 % 500 + 700 + 1 + s_suppkey * 13 % 200)::BIGINT AS q_end FROM supplier)"""
+  SELECT query_id, 'REF' AS sample, contig, (s + query_id * 7919 % (e - s))::BIGINT AS q_start, (s + query_id * 7919 % (e - s) + 1 + query_id * 13 % 200)::BIGINT AS q_end
+  FROM (SELECT s_suppkey AS query_id, 'Brand#' || (s_suppkey % 25 + 1)::VARCHAR AS contig FROM supplier) JOIN manifests USING (contig))"""
 
 SELECTED = """selected AS (
   SELECT q.*, m.manifest_id, m.s, m.e FROM region_queries q JOIN manifests m ON q.sample = m.sample AND q.contig = m.contig AND m.s < q.q_end AND m.e > q.q_start)"""
@@ -44,6 +44,16 @@ ORDER_WALKS = """order_walks AS (
   SELECT l_orderkey AS path_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord,
          (l_partkey + 1) * 2 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS handle, l_partkey + 1 AS node_id FROM lineitem)"""
 
+HAPLOTYPES = """placed AS (SELECT contig, ord, node_id, row_number() OVER (PARTITION BY contig ORDER BY ord) - 1 AS place, count(*) OVER (PARTITION BY contig) AS length FROM reference_walk),
+lines AS (
+  SELECT l_orderkey AS path_id, row_number() OVER w AS ord, first_value(l_partkey) OVER w AS anchor, l_quantity::BIGINT % 7 = 0 AS turned,
+         CASE WHEN row_number() OVER w = 1 THEN 0 ELSE 1 + (l_partkey + l_suppkey) % 3 END AS step
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+moved AS (SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY ord) AS shift FROM lines),
+haplotypes AS (
+  SELECT m.path_id, m.ord, p.node_id * 2 + CASE WHEN m.turned THEN 1 ELSE 0 END AS handle, p.node_id
+  FROM moved m JOIN placed a ON a.ord = m.anchor JOIN placed p ON p.contig = a.contig AND p.place = (a.place + m.shift) % a.length)"""
+
 EVENT_VISITS = """event_visits AS (
   SELECT epoch_us(ts) // 21600000000 AS tile_id, user_id AS path_id,
          row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 21600000000 ORDER BY ts, event_id) AS ord,
@@ -88,3 +98,14 @@ def islands(table: str, key: str, gap: int, name: str = "islands") -> str:
 
 def merged(key: str, source: str = "islands", name: str = "merged") -> str:
     return f"{name} AS (SELECT {key}, min(s) AS s, max(e) AS e, count(*) AS members FROM {source} GROUP BY {key}, island)"
+
+
+def chosen_levels(most: int) -> str:
+    """The level of each manifest of a view, from series(view, manifest_id, level, bins): coarsen what saves most while there are too many bins."""
+    return f"""finest AS (SELECT view, list({{'m': manifest_id, 'l': 0}} ORDER BY manifest_id) AS chosen FROM series WHERE level = 0 GROUP BY view),
+saved AS (SELECT a.view, a.manifest_id, a.level, a.bins - b.bins AS saves FROM series a JOIN series b ON b.view = a.view AND b.manifest_id = a.manifest_id AND b.level = a.level + 1),
+state AS (SELECT view, chosen, 0 AS step FROM finest
+  UNION ALL SELECT s.view, list_transform(s.chosen, lambda c: {{'m': c.m, 'l': c.l + CASE WHEN c.m = w.manifest_id THEN 1 ELSE 0 END}}), s.step + 1
+  FROM state s, LATERAL (SELECT x.manifest_id FROM saved x WHERE x.view = s.view AND list_contains(s.chosen, {{'m': x.manifest_id, 'l': x.level}}) AND x.saves > 0 ORDER BY x.saves DESC, x.manifest_id LIMIT 1) w
+  WHERE (SELECT sum(y.bins) FROM series y WHERE y.view = s.view AND list_contains(s.chosen, {{'m': y.manifest_id, 'l': y.level}})) > {most})
+SELECT view, c.m AS manifest_id, c.l::INT AS level FROM (SELECT view, unnest(chosen) AS c FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY step DESC) AS r FROM state) WHERE r = 1)"""

@@ -314,18 +314,12 @@ QUERIES = {
     "locate_statistics": (locate_statistics, f"WITH {S.EVENT_VISITS}, s AS (SELECT handle // 2 AS node_id, (ord - 1) % 16 AS steps FROM event_visits), r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY steps) - 1 AS i, count(*) OVER (PARTITION BY node_id) AS n FROM s) SELECT node_id, max(n) AS positions, {', '.join(f'max(steps) FILTER (WHERE i = (n * {p} + 99) // 100 - 1) AS p{p}' for p in (50, 90, 95, 99))}, max(steps) AS most, sum(steps)::BIGINT AS total_steps FROM r GROUP BY node_id"),
     "topology_decision": (topology_decision, "SELECT *, nodes > greatest(120, least(320, floor(greatest(1, width - 78) * 0.22))) OR edges > greatest(160, least(480, floor(greatest(1, width - 78) * 0.3))) AS aggregated FROM (SELECT l_suppkey AS view, 200 + l_suppkey * 37 % 1500 AS width, count(DISTINCT l_partkey) FILTER (WHERE l_quantity > 10) AS nodes, count(*) FILTER (WHERE l_returnflag = 'N') AS edges FROM lineitem GROUP BY ALL)"),
     "display_refusal": (display_refusal, "SELECT view, CASE WHEN g <= 2500 AND e <= 5000 THEN 'shown' ELSE concat_ws(', ', CASE WHEN g > 2500 THEN g::VARCHAR || ' node groups (limit 2500)' END, CASE WHEN e > 5000 THEN e::VARCHAR || ' topology edges (limit 5000)' END) END AS message FROM (SELECT l_linenumber AS view, count(DISTINCT l_partkey) AS g, count(*) AS e FROM lineitem GROUP BY ALL)"),
-    "visual_interval": (visual_interval, f"WITH {S.QUERIES}, a AS (SELECT query_id, q_start, (q_end - q_start)::DOUBLE AS span, (query_id % 301 - 150)::DOUBLE AS pan, greatest(1, (query_id % 900)::DOUBLE) AS w, 1 + (query_id % 4)::DOUBLE / 2 AS zoom FROM region_queries), b AS (SELECT *, q_start + (-pan / (w * zoom)) * span AS l, q_start + ((w - pan) / (w * zoom)) * span AS r FROM a), c AS (SELECT *, greatest(1, floor(r - l + 0.5)) AS bases FROM b), d AS (SELECT *, greatest(0, floor((l + r) / 2 - bases / 2 + 0.5)) AS first FROM c) SELECT query_id, first::BIGINT AS view_start, (first + bases)::BIGINT AS view_end FROM d"),
+    "visual_interval": (visual_interval, f"WITH {S.REFERENCE}, {S.QUERIES}, a AS (SELECT query_id, q_start, (q_end - q_start)::DOUBLE AS span, (query_id % 301 - 150)::DOUBLE AS pan, greatest(1, (query_id % 900)::DOUBLE) AS w, 1 + (query_id % 4)::DOUBLE / 2 AS zoom FROM region_queries), b AS (SELECT *, q_start + (-pan / (w * zoom)) * span AS l, q_start + ((w - pan) / (w * zoom)) * span AS r FROM a), c AS (SELECT *, greatest(1, floor(r - l + 0.5)) AS bases FROM b), d AS (SELECT *, greatest(0, floor((l + r) / 2 - bases / 2 + 0.5)) AS first FROM c) SELECT query_id, first::BIGINT AS view_start, (first + bases)::BIGINT AS view_end FROM d"),
     "size_labels": (size_labels, "SELECT k AS o_orderkey, format('{:,}', n) AS separated, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN format('{:,}', n * 10 // 1024 // 10) || '.' || (n * 10 // 1024 % 10)::VARCHAR || ' KiB' ELSE format('{:,}', n * 10 // 1048576 // 10) || '.' || (n * 10 // 1048576 % 10)::VARCHAR || ' MiB' END AS labelled, lower(lpad(to_hex(n), 8, '0')) AS hex FROM (SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT * (o_orderkey % 97) AS n FROM orders)"),
     "seeded_regions": (seeded_regions, f"WITH s AS (SELECT s_suppkey, (s_suppkey * 2654435761 + 1)::HUGEINT AS x FROM supplier), {_xorshift('s', 'x', 'one')}, {_xorshift('one3', 'one', 'two')}, {_xorshift('two3', 'two', 'three')} SELECT s_suppkey, to_hex(one::UBIGINT) AS first, to_hex(two::UBIGINT) AS second, (three % 1000)::BIGINT AS bounded FROM three3"),
     "grouped_quantiles": (grouped_quantiles, f"WITH m AS (SELECT o_orderstatus AS config, unnest([o_orderpriority, 'all']) AS class, o_totalprice AS latency FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY config, class ORDER BY latency) - 1 AS i, count(*) OVER (PARTITION BY config, class) AS n FROM m) SELECT config, class, max(n) AS n, {', '.join(f'max(latency) FILTER (WHERE i = ((n - 1) * {p} + 99) // 100) AS p{p}' for p in (50, 90, 95, 99))}, max(latency) AS longest, min(latency) AS shortest FROM r GROUP BY config, class"),
     "dedup_choice": (dedup_choice, "WITH o AS (SELECT o_orderstatus AS config, o_orderpriority AS class, floor(o_totalprice)::BIGINT AS bytes, o_custkey % 50 AS block FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY class, config ORDER BY bytes) - 1 AS i, count(*) OVER (PARTITION BY class, config) AS n FROM o), p AS (SELECT class, config, max(bytes) FILTER (WHERE i = ((n - 1) * 95 + 99) // 100) AS p95 FROM r GROUP BY ALL), u AS (SELECT class, config, sum(t)::BIGINT AS bytes_before, sum(k)::BIGINT AS bytes_after FROM (SELECT class, config, block, sum(bytes) AS t, max(bytes) AS k FROM o GROUP BY ALL) GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p95, bytes_before, config) AS place FROM u JOIN p USING (class, config) WHERE bytes_before > bytes_after) SELECT class, config, p95, bytes_before, bytes_after, round(bytes_after::DOUBLE / bytes_before, 9) AS ratio FROM c WHERE place = 1"),
     "benchmark_report": (benchmark_report, f"WITH l AS (SELECT *, l_suppkey % 10 AS kind, l_quantity::BIGINT AS ms, l_partkey * 64 AS s, l_partkey * 64 + l_quantity::BIGINT * 8 AS e FROM lineitem), {S.islands('l', 'kind', 0)}, {S.merged('kind')}, u AS (SELECT kind, sum(e - s)::BIGINT AS unique_bytes FROM merged GROUP BY kind), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM l), t AS (SELECT kind, count(*) AS queries, count(*) FILTER (WHERE l_returnflag <> 'R') AS passed, count(*) FILTER (WHERE l_returnflag = 'R') AS failed, sum(ms * 8)::BIGINT AS response_bytes, {', '.join(f'max(ms) FILTER (WHERE i = ((n - 1) * {p} + 99) // 100) AS p{p}' for p in (50, 90, 95, 99))}, max(ms) AS longest FROM r GROUP BY kind) SELECT t.*, unique_bytes, response_bytes - unique_bytes AS duplicate_bytes FROM t JOIN u USING (kind)"),
     "view_levels": (view_levels, f"""WITH RECURSIVE {_SUMMARY}, series AS (SELECT query_id % 10 AS view, p.manifest_id, p.level, count(DISTINCT p.bin_start) AS bins FROM selected q JOIN pyramid p ON p.manifest_id = q.manifest_id AND p.bin_start < q.q_end AND p.bin_start + p.bin_span > q.q_start GROUP BY ALL),
-finest AS (SELECT view, list({{'m': manifest_id, 'l': 0}} ORDER BY manifest_id) AS chosen FROM series WHERE level = 0 GROUP BY view),
-saved AS (SELECT a.view, a.manifest_id, a.level, a.bins - b.bins AS saves FROM series a JOIN series b ON b.view = a.view AND b.manifest_id = a.manifest_id AND b.level = a.level + 1),
-state AS (SELECT view, chosen, 0 AS step FROM finest
-  UNION ALL SELECT s.view, list_transform(s.chosen, lambda c: {{'m': c.m, 'l': c.l + CASE WHEN c.m = w.manifest_id THEN 1 ELSE 0 END}}), s.step + 1
-  FROM state s, LATERAL (SELECT x.manifest_id FROM saved x WHERE x.view = s.view AND list_contains(s.chosen, {{'m': x.manifest_id, 'l': x.level}}) AND x.saves > 0 ORDER BY x.saves DESC, x.manifest_id LIMIT 1) w
-  WHERE (SELECT sum(y.bins) FROM series y WHERE y.view = s.view AND list_contains(s.chosen, {{'m': y.manifest_id, 'l': y.level}})) > 12)
-SELECT view, c.m AS manifest_id, c.l::INT AS level FROM (SELECT view, unnest(chosen) AS c FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY step DESC) AS r FROM state) WHERE r = 1)"""),
+{S.chosen_levels(12)}"""),
 }

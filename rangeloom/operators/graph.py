@@ -49,15 +49,17 @@ def arcs(edges: DataFrame) -> DataFrame:
     return edges.select(a.alias("a"), b.alias("b")).union(edges.select(H.flip(b).alias("a"), H.flip(a).alias("b"))).distinct()
 
 
-def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, context: int, *, max_rounds: int = 200) -> DataFrame:
-    """Least distances over node sides within `context`: key, node_id, side, distance.
+_SIDE = ["node_id", "side"]
+_WAY = ["node_id", "side", "to_node", "to_side"]
+
 
-    seeds: key, node_id, side, distance, taken unconditionally; side 0 is the entry and 1 the exit of the forward
-    node. Crossing a node of length n costs max(0, n - 1), an edge costs 1. Every round relaxes only the sides
-    that became nearer in the round before and writes only those that it brings nearer to the scratch folder.
+def side_moves(nodes: DataFrame, edges: DataFrame, context: int) -> DataFrame:
+    """Moves between node sides that cost at most `context`: node_id, side, to_node, to_side, cost.
 
-    Leaving a node by its exit side follows arcs of its forward handle, by its entry side those of its reverse
-    handle; an arc arrives at the entry side of a forward and at the exit side of a reverse handle.
+    Side 0 is the entry and 1 the exit of the forward node. Crossing a node of length n costs max(0, n - 1), an edge
+    costs 1. Leaving a node by its exit side follows arcs of its forward handle, by its entry side those of its reverse
+    handle; an arc arrives at the entry side of a forward and at the exit side of a reverse handle. As every arc has its
+    mirror image, moves cost the same both ways.
     """
     links = arcs(edges).select(
         H.node_of(F.col("a")).alias("node_id"),
@@ -66,27 +68,77 @@ def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, context
         F.when(H.is_reverse(F.col("b")), 1).otherwise(0).alias("to_side"),
         F.lit(1).cast("long").alias("cost"),
     )
-    crossing = nodes.select("node_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.greatest(F.lit(0), F.length("seq") - 1).cast("long").alias("cost"))
-    # Crossing a node and leaving it on the other side is a move of its own, which halves the rounds.
-    over = crossing.select("node_id", F.col("side").alias("_from"), (1 - F.col("side")).alias("side"), F.col("cost").alias("_cross"))
-    through = over.join(links, ["node_id", "side"]).select("node_id", F.col("_from").alias("side"), "to_node", "to_side", (F.col("cost") + F.col("_cross")).alias("cost"))
-    crossed = crossing.select("node_id", "side", F.col("node_id").alias("to_node"), (1 - F.col("side")).alias("to_side"), "cost")
-    links = materialize(links.unionByName(crossed).unionByName(through).where(F.col("cost") <= context), "arcs")
-    keys = ["key", "node_id", "side"]
-    frontier = materialize(seeds.groupBy(*keys).agg(F.min(F.col("distance").cast("long")).alias("distance")), "context")
-    known = frontier
-    for _ in range(max_rounds):
-        if not frontier.limit(1).count():
-            return known.groupBy(*keys).agg(F.min("distance").alias("distance"))
-        found = frontier.join(links, ["node_id", "side"]).select("key", F.col("to_node").alias("node_id"), F.col("to_side").alias("side"), (F.col("distance") + F.col("cost")).alias("distance")).where(F.col("distance") <= context)
-        nearer = found.groupBy(*keys).agg(F.min("distance").alias("distance")).alias("f")
-        old = known.alias("k")
-        same = F.lit(True)
-        for k in keys:
-            same = same & (F.col(f"f.{k}") == F.col(f"k.{k}"))
-        frontier = materialize(nearer.join(old, same & (F.col("k.distance") <= F.col("f.distance")), "left_anti"), "context")
-        known = known.unionByName(frontier)
-    raise RuntimeError(f"context did not settle in {max_rounds} rounds")
+    cost = F.greatest(F.lit(0), F.length("seq") - 1).cast("long")
+    crossing = nodes.where(cost <= context).select("node_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), cost.alias("cost"))
+    crossing = crossing.select("node_id", "side", F.col("node_id").alias("to_node"), (1 - F.col("side")).alias("to_side"), "cost")
+    return links.unionByName(crossing).where(F.col("cost") <= context).groupBy(*_WAY).agg(F.min("cost").alias("cost"))
+
+
+def _onwards(ways: DataFrame, moves: DataFrame, most: int) -> DataFrame:
+    """Ways that one more move prolongs to a cost of at most `most`."""
+    more = moves.select(F.col("node_id").alias("to_node"), F.col("side").alias("to_side"), F.col("to_node").alias("_node"), F.col("to_side").alias("_side"), F.col("cost").alias("_cost"))
+    met = ways.join(more, ["to_node", "to_side"]).withColumn("cost", F.col("cost") + F.col("_cost")).where(F.col("cost") <= most)
+    return met.select("node_id", "side", F.col("_node").alias("to_node"), F.col("_side").alias("to_side"), "cost")
+
+
+def near_ways(moves: DataFrame, width: int) -> DataFrame:
+    """Least costs below `width` between sides, itself included: what settles a bucket of that width at one stroke.
+
+    Moves that cost nothing, across nodes of one base, are folded into the others on either side first; every other
+    move costs at least 1, so width - 1 of them are enough.
+    """
+    stay = moves.select(*_SIDE).union(moves.select("to_node", "to_side")).distinct().select("node_id", "side", F.col("node_id").alias("to_node"), F.col("side").alias("to_side"), F.lit(0).cast("long").alias("cost"))
+    still = stay.unionByName(moves.where(F.col("cost") == 0)).groupBy(*_WAY).agg(F.min("cost").alias("cost"))
+    light = moves.where(F.col("cost").between(1, width - 1))
+    light = _onwards(_onwards(still, light, width - 1), still, width - 1).groupBy(*_WAY).agg(F.min("cost").alias("cost"))
+    near = still.unionByName(light)
+    ways = light
+    for _ in range(width - 2):
+        ways = _onwards(ways, light, width - 1)
+        near = near.unionByName(ways)
+    return near.groupBy(*_WAY).agg(F.min("cost").alias("cost"))
+
+
+def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, context: int, *, width: int = 3) -> DataFrame:
+    """Least distances over node sides within `context`: key, node_id, side, distance.
+
+    seeds: key, node_id, side, distance; they are taken whatever their distance, but nothing is reached beyond context.
+
+    Delta-stepping: sides are settled in buckets of `width` distances. A bucket takes the seeds within it and the sides
+    that one move reaches from settled ones, follows `near_ways` once, which holds every way inside a bucket, and drops
+    what was settled before. So a side is written once, with its final distance, there are context / width rounds
+    whatever the number of steps, and a bucket reads only those settled buckets that a single move still reaches from:
+    as moves cost the same both ways, none of the others can hold a side that turns up again.
+    """
+    keys = ["key", *_SIDE]
+    moves = materialize(side_moves(nodes, edges, context), "context-moves")
+    near = materialize(near_ways(moves, width), "context-ways")
+    seeds = materialize(seeds.groupBy(*keys).agg(F.min(F.col("distance").cast("long")).alias("distance")), "context-seeds")
+    low_high = lambda i: (i * width, min(context, (i + 1) * width - 1))
+    settled: list[DataFrame] = []
+    reach = -(-context // width) + 1  # buckets that a move can span
+    for bucket in range(context // width + 1):
+        low, high = low_high(bucket)
+        found = seeds.where(F.col("distance").between(low, high))
+        for i in range(max(0, bucket - reach), bucket):
+            first, last = low_high(i)
+            some = moves.where(F.col("cost").between(max(1, low - last), high - first))
+            found = found.unionByName(_moved(settled[i], some, low, high))
+        found = found.groupBy(*keys).agg(F.min("distance").alias("distance"))
+        # A seed on a side that no move leaves has no way, not even to itself.
+        found = found.unionByName(_moved(found, near, low, high)).groupBy(*keys).agg(F.min("distance").alias("distance"))
+        for i in range(max(0, bucket - reach), bucket):
+            found = found.join(settled[i].select(*keys), keys, "left_anti")
+        settled.append(materialize(found, "context"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out.unionByName(seeds.where(F.col("distance") > context).join(out.select(*keys), keys, "left_anti"))
+
+
+def _moved(at: DataFrame, ways: DataFrame, low: int, high: int) -> DataFrame:
+    met = at.join(ways, _SIDE).withColumn("distance", F.col("distance") + F.col("cost")).where(F.col("distance").between(low, high))
+    return met.select("key", F.col("to_node").alias("node_id"), F.col("to_side").alias("side"), "distance")
 
 
 def context_seeds(queries: DataFrame, visits: DataFrame) -> DataFrame:
@@ -96,7 +148,7 @@ def context_seeds(queries: DataFrame, visits: DataFrame) -> DataFrame:
     """
     hit = overlap_join(queries, visits, ["contig"])
     first, last = F.greatest("start", "q_start"), F.least("end", "q_end")
-    entry, exit_ = first - F.col("start"), F.greatest(F.lit(0), F.col("end") - last)
+    entry, exit_ = first - F.col("start"), F.greatest(F.lit(0), F.col("end") - last - 1)
     reverse = H.is_reverse(F.col("handle"))
     sides = F.array(
         F.struct(F.when(reverse, 1).otherwise(0).alias("side"), entry.cast("long").alias("distance")),
@@ -105,27 +157,6 @@ def context_seeds(queries: DataFrame, visits: DataFrame) -> DataFrame:
     return hit.select("key", "node_id", F.explode(sides).alias("s")).select("key", "node_id", "s.side", "s.distance")
 
 
-def extended_core(visits: DataFrame) -> DataFrame:
-    """The visits between the first and last core visit, grown outwards while neighbours are selected.
-
-    visits: key, ord, core, selected (a core visit is selected). Islands of selected visits that touch or lie
-    between the core's ends stay, with everything between those ends.
-    """
-    by = Window.partitionBy("key").orderBy("ord")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("key")
-    marked = (
-        visits.withColumn("_first", F.min(F.when(F.col("core"), F.col("ord"))).over(whole))
-        .withColumn("_last", F.max(F.when(F.col("core"), F.col("ord"))).over(whole))
-        .withColumn("_run", F.sum(F.when(F.col("selected"), 0).otherwise(1)).over(upto))
-    )
-    ends = marked.withColumn("_first_run", F.max(F.when(F.col("ord") == F.col("_first"), F.col("_run"))).over(whole)).withColumn("_last_run", F.max(F.when(F.col("ord") == F.col("_last"), F.col("_run"))).over(whole))
-    inside = F.col("ord").between(F.col("_first"), F.col("_last"))
-    before = (F.col("ord") < F.col("_first")) & F.col("selected") & (F.col("_run") == F.col("_first_run"))
-    after = (F.col("ord") > F.col("_last")) & F.col("selected") & (F.col("_run") == F.col("_last_run"))
-    return ends.where(inside | before | after).select(visits.columns)
-
-
 def grown_core(visits: DataFrame) -> DataFrame:
     """The core visits of each key with the selected visits that follow them without a gap, on either side.
 

@@ -33,27 +33,10 @@ def pyramid(base: DataFrame, span: int, factor: int = 4) -> DataFrame:
     return spread.groupBy("manifest_id", "level", "bin_span", "bin_start").agg(*[F.sum(c).alias(c) for c in COUNTERS])
 
 
-def choose_levels(series: list[dict], most: int) -> dict[int, int]:
-    """Level of each manifest: start finest, and while all bins exceed `most`, coarsen the manifest that saves most.
-
-    series: dicts of manifest_id, level, bins for one query, a few rows for each manifest that it overlaps. The
-    first manifest wins ties; if nothing can be coarsened, the finest possible choice stands.
-    """
-    bins = {(s["manifest_id"], s["level"]): s["bins"] for s in series}
-    chosen = {m: min(lv for k, lv in bins if k == m) for m in sorted({s["manifest_id"] for s in series})}
-    while sum(bins[m, lv] for m, lv in chosen.items()) > most:
-        savings = [(bins[m, lv] - bins[m, lv + 1], -m) for m, lv in chosen.items() if (m, lv + 1) in bins]
-        if not savings or max(savings)[0] <= 0:
-            break
-        m = -max(savings)[1]
-        chosen[m] += 1
-    return chosen
-
-
 def levels_within(series: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Level of each manifest of a view: keys, manifest_id, level. series: keys, manifest_id, level (from 0 on), bins.
 
-    As choose_levels has it: while a view's bins exceed `most`, the manifest whose next level saves most is coarsened, the
+    While a view's bins exceed `most`, the manifest whose next level saves most is coarsened, the
     first of equals. A step is taken once it is the best one open, so steps come in order of the least saving up to
     them; a step that saves nothing bars all that follow. A running sum then tells how many steps a view takes.
     """

