@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import handles as H
 from ..functions import text as X
-from ..operators import display, graph, measures, walks
+from ..operators import audit, chains, display, graph, measures, walks
 from ..sources import tables as T
+from ..sources.scratch import shared
 from . import sql as S
 
 
@@ -19,6 +20,21 @@ def event_walks(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("tile_id", "path_id", F.transform("s", lambda s: s["handle"]).alias("walk"))
 
 
+def event_records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Successor records of the event tiles, and those of them, a sixteenth and the ends, that name their path."""
+    v = T.event_visits(spark, sf)
+    records = chains.successor_records(walks.successors(v), audit.occurrences(v), ["tile_id"])
+    records = shared(spark, "event-records", [T.read(spark, sf, "events")], lambda: records)
+    sampled = (F.pmod(F.xxhash64("tile_id", "handle", "occurrence"), F.lit(16)) == 0) | F.col("next_handle").isNull()
+    return records.drop("path_id"), records.where(sampled).select("tile_id", "handle", "occurrence", "path_id")
+
+
+def record_walks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every walk of the event tiles rebuilt from successor records and sampled path names."""
+    records, anchors = event_records(spark, sf)
+    return _text(chains.walks_from_records(records, anchors, ["tile_id"]))
+
+
 def _weighted(spark: SparkSession, sf: str) -> DataFrame:
     return walks.weighted_walks(event_walks(spark, sf))
 
@@ -204,6 +220,7 @@ _RC = "translate(reverse(seq), 'ACGT', 'TGCA')"
 _SEQ = f"spelled AS (SELECT w.path_id AS walk_id, string_agg(CASE WHEN w.handle % 2 = 1 THEN {_RC} ELSE seq END, '' ORDER BY w.ord) AS sequence FROM order_walks w JOIN nodes n ON n.node_id = w.node_id GROUP BY w.path_id)"
 
 QUERIES = {
+    "record_walks": (record_walks, f"WITH {S.EVENT_VISITS}, {S.EVENT_WALKS} SELECT tile_id, path_id, {S.WALK_TEXT} AS walk FROM event_walks"),
     "weighted_walks": (weighted_walks, f"WITH {_G} SELECT tile_id, {S.WALK_TEXT} AS walk, weight FROM weighted"),
     "anonymous_walks": (anonymous_walks, f"WITH {_G}, {_REF} SELECT tile_id, {S.WALK_TEXT} AS walk, weight FROM anonymous WHERE weight > 0"),
     "traversal_starts": (traversal_starts, f"WITH {S.EVENT_VISITS} SELECT tile_id, handle, count(*) AS starts FROM event_visits WHERE ord = 1 GROUP BY tile_id, handle"),

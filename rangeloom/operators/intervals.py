@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import coalesced, islands, prefix_sums, running_reach
+from ..sources.scratch import materialize
+from .chains import reached_heads
+from .ordered import coalesced, prefix_sums, running_count, running_reach, same_keys
 
 
 def tile_references(manifests: DataFrame) -> DataFrame:
@@ -79,28 +83,75 @@ def locate_positions(positions: DataFrame, visits: DataFrame, *, block: int = 10
     return asked.join(filed, ["contig", "_block"]).where((F.col("start") <= F.col("position")) & (F.col("position") < F.col("end"))).drop("_block").withColumn("node_offset", F.col("position") - F.col("start"))
 
 
+def _first_misfits(gap: int, cap: int):
+    """For each range of a stretch the first later one that a merge from there on cannot take in. Ranges come in order of (start, end)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
+        start, end = pdf["start"].tolist(), pdf["end"].tolist()
+        n = len(start)
+        after = [n] * n  # the first range past a gap
+        reach = end[:]  # the farthest end before it
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while j < n and start[j] <= reach[i] + gap:
+                reach[i] = max(reach[i], reach[j])
+                j = after[j]
+            after[i] = j
+        misfit, j = [n] * n, 0
+        for i in range(n):
+            j = max(j, i + 1)
+            while j < n and end[j] <= start[i] + cap:
+                j += 1
+            misfit[i] = min(j, after[i]) if end[i] - start[i] <= cap else i + 1
+        at = np.array(misfit)
+        held = at < n
+        found = pdf.loc[pdf["_own"], [c for c in pdf.columns if c not in ("_own", "_beyond_start", "_beyond_end")]].copy()
+        own = pdf["_own"].to_numpy()
+        for name, values in (("next_start", start), ("next_end", end)):
+            beyond = pdf[f"_beyond_{name[5:]}"]
+            values = pd.Series([values[k] if ok else None for k, ok in zip(misfit, held.tolist(), strict=True)], dtype="Int64")
+            found[name] = values.where(values.notna(), beyond.astype("Int64"))[own].to_numpy(dtype=object, na_value=None)
+        return found
+
+    return run
+
+
 def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: int) -> DataFrame:
-    """Greedy merge in order of start under a gap and a size cap: (keys, merged) with an array of (start, end, members).
+    """Greedy merge in order of (start, end) under a gap and a size cap: (keys, start, end, members).
 
-    Greedy merging is sequential, so it folds over the sorted ranges of a key. First plain islands are cut off,
-    since nothing merges across a larger gap: a fold sees one island.
+    Greedy merging is sequential: where a merge begins depends on all before it. Yet the first range that a merge from a
+    given range on cannot take in is known from what starts within `cap` of it alone. So a jump table is made first, by
+    blocks of the coordinates, each with as many of the following blocks as the cap reaches; the ranges at which merges
+    begin are then those that jumps lead to from the first range of each island (`chains.reached_heads`, by doubling). A
+    range longer than the cap is alone. No island or key is ever in one task.
     """
-    cut = islands(ranges, keys, "start", "end", gap)
-    packed = cut.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    kind = "struct<start:bigint,end:bigint,members:bigint>"
-    empty = F.expr(f"struct(cast(array() as array<{kind}>) as done, cast(null as {kind}) as last)")
-
-    # The range that still grows is kept beside the finished ones, so a step copies no more than itself.
-    def step(state: Column, r: Column) -> Column:
-        last = state["last"]
-        fits = last.isNotNull() & (r["start"] <= last["end"] + gap) & (F.greatest(last["end"], r["end"]) - last["start"] <= cap)
-        fresh = F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(1).cast("long").alias("members"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"), (last["members"] + 1).alias("members"))
-        done = F.when(fits | last.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(last)))
-        return F.struct(done.alias("done"), F.when(fits, grown).otherwise(fresh).alias("last"))
-
-    merged = packed.withColumn("merged", F.aggregate("ranges", empty, step, lambda x: F.concat(x["done"], F.array(x["last"]))))
-    return merged.select(*keys, F.explode("merged").alias("m")).select(*keys, "m.start", "m.end", "m.members")
+    once = materialize(ranges.groupBy(*keys, "start", "end").agg(F.count(F.lit(1)).alias("members")), "capped-ranges")
+    low, high = once.agg(F.min("start"), F.max("start")).head()
+    if low is None:
+        return once.select(*keys, "start", "end", "members")
+    width = max(1, -(-(int(high) - int(low) + 1) // 1024))
+    halo = -(-cap // width)
+    block = F.floor((F.col("start") - int(low)) / width)
+    firsts = once.groupBy(*keys, block.alias("_block")).agg(F.min(F.struct("start", "end")).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy("_block").rangeBetween(halo + 1, Window.unboundedFollowing)
+    firsts = firsts.withColumn("_beyond", F.first("_first").over(later)).select(*keys, "_block", F.col("_beyond.start").alias("_beyond_start"), F.col("_beyond.end").alias("_beyond_end"))
+    sent = once.select(*keys, "start", "end", F.explode(F.sequence(F.greatest(block - halo, F.lit(0)), block)).alias("_block"), block.alias("_of")).withColumn("_own", F.col("_of") == F.col("_block")).drop("_of")
+    sent = same_keys(sent, firsts, [*keys, "_block"])
+    kinds = ", ".join(f"`{k}` {once.schema[k].dataType.simpleString()}" for k in keys)
+    jumps = sent.groupBy(*keys, "_block").applyInPandas(_first_misfits(gap, cap), f"{kinds}, start long, end long, _block long, next_start long, next_end long")
+    at = lambda s, e: F.struct(*keys, F.col(s).alias("start"), F.col(e).alias("end"))
+    jumps = jumps.select(at("start", "end").alias("id"), F.when(F.col("next_start").isNotNull(), at("next_start", "next_end")).alias("next"))
+    reached = running_reach(once, keys, "start", "end")
+    opening = reached.where(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap)).select(at("start", "end").alias("id"))
+    heads = reached_heads(opening, jumps).select("id", F.lit(True).alias("_head"))
+    marked = reached.withColumn("id", at("start", "end")).join(heads, "id", "left")
+    counted = running_count(marked, keys, ["start", "end"], F.when(F.col("_head"), 1).otherwise(0))
+    merged = counted.groupBy(*keys, "_count").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("members").alias("members"))
+    # Copies of a range longer than the cap do not take each other in.
+    alone = F.col("end") - F.col("start") > cap
+    copies = F.when(alone, F.array_repeat(F.lit(1).cast("long"), F.col("members").cast("int"))).otherwise(F.array("members"))
+    return merged.withColumn("members", F.explode(copies)).select(*keys, "start", "end", "members")
 
 
 def limit_ranges(ranges: DataFrame, keys: Sequence[str], most: int) -> DataFrame:

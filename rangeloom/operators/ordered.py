@@ -23,7 +23,7 @@ def prefix_sums(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
     return summed.join(starts, [*keys, "_block"]).withColumn("before", F.col("_start") + F.col("_within")).drop("_block", "_value", "_start", "_within")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys, of which nulls are equal; right's keys go."""
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     cond = F.lit(True)
@@ -51,7 +51,7 @@ def running_reach(rows: DataFrame, keys: Sequence[str], start: str, end: str) ->
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.withColumn("_carried", F.max("_top").over(before)).drop("_top")
     inside = Window.partitionBy(*keys, "_block").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return _same(cut, carried, [*keys, "_block"]).withColumn("_reach", F.greatest("_carried", F.max(end).over(inside))).drop("_carried")
+    return same_keys(cut, carried, [*keys, "_block"]).withColumn("_reach", F.greatest("_carried", F.max(end).over(inside))).drop("_carried")
 
 
 def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], counted: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], co
     totals = held.groupBy(*keys, "_block").agg(F.sum("_counted").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    return _same(held, starts, [*keys, "_block"]).withColumn("_count", F.col("_start") + F.sum("_counted").over(inside)).drop("_counted", "_start")
+    return same_keys(held, starts, [*keys, "_block"]).withColumn("_count", F.col("_start") + F.sum("_counted").over(inside)).drop("_counted", "_start")
 
 
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0) -> DataFrame:
