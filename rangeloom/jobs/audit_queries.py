@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import handles as H
-from ..operators import audit, graph, measures, walks
+from ..operators import audit, digests, graph, measures, walks
+from ..operators.ordered import prefix_sums
 from ..sources import gfa
 from ..sources import tables as T
 from . import sql as S
@@ -104,10 +105,16 @@ def gfa_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest of each contig's nodes and walk that does not depend on any table order."""
-    held = T.reference_walk(spark, sf).join(T.nodes(spark, sf), "node_id")
-    listed = held.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("ord", "handle", "seq"))).alias("w"))
-    return listed.select("contig", F.sha2(F.array_join(F.transform("w", lambda x: F.concat(x["handle"].cast("string"), F.lit(":"), x["seq"])), ";"), 256).alias("digest"), F.size("w").cast("long").alias("visits"))
+    """A digest of each contig's nodes, edges and walk, none of which is ever gathered."""
+    ref = T.reference_walk(spark, sf)
+    held = ref.join(T.nodes(spark, sf), "node_id")
+    nodes = digests.tree_digest(held, ["contig"], "node_id", F.concat_ws(":", F.col("node_id").cast("string"), "seq"))
+    walk = digests.tree_digest(ref, ["contig"], "ord", F.col("handle").cast("string"))
+    at = prefix_sums(ref, ["contig"], "ord", F.lit(1)).select("contig", "before", F.col("handle").alias("from_handle"))
+    edges = at.join(at.select("contig", (F.col("before") - 1).alias("before"), F.col("from_handle").alias("to_handle")), ["contig", "before"])
+    edges = digests.edge_digest(edges, ["contig"])
+    parts = nodes.withColumnRenamed("digest", "n").join(edges.select("contig", F.col("digest").alias("e")), "contig", "left").join(walk.select("contig", F.col("digest").alias("w")), "contig")
+    return parts.select("contig", digests.graph_digest(F.col("n"), F.col("e"), F.col("w")).alias("digest"), F.col("leaves").alias("visits"))
 
 
 def node_widths(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,6 +140,11 @@ QUERIES = {
     "grouped_edges": (grouped_edges, f'WITH {S.ORDER_WALKS}, {_EDGES}, m AS (SELECT from_handle // 2 // 100 AS from_group, to_handle // 2 // 100 AS to_group, * FROM edges WHERE from_handle // 2 IN (SELECT p_partkey + 1 FROM part) AND to_handle // 2 IN (SELECT p_partkey + 1 FROM part)), r AS (SELECT *, row_number() OVER (PARTITION BY from_group, to_group ORDER BY from_handle, to_handle) AS i, count(*) OVER (PARTITION BY from_group, to_group) AS edges FROM m WHERE from_group <> to_group) SELECT from_group, to_group, from_handle, to_handle, edges FROM r WHERE i = 1'),
     "membership_shape": (membership_shape, f"WITH {S.EVENT_GROUPS}, {_GROUPED}, a AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY w) - 1 AS i, row_number() OVER (PARTITION BY week ORDER BY u) - 1 AS j, count(*) OVER (PARTITION BY week) AS n FROM grouped) SELECT week, max(n) AS groups, max(w) FILTER (WHERE i = ((n - 1) * 50 + 99) // 100) AS weight_p50, max(w) FILTER (WHERE i = ((n - 1) * 95 + 99) // 100) AS weight_p95, max(w) AS weight_max, max(u) FILTER (WHERE j = ((n - 1) * 50 + 99) // 100) AS paths_p50, max(u) FILTER (WHERE j = ((n - 1) * 95 + 99) // 100) AS paths_p95 FROM a GROUP BY week"),
     "gfa_scan": (gfa_scan, f"WITH {S.NODES}, {S.REFERENCE_WALK}, l AS (SELECT lead(handle) OVER (PARTITION BY contig ORDER BY ord) AS b FROM reference_walk) SELECT 'S' AS kind, count(*) AS n, sum(length(seq))::BIGINT AS total FROM nodes UNION ALL SELECT 'L', count(b), sum(b)::BIGINT FROM l UNION ALL SELECT 'P', count(*), sum(handle)::BIGINT FROM reference_walk WHERE regexp_full_match(contig, 'Brand#1\\d*')"),
-    "graph_digest": (graph_digest, f"WITH {S.NODES}, {S.REFERENCE_WALK} SELECT contig, sha256(string_agg(handle::VARCHAR || ':' || seq, ';' ORDER BY ord)) AS digest, count(*) AS visits FROM reference_walk JOIN nodes USING (node_id) GROUP BY contig"),
+    "graph_digest": (graph_digest, f"""WITH {S.NODES}, {S.REFERENCE_WALK}, listed AS (SELECT * FROM reference_walk JOIN nodes USING (node_id)),
+steps AS (SELECT * FROM (SELECT contig, handle AS from_handle, lead(handle) OVER (PARTITION BY contig ORDER BY ord) AS to_handle FROM reference_walk) WHERE to_handle IS NOT NULL),
+{S.tree_digest("listed", "contig", "node_id", "node_id::VARCHAR || ':' || seq", "n")}, {S.tree_digest("listed", "contig", "ord", "handle::VARCHAR", "w")},
+{S.tree_digest("steps", "contig, from_handle", "to_handle", "to_handle::VARCHAR", "ends")}, {S.tree_digest("ends", "contig", "from_handle", "from_handle::VARCHAR || ':' || digest", "e")},
+sized AS (SELECT contig, count(*) AS visits FROM listed GROUP BY contig)
+SELECT contig, sha256('graph:' || concat_ws(':', n.digest, coalesce(e.digest, '-'), w.digest)) AS digest, visits FROM sized JOIN n USING (contig) LEFT JOIN e USING (contig) JOIN w USING (contig)"""),
     "node_widths": (node_widths, f"WITH {S.REFERENCE_WALK}, w AS (SELECT contig, least(140.0, greatest(28.0, 18 + 8 * log2(seq_len + 1.0)))::DOUBLE AS width FROM reference_walk) SELECT contig, count(*) FILTER (WHERE width > 40) AS wide, count(*) AS nodes, round(max(width), 6) AS widest FROM w GROUP BY contig"),
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import handles as H
-from ..operators import graph, intervals, regions
+from ..operators import digests, graph, intervals, regions, validation
 from ..operators.ordered import islands, prefix_sums
 from ..sources import tables as T
 from ..sources.scratch import shared
@@ -121,10 +121,15 @@ def region_walks(spark: SparkSession, sf: str) -> DataFrame:
     return _text(regions.weighted_runs(runs, own))
 
 
+def _tile_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """What the tiles store: the pieces of all paths on their nodes."""
+    made = lambda: regions.tile_pieces(_chosen(spark, sf, "tiles").withColumnRenamed("key", "tile_id"), _region_paths(spark, sf))
+    return shared(spark, "tile-pieces", _files(spark, sf, "part", "lineitem"), made)
+
+
 def _stitched(spark: SparkSession, sf: str) -> DataFrame:
     """The runs of each region from what the tiles under it store."""
-    made = lambda: regions.tile_pieces(_chosen(spark, sf, "tiles").withColumnRenamed("key", "tile_id"), _region_paths(spark, sf))
-    pieces = shared(spark, "tile-pieces", _files(spark, sf, "part", "lineitem"), made)
+    pieces = _tile_pieces(spark, sf)
     tiles = _tile_regions(spark, sf).select(F.col("key").alias("tile_id"), "contig", F.col("q_start").alias("start"), F.col("q_end").alias("end"))
     under = intervals.overlap_join(_regions(spark, sf), tiles, ["contig"]).select("key", "tile_id")
     return regions.stitched_runs(pieces, under, _chosen(spark, sf))
@@ -138,20 +143,21 @@ def region_members(spark: SparkSession, sf: str) -> DataFrame:
     return _text(held.join(names.unionByName(own), "path_id", "left")).withColumnRenamed("reversed", "is_reversed").select("query_id", "walk", "path_id", "canonical_name", "is_reversed", "multiplicity")
 
 
-def _mark(*columns: str):
-    """A digest of rows that does not depend on their order: the sum of 60 bits of each row's md5."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns])), 1, 15), 16, 10).cast("decimal(20,0)")
-    return F.sum(bits).cast("string")
+def _node_text() -> Column:
+    return F.concat_ws(":", F.col("node_id").cast("string"), "seq")
 
 
 def _assembled(spark: SparkSession, sf: str, queries: DataFrame, name: str) -> DataFrame:
-    """Subgraph of each key in one row: nodes, bases, edges and walk, counted and digested."""
+    """Subgraph of each key in one row: nodes, bases, edges and walk, counted, and digested by hash trees."""
     chosen = _chosen(spark, sf, name)
-    n = chosen.join(T.nodes(spark, sf), "node_id").groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.length("seq")).alias("bases"), _mark("node_id", "seq").alias("node_digest"))
-    e = _edges_of(spark, sf, chosen).groupBy("key").agg(F.count(F.lit(1)).alias("edges"), _mark("from_handle", "to_handle").alias("edge_digest"))
+    nodes, edges = chosen.join(T.nodes(spark, sf), "node_id"), _edges_of(spark, sf, chosen)
     walk = _region_walk(spark, sf) if name == "regions" else _walk_of(spark, sf, queries, chosen)
-    w = walk.groupBy("key").agg(F.count(F.lit(1)).alias("visits"), F.min("start").alias("walk_start"), F.max("end").alias("walk_end"), _mark("handle", "start").alias("walk_digest"))
-    return n.join(e, "key", "left").join(w, "key").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    n = nodes.groupBy("key").agg(F.sum(F.length("seq")).alias("bases")).join(digests.tree_digest(nodes, ["key"], "node_id", _node_text()).withColumnsRenamed({"digest": "node_digest", "leaves": "nodes"}), "key")
+    e = edges.groupBy("key").agg(F.count(F.lit(1)).alias("edges")).join(digests.edge_digest(edges, ["key"]).select("key", F.col("digest").alias("edge_digest")), "key")
+    w = walk.groupBy("key").agg(F.min("start").alias("walk_start"), F.max("end").alias("walk_end"))
+    w = w.join(digests.tree_digest(walk, ["key"], "ord", F.concat_ws(":", F.col("handle").cast("string"), F.col("start").cast("string"))).withColumnsRenamed({"digest": "walk_digest", "leaves": "visits"}), "key")
+    held = n.join(e, "key", "left").join(w, "key").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    return held.withColumn("graph_digest", digests.graph_digest(F.col("node_digest"), F.col("edge_digest"), F.col("walk_digest")))
 
 
 def region_subgraph(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,16 +165,39 @@ def region_subgraph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contig_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest of each contig's walk and sequences that neither depends on any order nor gathers a contig."""
+    """A digest of each contig's walk and sequences, in their order, that gathers no more than a block of it."""
     held = T.reference_walk(spark, sf).join(T.nodes(spark, sf), "node_id")
-    return held.groupBy("contig").agg(F.count(F.lit(1)).alias("visits"), F.sum("seq_len").alias("bases"), _mark("ord", "handle", "seq").alias("digest"))
+    tree = digests.tree_digest(held, ["contig"], "ord", F.concat_ws(":", F.col("handle").cast("string"), "seq"))
+    return held.groupBy("contig").agg(F.sum("seq_len").alias("bases")).join(tree, "contig").select("contig", F.col("leaves").alias("visits"), "bases", "digest")
 
 
 def tile_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """Each reference tile with its context, and the records and bytes that it would take."""
     held = _assembled(spark, sf, _tile_regions(spark, sf), "tiles")
     size = graph.payload_size(F.col("nodes"), F.col("bases"), F.col("edges"), 2 * F.col("nodes"), F.lit(0))
-    return held.select(F.col("key").alias("tile_key"), "nodes", (2 * F.col("nodes")).alias("records"), "edges", "visits", "node_digest", "edge_digest", size.alias("bytes"))
+    return held.select(F.col("key").alias("tile_key"), "nodes", (2 * F.col("nodes")).alias("records"), "edges", "visits", "graph_digest", size.alias("bytes"))
+
+
+def tile_verification(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored tiles rebuilt and held against the source: those of every eleventh tile lost a piece, had one turned at its end, or one twice."""
+    chosen, i = _chosen(spark, sf, "tiles"), F.col("tile_id") % 11
+    pieces = _tile_pieces(spark, sf)
+    first = Window.partitionBy("tile_id").orderBy("path_id", "first_ord")
+    marked = pieces.withColumn("_first", F.row_number().over(first) == 1)
+    turned = F.concat(F.slice("walk", F.lit(1), F.size("walk") - 1), F.array(H.flip(F.element_at("walk", -1))))
+    broken = marked.where(~((i == 1) & F.col("_first"))).withColumn("walk", F.when((i == 2) & F.col("_first"), turned).otherwise(F.col("walk")))
+    broken = broken.unionByName(broken.where((i == 3) & F.col("_first"))).select(F.col("tile_id").alias("key"), "walk")
+    source = regions.region_runs(regions.region_visits(chosen, _region_paths(spark, sf))).select("key", "walk")
+    return validation.graph_faults(source, broken, _edges_of(spark, sf, chosen)).withColumnRenamed("key", "tile_key")
+
+
+def region_verification(spark: SparkSession, sf: str) -> DataFrame:
+    """Every region put together from its stored tiles: its walks and edges by count and weight, and how many differ from the source (none)."""
+    stored, chosen = _stitched(spark, sf).select("key", "walk"), _chosen(spark, sf)
+    source = regions.region_runs(regions.region_visits(chosen, _region_paths(spark, sf))).select("key", "walk")
+    faults = validation.graph_faults(source, stored, _edges_of(spark, sf, chosen))
+    held = stored.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.size("walk")).alias("visits"), F.countDistinct(H.walk_key(F.col("walk"))).alias("different"))
+    return held.join(faults, "key", "left").select(F.col("key").alias("query_id"), "pieces", "visits", "different", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("walks", "edges_missing", "edges_extra")])
 
 
 def merged_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,14 +337,19 @@ def _strands(source: str, name: str, *more: str) -> str:
     return f"{name} AS (SELECT * FROM (SELECT {columns}, walk, false AS is_reversed FROM {source} UNION ALL SELECT {columns}, list_transform(list_reverse(walk), lambda h: xor(h, 1::BIGINT)), true FROM {source}) WHERE {canonical})"
 
 
-def _marked(*columns: str) -> str:
-    return f"sum(('0x' || substr(md5(concat_ws(':', {', '.join(c + '::VARCHAR' for c in columns)})), 1, 15))::BIGINT)::VARCHAR"
-
-
 _ASKED = "asked AS (SELECT manifest_id * 10000000 + tile_index AS query_id, contig, core_start AS q_start, core_end AS q_end FROM tiles)"
-_COUNTED = f"""n AS (SELECT query_id, count(*) AS nodes, sum(length(seq))::BIGINT AS bases, {_marked('node_id', 'seq')} AS node_digest FROM chosen JOIN nodes USING (node_id) GROUP BY query_id),
-x AS (SELECT c.query_id, count(*) AS edges, {_marked('from_handle', 'to_handle')} AS edge_digest FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2 GROUP BY c.query_id),
-w AS (SELECT query_id, count(*) AS visits, min(s) AS walk_start, max(e) AS walk_end, {_marked('handle', 's')} AS walk_digest FROM walked GROUP BY query_id)"""
+_COUNTED = ", ".join((
+    "held AS (SELECT query_id, node_id, seq FROM chosen JOIN nodes USING (node_id))",
+    "inside AS (SELECT c.query_id, e.from_handle, e.to_handle FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2)",
+    S.tree_digest("held", "query_id", "node_id", "node_id::VARCHAR || ':' || seq", "node_tree"),
+    S.tree_digest("inside", "query_id, from_handle", "to_handle", "to_handle::VARCHAR", "led_to"),
+    S.tree_digest("led_to", "query_id", "from_handle", "from_handle::VARCHAR || ':' || digest", "edge_tree"),
+    S.tree_digest("walked", "query_id", "ord", "handle::VARCHAR || ':' || s::VARCHAR", "walk_tree"),
+    "n AS (SELECT query_id, count(*) AS nodes, sum(length(seq))::BIGINT AS bases FROM held GROUP BY query_id)", "x AS (SELECT query_id, count(*) AS edges FROM inside GROUP BY query_id)",
+    "w AS (SELECT query_id, count(*) AS visits, min(s) AS walk_start, max(e) AS walk_end FROM walked GROUP BY query_id)",
+    "told AS (SELECT query_id, nodes, bases, coalesce(edges, 0) AS edges, visits, walk_start, walk_end, a.digest AS node_digest, b.digest AS edge_digest, c.digest AS walk_digest, sha256('graph:' || concat_ws(':', a.digest, coalesce(b.digest, '-'), c.digest)) AS graph_digest "
+    "FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id) JOIN node_tree a USING (query_id) LEFT JOIN edge_tree b USING (query_id) JOIN walk_tree c USING (query_id))",
+))
 
 
 def _flagged(flag: str) -> str:
@@ -327,9 +361,22 @@ QUERIES = {
     "region_nodes": (region_nodes, f"WITH RECURSIVE {_GRAPH} SELECT query_id, node_id, seq FROM chosen JOIN nodes USING (node_id)"),
     "region_edges": (region_edges, f"WITH RECURSIVE {_GRAPH} SELECT c.query_id, e.from_handle, e.to_handle FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2"),
     "region_walk": (region_walk, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')} SELECT query_id, ord, handle, s AS start_pos, e AS end_pos FROM walked"),
-    "region_subgraph": (region_subgraph, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')}, {_COUNTED} SELECT query_id, nodes, bases, node_digest, coalesce(edges, 0) AS edges, edge_digest, visits, walk_start, walk_end, walk_digest FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id)"),
-    "contig_digest": (contig_digest, f"WITH {S.NODES}, {S.REFERENCE_WALK} SELECT contig, count(*) AS visits, sum(seq_len)::BIGINT AS bases, {_marked('ord', 'handle', 'seq')} AS digest FROM reference_walk JOIN nodes USING (node_id) GROUP BY contig"),
-    "tile_subgraph": (tile_subgraph, f"WITH RECURSIVE {_graph('asked', S.TILES, _ASKED)}, {_walked('asked')}, {_COUNTED} SELECT query_id AS tile_key, nodes, 2 * nodes AS records, coalesce(edges, 0) AS edges, visits, node_digest, edge_digest, 128 + nodes * 16 + bases + coalesce(edges, 0) * 16 + 2 * nodes * 24 AS bytes FROM n LEFT JOIN x USING (query_id) JOIN w USING (query_id)"),
+    "region_subgraph": (region_subgraph, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')}, {_COUNTED} SELECT * FROM told"),
+    "contig_digest": (contig_digest, f"WITH {S.NODES}, {S.REFERENCE_WALK}, listed AS (SELECT * FROM reference_walk JOIN nodes USING (node_id)), {S.tree_digest('listed', 'contig', 'ord', "handle::VARCHAR || ':' || seq", 'tree')} SELECT contig, count(*) AS visits, sum(seq_len)::BIGINT AS bases, any_value(digest) AS digest FROM listed JOIN tree USING (contig) GROUP BY contig"),
+    "tile_subgraph": (tile_subgraph, f"WITH RECURSIVE {_graph('asked', S.TILES, _ASKED)}, {_walked('asked')}, {_COUNTED} SELECT query_id AS tile_key, nodes, 2 * nodes AS records, edges, visits, graph_digest, 128 + nodes * 16 + bases + edges * 16 + 2 * nodes * 24 AS bytes FROM told"),
+    "tile_verification": (tile_verification, f"""WITH RECURSIVE {_graph('asked', S.TILES, _ASKED)}, {_RUNS}, marked AS (SELECT *, query_id % 11 AS i, row_number() OVER (PARTITION BY query_id ORDER BY path_id, run DESC) = 1 AS is_first FROM (SELECT query_id, path_id, min(ord) AS run, list(handle ORDER BY ord) AS walk FROM lying GROUP BY query_id, path_id, run)),
+firsts AS (SELECT * EXCLUDE (is_first), row_number() OVER (PARTITION BY query_id ORDER BY path_id, run) = 1 AS is_first FROM marked),
+broken AS (SELECT query_id, CASE WHEN i = 2 AND is_first THEN list_concat(walk[1 : len(walk) - 1], [xor(walk[len(walk)], 1::BIGINT)]) ELSE walk END AS walk FROM firsts WHERE NOT (i = 1 AND is_first) UNION ALL SELECT query_id, walk FROM firsts WHERE i = 3 AND is_first),
+{_strands('runs', 'a')}, {_strands('broken', 'b')}, wa AS (SELECT query_id, {S.WALK_TEXT} AS walk, count(*) AS n FROM a GROUP BY ALL), wb AS (SELECT query_id, {S.WALK_TEXT} AS walk, count(*) AS n FROM b GROUP BY ALL),
+differs AS (SELECT query_id, walk, coalesce(wa.n, 0) AS weight_source, coalesce(wb.n, 0) AS weight_stored FROM wa FULL JOIN wb USING (query_id, walk) WHERE coalesce(wa.n, 0) <> coalesce(wb.n, 0)),
+walks AS (SELECT query_id, count(*) AS walks, min(walk) AS first_walk, arg_min(weight_source, walk) AS weight_source, arg_min(weight_stored, walk) AS weight_stored FROM differs GROUP BY query_id),
+steps AS (SELECT query_id, walk[i] AS a, walk[i + 1] AS b FROM (SELECT query_id, walk, unnest(range(1, len(walk))) AS i FROM broken)),
+used AS (SELECT DISTINCT query_id, CASE WHEN {_KEPT} THEN a ELSE xor(b, 1::BIGINT) END AS f, CASE WHEN {_KEPT} THEN b ELSE xor(a, 1::BIGINT) END AS t FROM steps),
+inside AS (SELECT c.query_id, e.from_handle AS f, e.to_handle AS t FROM chosen c JOIN edges e ON e.from_handle // 2 = c.node_id JOIN chosen d ON d.query_id = c.query_id AND d.node_id = e.to_handle // 2),
+lost AS (SELECT query_id, count(*) AS n FROM (FROM inside EXCEPT FROM used) GROUP BY query_id), more AS (SELECT query_id, count(*) AS n FROM (FROM used EXCEPT FROM inside) GROUP BY query_id),
+named AS (SELECT query_id FROM walks UNION SELECT query_id FROM lost UNION SELECT query_id FROM more)
+SELECT query_id AS tile_key, coalesce(walks, 0) AS walks, first_walk, weight_source, weight_stored, coalesce(lost.n, 0) AS edges_missing, coalesce(more.n, 0) AS edges_extra FROM named LEFT JOIN walks USING (query_id) LEFT JOIN lost USING (query_id) LEFT JOIN more USING (query_id)"""),
+    "region_verification": (region_verification, f"WITH RECURSIVE {_GRAPH}, {_RUNS} SELECT query_id, count(*) AS pieces, sum(len(walk))::BIGINT AS visits, count(DISTINCT {S.WALK_TEXT}) AS different, 0 AS walks, 0 AS edges_missing, 0 AS edges_extra FROM runs GROUP BY query_id"),
     "merged_nodes": (merged_nodes, f"WITH {S.NODES} SELECT node_id, seq FROM nodes WHERE node_id IN (SELECT l_partkey + 1 FROM lineitem)"),
     "graph_diff": (graph_diff, f"WITH {_flagged('A')}, {_flagged('R')} SELECT *, 'missing' AS side FROM (SELECT * FROM eA EXCEPT SELECT * FROM eR) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM eR EXCEPT SELECT * FROM eA)"),
     "region_walks": (region_walks, f"WITH RECURSIVE {_GRAPH}, {_walked('region_queries')}, {_RUNS}, own AS (SELECT query_id, list(handle ORDER BY ord) AS walk FROM walked GROUP BY query_id), {_strands('own', 'mine')}, {_strands('runs', 'found')}, counted AS (SELECT query_id, walk, count(*) AS n FROM found GROUP BY ALL), left_over AS (SELECT query_id, walk, n - CASE WHEN (query_id, walk) IN (SELECT (query_id, walk) FROM mine) THEN 1 ELSE 0 END AS weight, (query_id, walk) IN (SELECT (query_id, walk) FROM mine) AS is_reference FROM counted) SELECT query_id, {S.WALK_TEXT} AS walk, weight, is_reference FROM left_over WHERE weight > 0"),

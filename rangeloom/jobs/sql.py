@@ -109,3 +109,12 @@ state AS (SELECT view, chosen, 0 AS step FROM finest
   FROM state s, LATERAL (SELECT x.manifest_id FROM saved x WHERE x.view = s.view AND list_contains(s.chosen, {{'m': x.manifest_id, 'l': x.level}}) AND x.saves > 0 ORDER BY x.saves DESC, x.manifest_id LIMIT 1) w
   WHERE (SELECT sum(y.bins) FROM series y WHERE y.view = s.view AND list_contains(s.chosen, {{'m': y.manifest_id, 'l': y.level}})) > {most})
 SELECT view, c.m AS manifest_id, c.l::INT AS level FROM (SELECT view, unnest(chosen) AS c FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY step DESC) AS r FROM state) WHERE r = 1)"""
+
+
+def tree_digest(source: str, keys: str, order: str, content: str, name: str, levels: int = 3) -> str:
+    """Common table expressions of a hash tree over the rows of each key; the last is `name` (keys, digest)."""
+    steps = [f"{name}_0 AS (SELECT {keys}, {order} AS pos, sha256('leaf:' || {content}) AS h FROM {source})"]
+    for level in range(1, levels + 1):
+        steps.append(f"{name}_{level} AS (SELECT {keys}, pos // 256 AS pos, sha256('node {level}:' || count(*) || ':' || string_agg(h, ',' ORDER BY {name}_{level - 1}.pos, h)) AS h FROM {name}_{level - 1} GROUP BY {keys}, {name}_{level - 1}.pos // 256)")
+    steps.append(f"{name} AS (SELECT {keys}, sha256('top:' || count(*) || ':' || string_agg(h, ',' ORDER BY pos, h)) AS digest FROM {name}_{levels} GROUP BY {keys})")
+    return ", ".join(steps)

@@ -83,41 +83,38 @@ def locate_positions(positions: DataFrame, visits: DataFrame, *, block: int = 10
     return asked.join(filed, ["contig", "_block"]).where((F.col("start") <= F.col("position")) & (F.col("position") < F.col("end"))).drop("_block").withColumn("node_offset", F.col("position") - F.col("start"))
 
 
-def _first_misfits(gap: int, cap: int):
-    """For each range of a stretch the first later one that a merge from there on cannot take in. Ranges come in order of (start, end)."""
+def _first_misfits(keys: list[str], gap: int, cap: int):
+    """For each range of a stretch the first later one of its keys that a merge from there on cannot take in, in order of (start, end)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
+        code = pdf.groupby(keys, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), np.int64)
+        order = np.lexsort((pdf["end"], pdf["start"], code))
+        pdf, code = pdf.iloc[order].reset_index(drop=True), code[order]
         start, end = pdf["start"].tolist(), pdf["end"].tolist()
         n = len(start)
-        after = [n] * n  # the first range past a gap
-        reach = end[:]  # the farthest end before it
+        last = np.searchsorted(code, code, "right").tolist()  # one past the last range of the same keys
+        after, reach = list(last), end[:]  # the first range past a gap, and the farthest end before it
         for i in range(n - 1, -1, -1):
             j = i + 1
-            while j < n and start[j] <= reach[i] + gap:
+            while j < last[i] and start[j] <= reach[i] + gap:
                 reach[i] = max(reach[i], reach[j])
                 j = after[j]
             after[i] = j
-        misfit, j = [n] * n, 0
+        misfit, j = np.zeros(n, np.int64), 0
         for i in range(n):
             j = max(j, i + 1)
-            while j < n and end[j] <= start[i] + cap:
+            while j < last[i] and end[j] <= start[i] + cap:
                 j += 1
             misfit[i] = min(j, after[i]) if end[i] - start[i] <= cap else i + 1
-        at = np.array(misfit)
-        held = at < n
-        found = pdf.loc[pdf["_own"], [c for c in pdf.columns if c not in ("_own", "_beyond_start", "_beyond_end")]].copy()
-        own = pdf["_own"].to_numpy()
-        for name, values in (("next_start", start), ("next_end", end)):
-            beyond = pdf[f"_beyond_{name[5:]}"]
-            values = pd.Series([values[k] if ok else None for k, ok in zip(misfit, held.tolist(), strict=True)], dtype="Int64")
-            found[name] = values.where(values.notna(), beyond.astype("Int64"))[own].to_numpy(dtype=object, na_value=None)
-        return found
+        held, at = misfit < np.array(last), np.minimum(misfit, n - 1)
+        for name in ("start", "end"):
+            pdf[f"next_{name}"] = pdf[name].astype("Int64").take(at).reset_index(drop=True).where(pd.Series(held), pdf[f"_beyond_{name}"].astype("Int64"))
+        return pdf.loc[pdf["_own"], [*keys, "start", "end", "next_start", "next_end"]]
 
     return run
 
 
-def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: int) -> DataFrame:
+def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: int, block_rows: int = 20_000) -> DataFrame:
     """Greedy merge in order of (start, end) under a gap and a size cap: (keys, start, end, members).
 
     Greedy merging is sequential: where a merge begins depends on all before it. Yet the first range that a merge from a
@@ -130,7 +127,9 @@ def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: in
     low, high = once.agg(F.min("start"), F.max("start")).head()
     if low is None:
         return once.select(*keys, "start", "end", "members")
-    width = max(1, -(-(int(high) - int(low) + 1) // 1024))
+    tasks, span = max(1, once.count() // block_rows), int(high) - int(low) + 1
+    blocks = min(tasks, max(1, span // max(1, cap)))
+    width = -(-span // blocks)
     halo = -(-cap // width)
     block = F.floor((F.col("start") - int(low)) / width)
     firsts = once.groupBy(*keys, block.alias("_block")).agg(F.min(F.struct("start", "end")).alias("_first"))
@@ -139,7 +138,8 @@ def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: in
     sent = once.select(*keys, "start", "end", F.explode(F.sequence(F.greatest(block - halo, F.lit(0)), block)).alias("_block"), block.alias("_of")).withColumn("_own", F.col("_of") == F.col("_block")).drop("_of")
     sent = same_keys(sent, firsts, [*keys, "_block"])
     kinds = ", ".join(f"`{k}` {once.schema[k].dataType.simpleString()}" for k in keys)
-    jumps = sent.groupBy(*keys, "_block").applyInPandas(_first_misfits(gap, cap), f"{kinds}, start long, end long, _block long, next_start long, next_end long")
+    deal = F.pmod(F.xxhash64(*keys), F.lit(-(-tasks // blocks))) if keys else F.lit(0)
+    jumps = sent.groupBy("_block", deal.alias("_deal")).applyInPandas(_first_misfits(list(keys), gap, cap), f"{kinds}, start long, end long, next_start long, next_end long")
     at = lambda s, e: F.struct(*keys, F.col(s).alias("start"), F.col(e).alias("end"))
     jumps = jumps.select(at("start", "end").alias("id"), F.when(F.col("next_start").isNotNull(), at("next_start", "next_end")).alias("next"))
     reached = running_reach(once, keys, "start", "end")

@@ -4,22 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ordered import running_count, running_reach
+from ..sources.scratch import materialize
+from .ordered import running_count, running_reach, same_keys
+
+
+#: Distinct values that a window may sort for a group, and bins of a pass that narrows larger groups.
+SORTED_VALUES, BINS = 4096, 1024
 
 
 def _picked(rows: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """For each key the values at 0-based positions of the sorted values; a position is an expression of `n`.
 
-    Values are first counted, so a group is sorted by its distinct values with their running counts.
+    Radix selection: values are counted first, then each pass cuts what lies between a position's bounds into `BINS` bins,
+    counts them (which combines before the shuffle, so a hot group is the work of all tasks), and keeps the bin that the
+    position falls into, with its own least and greatest value as bounds. Once no more than `SORTED_VALUES` different
+    values are left between the bounds, they are sorted. Bounds are values that occur, so every pass narrows.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    by = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(by)).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
-    here = {name: F.max(F.when((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at), F.col(value))).alias(name) for name, at in picks.items()}
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *here.values(), F.max(value).alias("max"), F.min(value).alias("min"))
+    counted = materialize(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "counted-values")
+    whole = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    whole = materialize(whole, "value-groups")
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("_pick"), p.cast("long").alias("_at")) for name, p in picks.items()]))
+    bounds = whole.select(*keys, at.alias("_p"), F.col("min").alias("_low"), F.col("max").alias("_high"), F.col("_d").alias("_d")).select(*keys, "_p._pick", "_p._at", "_low", "_high", "_d")
+    bounds = materialize(bounds, "value-bounds")
+    ready = []
+    while True:
+        ready.append(bounds.where(F.col("_d") <= SORTED_VALUES))
+        wide = bounds.where(F.col("_d") > SORTED_VALUES)
+        if not wide.limit(1).count():
+            break
+        width = (F.col("_high") - F.col("_low")).cast("double")
+        bin_of = F.least(F.floor((F.col("_v") - F.col("_low")).cast("double") / width * BINS), F.lit(BINS - 1))
+        inside = same_keys(counted, wide, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        bins = inside.groupBy(*keys, "_pick", "_at", bin_of.alias("_bin")).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "_pick").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most BINS rows
+        held = bins.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+        bounds = materialize(held.select(*keys, "_pick", (F.col("_at") - F.col("_upto") + F.col("_n")).alias("_at"), "_low", "_high", "_d"), "value-bounds")
+    narrow = ready[0]
+    for r in ready[1:]:
+        narrow = narrow.unionByName(r)
+    inside = same_keys(counted, narrow, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_pick").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most SORTED_VALUES rows
+    found = inside.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
+    here = [F.max(F.when(F.col("_pick") == name, F.col("_v"))).alias(name) for name in picks]
+    found = found.groupBy(*keys).agg(*here)
+    return same_keys(whole.select(*keys, "n", "max", "min"), found, keys).select(*keys, "n", *picks, "max", "min")
 
 
 def distribution_ceil(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
@@ -42,28 +76,69 @@ def grouped_with_all(rows: DataFrame, config: str, kind: str, value: str) -> Dat
     )
 
 
+def _undominated(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether no row of `others` dominates a row of x. others rise by their sum, so those that dominate stand first."""
+    alive = np.ones(len(x), bool)
+    for at in range(0, len(others), 64):
+        some, rows = others[at : at + 64], np.flatnonzero(alive)
+        if not len(rows):
+            break
+        for first in range(0, len(rows), 4096):
+            part = rows[first : first + 4096]
+            no_larger = (some[None, :, :] <= x[part][:, None, :]).all(axis=2)
+            smaller = (some[None, :, :] < x[part][:, None, :]).any(axis=2)
+            alive[part[(no_larger & smaller).any(axis=1)]] = False
+    return alive
+
+
+def _own_frontier(x: np.ndarray) -> np.ndarray:
+    order = np.argsort(x.sum(axis=1), kind="stable")
+    held = np.zeros((0, x.shape[1]))
+    kept = []
+    for at in range(0, len(order), 1024):
+        part = order[at : at + 1024]
+        part = part[_undominated(x[part], held)]
+        part = part[_undominated(x[part], x[part])]
+        kept.append(part)
+        held = np.concatenate([held, x[part]])
+    return np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+
+
 def pareto_frontier(rows: DataFrame, key: str, metrics: Sequence[str], *, cells: int = 8) -> DataFrame:
     """Rows that no other row dominates (at most as large in all metrics and smaller in one).
 
-    Rows are cut into cells of the first metric at approximate quantiles. The row of least sum in each cell, a
-    handful, is a literal filter that removes most dominated rows during the scan. What is left meets in a band
-    join: a row is sent to its own and all higher cells, since only those can hold rows that it dominates.
+    First every batch of a partition keeps its own frontier. What is left is filed in a grid of `cells` stretches of each
+    metric, cut at approximate quantiles. A cell behind a held one in all metrics is dominated whole and goes; a row of any
+    other cell can only be dominated by rows of cells that lie before it or beside it, which share a stretch with it, so
+    only those are sent there, and each cell is a task. Metrics that rise as others fall fill a diagonal of cells, which
+    see few others. Null metrics take no part.
     """
-    cuts = rows.stat.approxQuantile(metrics[0], [i / cells for i in range(1, cells)], 0.01)
-    cell = sum((F.when(F.col(metrics[0]) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    total = sum((F.col(m).cast("double") for m in metrics), F.lit(0.0))
-    best = rows.groupBy(cell.alias("_cell")).agg(F.min_by(F.struct(*[F.col(m).alias(m) for m in metrics]), F.struct(total, F.col(key))).alias("_b")).select("_b.*").collect()
-    alive = rows.withColumn("_cell", cell)
-    for b in best:  # at most `cells` rows
-        no_larger, smaller = F.lit(True), F.lit(False)
-        for m in metrics:
-            no_larger, smaller = no_larger & (F.lit(b[m]) <= F.col(m)), smaller | (F.lit(b[m]) < F.col(m))
-        alive = alive.where(~(no_larger & smaller))
-    sent = alive.select(*[F.col(m).alias(f"_o_{m}") for m in metrics], F.explode(F.sequence(F.col("_cell"), F.lit(len(cuts)))).alias("_o_cell"))
-    cond, smaller = F.col("_cell") == F.col("_o_cell"), F.lit(False)
-    for m in metrics:
-        cond, smaller = cond & (F.col(f"_o_{m}") <= F.col(m)), smaller | (F.col(f"_o_{m}") < F.col(m))
-    return alive.join(sent, cond & smaller, "left_anti").select(rows.columns)
+    names, columns = list(metrics), rows.columns
+    rows = rows.where(F.greatest(*[F.col(m).isNull().cast("int") for m in names], F.lit(0)) == 0)
+
+    def local(batches):
+        for pdf in batches:
+            yield pdf.iloc[_own_frontier(pdf[names].to_numpy(float))]
+
+    left = materialize(rows.mapInPandas(local, rows.schema), "local-frontiers")
+    cuts = left.stat.approxQuantile(names, [i / cells for i in range(1, cells)], 0.01)
+    place = [sum((F.when(F.col(m) > c, 1).otherwise(0) for c in sorted(set(of))), F.lit(0)) for m, of in zip(names, cuts, strict=True)]
+    left = left.withColumn("_cell", F.array(*place))
+    held = [tuple(r[0]) for r in left.select("_cell").distinct().collect()]  # at most cells ^ metrics rows
+    alive = [c for c in held if not any(all(a < b for a, b in zip(o, c, strict=True)) for o in held)]
+    sent = [(list(o), list(c)) for c in alive for o in alive if all(a <= b for a, b in zip(o, c, strict=True))]
+    if not sent:
+        return rows.limit(0)
+    to = left.sparkSession.createDataFrame(sent, "_cell array<int>, _to array<int>")
+    own = left.join(F.broadcast(to.select("_cell").distinct()), "_cell")
+    others = left.join(F.broadcast(to), "_cell").select(F.col("_to").alias("_cell"), *[F.col(m).cast("double").alias(m) for m in names])
+    schema = T.StructType(list(rows.schema.fields))
+
+    def merged(mine: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        x, y = mine[names].to_numpy(float), seen[names].to_numpy(float)
+        return mine.loc[_undominated(x, y[np.argsort(y.sum(axis=1), kind="stable")]), columns]
+
+    return own.groupBy("_cell").cogroup(others.groupBy("_cell")).applyInPandas(merged, schema)
 
 
 def request_rounds(requests: DataFrame, keys: Sequence[str]) -> DataFrame:

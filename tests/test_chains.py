@@ -73,7 +73,7 @@ def test_capped_merging_is_the_greedy_one(spark, spread, gap, cap):
     rows = [("hot" if i % 9 else rng.choice([None, "cold"]), s := rng.randrange(spread), s + rng.choice([0, 1, 3, 9, cap, cap + 1, 30])) for i in range(900)]
     rows += rows[:60]
     df = spark.createDataFrame(rows, "k string, start long, end long").repartition(7)
-    got = sorted((str(r.k), r.start, r.end, r.members) for r in intervals.coalesce_capped(df, ["k"], gap=gap, cap=cap).collect())
+    got = sorted((str(r.k), r.start, r.end, r.members) for r in intervals.coalesce_capped(df, ["k"], gap=gap, cap=cap, block_rows=20).collect())
     assert got == sorted((str(k), *x) for k in ("hot", None, "cold") for x in greedy([r[1:] for r in rows if r[0] == k], gap, cap))
 
 
