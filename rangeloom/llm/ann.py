@@ -5,8 +5,9 @@ is filed under the leaf that it falls into. While leaves hold over `split_rows`
 of its own, fitted on a sample of its rows, and its rows and the queries that visit it are sent on below it: the tree
 grows with the table, and a query reads a bounded number of leaves of bounded size a level. A query visits leaves
 through a priority queue of tree nodes ordered by their centre's distance; how many leaves is calibrated on each
-tree's sample: visits are widened until the share of true neighbours found reaches `recall`. After `max_levels` levels,
-or where rows are all alike, leaves stay large.
+tree's sample: visits are widened until the share of true neighbours found reaches that level's part of `recall`, of
+which the levels that the table's size asks for make up the product. A query takes leaves until they hold k rows
+besides its own, on every level. After `max_levels` levels, or where rows are all alike, leaves stay large.
 
 Rows of a leaf are dealt to chunks of bounded size, however many there are, and the queries of a chunk to
 batches of bounded size, so a leaf that holds a third of all rows is many units of work. Distances are exact.
@@ -44,6 +45,7 @@ class Tree:
     children: list[list[int]] = field(default_factory=list)
     leaf: list[int] = field(default_factory=list)
     leaves: int = 0
+    held: list[int] = field(default_factory=list)  # rows of the sample in each leaf: at least so many are in the table
 
     def add(self, centre: np.ndarray) -> int:
         self.centres.append(centre)
@@ -175,9 +177,18 @@ def _smallest(far: np.ndarray, k: int) -> np.ndarray:
 
 def _leaf_tree(x: np.ndarray, *, branch: int, leaf_rows: int, k: int, recall: float, probes: int, seed: int) -> tuple[Tree, int]:
     tree = build_tree(x, branch=branch, leaf_rows=leaf_rows, rounds=6, seed=seed)
+    tree.held = np.bincount(tree.file(x), minlength=tree.leaves).tolist()
     return tree, calibrate(tree, x, k=k, recall=recall, probes=probes, seed=seed)
 
 
+def planned_levels(n: int, *, sample_rows: int, leaf_rows: int, split_rows: int, most: int) -> int:
+    """Levels that n rows take: a tree has about sample_rows / leaf_rows leaves, of which some hold four times their share."""
+    fan, levels, room = max(2, sample_rows // leaf_rows), 1, split_rows * max(2, sample_rows // leaf_rows)
+    while 4 * n > room and levels < most:
+        levels, room = levels + 1, room * fan
+    return levels
+
+
 #: A leaf's children are numbered within so many, more than a tree's sample has rows; four levels of them fit a long.
 _FAN = 1 << 15
 
@@ -203,7 +214,7 @@ def _grow(index: DataFrame, plans: DataFrame, big: DataFrame, options: dict, sam
         if not rows.num_rows:
             return rows.select(["query_id", "q", "leaf"])
         tree, most = load(trees)
-        leaves = [tree.visit(q, most) for q in _matrix(rows.column("q").combine_chunks())]
+        leaves = [tree.visit(q, most, tree.held, options["k"] + 1) for q in _matrix(rows.column("q").combine_chunks())]
         at = np.repeat(np.arange(rows.num_rows), [len(x) for x in leaves])
         leaf = np.concatenate(leaves).astype(np.int64) + (key[0].as_py() + 1) * _FAN
         return pa.table([rows.column("query_id").take(pa.array(at)), rows.column("q").take(pa.array(at)), pa.array(leaf)], ["query_id", "q", "leaf"])
@@ -212,11 +223,13 @@ def _grow(index: DataFrame, plans: DataFrame, big: DataFrame, options: dict, sam
         """rows of big leaves with a chunk number, and the trees once for each chunk."""
         chunks = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks")).join(trees, "leaf").select("leaf", "chunks")
         chunks = materialize(chunks, "ann-chunks")
-        cut = rows.join(F.broadcast(chunks), "leaf").withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")).drop("chunks")  # a row a big leaf
+        cut = rows.join(few(chunks), "leaf").withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")).drop("chunks")
         return cut, trees.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
+    # A row a big leaf, of over split_rows rows each: sent to all tasks only while they are few.
+    few = F.broadcast if big.count() <= MOST_BROADCAST_LEAVES else lambda rows: rows
     share = F.col("rows") * F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 20)) < F.lit(sample_rows) * (1 << 20)
-    picked = index.join(F.broadcast(big), "leaf").where(share).select("leaf", "x")
+    picked = index.join(few(big), "leaf").where(share).select("leaf", "x")
     trees = materialize(picked.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary, visits int"), "ann-trees")
     out = []
     for rows, by, size, step, schema in (
@@ -225,7 +238,7 @@ def _grow(index: DataFrame, plans: DataFrame, big: DataFrame, options: dict, sam
     ):
         cut, sent = dealt(rows, by, size)
         below = cut.groupBy("leaf", "chunk").cogroup(sent.groupBy("leaf", "chunk")).applyInArrow(step, schema)
-        out.append(materialize(rows.join(F.broadcast(trees.select("leaf")), "leaf", "left_anti").select(below.columns).unionByName(below), "ann-grown"))
+        out.append(materialize(rows.join(few(trees.select("leaf")), "leaf", "left_anti").select(below.columns).unionByName(below), "ann-grown"))
     return out[0], out[1]
 
 
@@ -251,7 +264,8 @@ def nearest(
     share = min(1.0, sample_rows / max(1, n))
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).orderBy("vec_id").select("x").toArrow()  # about sample_rows rows
     x = _matrix(sample.column("x").combine_chunks()) if sample.num_rows else np.zeros((0, 1))
-    options = {"branch": branch, "leaf_rows": leaf_rows, "k": k, "recall": recall, "probes": probes, "seed": seed}
+    levels = planned_levels(n, sample_rows=sample_rows, leaf_rows=leaf_rows, split_rows=split_rows, most=max_levels)
+    options = {"branch": branch, "leaf_rows": leaf_rows, "k": k, "recall": recall ** (1 / levels), "probes": probes, "seed": seed}
     tree, visits = _leaf_tree(x, **options)
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
@@ -276,7 +290,9 @@ def nearest(
         big = materialize(index.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows), "ann-big")
         if not big.limit(1).count():
             break
-        index, plans = _grow(index, plans, big, options, sample_rows, chunk_rows, batch_queries, seed + level)
+        # A level that only crowded leaves need loses next to nothing more.
+        own = options if level < levels else options | {"recall": max(options["recall"], 0.995)}
+        index, plans = _grow(index, plans, big, own, sample_rows, chunk_rows, batch_queries, seed + level)
 
     visitors = plans.groupBy("leaf").count()
     # A row a leaf: into how many chunks and batches its rows and queries are dealt.
