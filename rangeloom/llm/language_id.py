@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, materialize
 
 
 def _word_pattern(last: int) -> re.Pattern[str]:
@@ -182,13 +182,21 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), hashes, pa.array(list(counts.values()), pa.int64())], ["lang", "kind", "term", "n"])
 
 
-def train(docs: DataFrame, *, docs_per_lang: int = 1_500) -> LanguageModel:
-    """docs: doc_id, text, lang of the documents to learn from."""
+def train(docs: DataFrame, *, docs_per_lang: int = 1_500, sample_bytes: int = 48 << 20) -> LanguageModel:
+    """docs: doc_id, text, lang of the documents to learn from.
+
+    About docs_per_lang documents a language are learned whole, and fewer where those of all languages would come to more
+    than sample_bytes: each language then has an equal part of them. So what is learned, collected and broadcast is bounded
+    in bytes, however many languages there are and however long their texts.
+    """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    share = docs.groupBy("lang").agg((F.least(F.lit(1.0), docs_per_lang / F.count(F.lit(1))) * (1 << 20)).alias("share"))  # a row a language
-    chosen = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 20)) < F.col("share"))
+    sizes = materialize(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")), "language-sizes")
+    part = sample_bytes / max(1, sizes.count())
+    wanted = F.least(F.lit(1.0), docs_per_lang / F.col("n"), part / F.greatest("bytes", F.lit(1)))
+    share = sizes.select("lang", (wanted * (1 << 20)).alias("share"))  # a row a language
+    chosen = docs.join(share, "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 20)) < F.col("share"))
     counts = chosen.select("text", "lang").mapInArrow(_count_terms, "lang string, kind int, term long, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
-    learned = counts.toArrow()  # 20 bytes or so for each term of docs_per_lang documents a language
+    learned = counts.toArrow()  # 20 bytes or so for each term of at most about sample_bytes of text
     langs = sorted(learned.column("lang").unique().to_pylist())
     lang = np.searchsorted(np.array(langs), np.array(learned.column("lang").to_pylist())) if langs else np.zeros(0, np.int64)
     kind, term, n = (learned.column(c).to_numpy() for c in ("kind", "term", "n"))
