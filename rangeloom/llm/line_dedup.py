@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, extended, scratch_dir
+from .common import SPACE_BYTES, extended, scratch_dir, tidy
 from .cuckoo import FULL, SLOTS, CuckooFilter, as_words
 
 REFS = "key binary, n_docs long, before long"
@@ -72,7 +72,7 @@ def _shards_of(keys: list[bytes], shards: int) -> np.ndarray:
 
 def count_lines(docs: DataFrame) -> DataFrame:
     """Documents by line key; counts combine on the map side, so a line that all documents share is no hot key."""
-    return docs.select("text").mapInArrow(_keys, "key binary").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
+    return docs.select("text").mapInArrow(tidy(_keys), "key binary").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def _update_filter(key: tuple, old: pa.Table, changes: pa.Table) -> pa.Table:
@@ -164,12 +164,12 @@ class LineIndex:
         filters = self._shared_filters(max_filter_bytes)
         exact = None if filters is None else self._shared_keys(max_exact_bytes)
         if exact is not None:
-            return docs.mapInArrow(partial(_drop_lines, self.shards, filters, exact), schema)
+            return docs.mapInArrow(tidy(partial(_drop_lines, self.shards, filters, exact)), schema)
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        hits = docs.select("doc_id", "text").mapInArrow(partial(_probe, self.shards, filters), f"doc_id {id_type}, key binary")
+        hits = docs.select("doc_id", "text").mapInArrow(tidy(partial(_probe, self.shards, filters)), f"doc_id {id_type}, key binary")
         keys = hits.join(self.frequent(), "key").groupBy(F.col("doc_id").alias("_key_doc")).agg(F.collect_set("key").alias("_keys"))
         joined = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_key_doc"]), "left").drop("_key_doc")
-        return joined.mapInArrow(_rebuild, schema)
+        return joined.mapInArrow(tidy(_rebuild), schema)
 
 
 class _Filters:

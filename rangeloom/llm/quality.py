@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Bytes whose share of the text is a statistic of its own.
 MARKS = b"!#$%&*|.,-/:;()@_=<>?'\""
@@ -79,7 +79,7 @@ def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_with_statistics, f"doc_id {id_type}, stats array<float>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_with_statistics), f"doc_id {id_type}, stats array<float>")
 
 
 @dataclass
@@ -156,7 +156,7 @@ def train(stats: DataFrame, labels: DataFrame, *, features: int = 256, width: fl
     )
     if not 0 < ones < n:
         return model
-    parts = rows.withColumn("tag", F.spark_partition_id().cast("long")).mapInArrow(_normal_equations(model), "fold int, row int, tag long, sums array<double>")
+    parts = rows.withColumn("tag", F.spark_partition_id().cast("long")).mapInArrow(tidy(_normal_equations(model)), "fold int, row int, tag long, sums array<double>")
     size = features + 1
     total = np.zeros((2, size, size + 1))
     for r in parts.groupBy("fold", "row").applyInPandas(_add_rows, "fold int, row int, sums array<double>").collect():  # 2 * size rows
@@ -176,7 +176,7 @@ def train(stats: DataFrame, labels: DataFrame, *, features: int = 256, width: fl
             places = np.clip((raw + 0.5) / 2 * bins, 0, bins - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(places), batch.column("y")], ["bin", "y"])
 
-    counts = rows.mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # at most `bins` rows
+    counts = rows.mapInArrow(tidy(binned), "bin int, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # at most `bins` rows
     at = (np.array([r["bin"] for r in counts]) + 0.5) / bins * 2 - 0.5
     level = isotonic(np.array([r["y"] for r in counts]), np.array([float(r["n"]) for r in counts]))
     # A knot in the middle of each pool, so that scores rise between pools too.
@@ -199,7 +199,7 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     id_type = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    return stats.mapInArrow(tidy(run), f"doc_id {id_type}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
             if stats:
                 yield batch.filter(pa.array(model.scores(np.stack(stats).astype(np.float64)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
