@@ -1,16 +1,25 @@
 """Main text of web pages: removal of subtrees that a host's pages share, and a few structural rules.
 
-Pass 1 parses every page and emits, for its host, hashes of its block subtrees (tags, attributes and text), apart
-for those inside the page's main element and those beside it. The main element is what is marked as article body or
-main, else the longest article, else what holds most of the text. Spark counts per host in how many different pages
-each hash occurs (pages with equal main text count once, so copies of an article do not make it a template, whatever
-menus and adverts they have). Beside the main element a subtree is a template from `beside_pages` different pages
-and a share of `beside_share` of the host's on; inside it, where near copies of an article share paragraphs, only
-from `min_pages` and `share` on. Pass 2 parses again, takes out the host's template subtrees and
-
-* elements that are never text: scripts, styles, forms, menus and so on, by tag, role, or a class or id that as a
-  whole names what is not the article (never one that holds the main element; within an article, paragraphs,
-  headings, lists and the like go only under a plain name such as `ad`);
+Pass 1 parses every page and hashes its block subtrees twice.
+
+* By content: tags, attributes and text. Spark counts per host in how many different pages a hash occurs (pages with
+  equal main text count once, so copies of an article do not make it a template, whatever menus and adverts they have),
+  apart for subtrees inside the page's main element and beside it. Beside it a subtree is a template from `beside_pages`
+  different pages and a share of `beside_share` of the host's on; inside it, where near copies of an article share
+  paragraphs, only from `min_pages` and `share` on.
+* By shape: tags, class and id without digits, names of attributes, and where there is text, runs of like children as one.
+  So a menu or an advert that says something else on every page recurs. A shape is a template of a host from `min_pages`
+  different pages on if it stands beside the main element on a share of `share` of them, is itself that element on few of
+  them, and holds little of their text on average. A class or id that as a whole names what is not the article is a hint:
+  then two pages of the host, or three of all hosts, are enough, and inside the main element too.
+
+The main element is what is marked as article body or main, else the longest article, else what holds most of the text.
+Pass 2 parses again and takes out the host's template subtrees; those by shape before the main element is looked for,
+so an advert longer than its article is not taken for it. Further it takes out
+
+* elements that are never text: scripts, styles, forms, menus and so on, by tag or role (never one that holds the main
+  element). On hosts of fewer than `min_pages` different pages, which cannot tell a shape from chance, a hint is enough
+  by itself (within an article, paragraphs, headings, lists and the like go only under a plain name such as `ad`);
 
 then takes the article: the elements marked as article body, else `article`, else `main`, else the body.
 
@@ -70,6 +79,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+DIGITS = re.compile(r"\d+")
+INLINE = frozenset("span a b i em strong code".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -182,7 +193,18 @@ def _names_boilerplate(names: str, in_article: bool) -> bool:
     return bool(parts & marks) and parts <= marks | LAYOUT_WORDS
 
 
-def is_boilerplate(node: Element, in_article: bool, kept: frozenset[int] = frozenset()) -> bool:
+def is_hinted(node: Element, in_article: bool) -> bool:
+    """Whether a class or id says that the element is not of the article."""
+    if not node.attrs or node.tag in KEEP_TAGS and node.tag != "article":
+        return False
+    attrs = node.attributes()
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    if node.tag in PROSE and in_article:
+        return any(name.lower() in PLAIN_NAMES for name in names)
+    return any(_names_boilerplate(name, in_article) for name in names)
+
+
+def is_boilerplate(node: Element, in_article: bool, kept: frozenset[int] = frozenset(), hints: bool = True) -> bool:
     if id(node) in kept:
         return False
     tag = node.tag
@@ -199,13 +221,10 @@ def is_boilerplate(node: Element, in_article: bool, kept: frozenset[int] = froze
     attrs = node.attributes()
     if attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
-    if tag in PROSE and in_article:
-        return any(name.lower() in PLAIN_NAMES for name in names)
-    return any(_names_boilerplate(name, in_article) for name in names)
+    return hints and is_hinted(node, in_article)
 
 
-def _text_into(top: Element, out: list[str], drop: frozenset[int], kept: frozenset[int], in_article: bool) -> None:
+def _text_into(top: Element, out: list[str], drop: frozenset[int], kept: frozenset[int], in_article: bool, hints: bool) -> None:
     """Appends the text below `top`, in order, without what is dropped. Of a header only headings count."""
     todo: list[tuple[Element | str, bool, bool]] = [(c, in_article, False) for c in reversed(top.children)]
     while todo:
@@ -217,7 +236,7 @@ def _text_into(top: Element, out: list[str], drop: frozenset[int], kept: frozens
         if not child.tag:  # the end of a block
             out.append(" ")
             continue
-        if is_boilerplate(child, inside, kept) or id(child) in drop:
+        if is_boilerplate(child, inside, kept, hints) or id(child) in drop:
             continue
         if child.tag in BLOCK:
             out.append(" ")
@@ -229,20 +248,20 @@ def _text_into(top: Element, out: list[str], drop: frozenset[int], kept: frozens
 _END = Element("", "")
 
 
-def _find(top: Element, wanted, drop: frozenset[int], kept: frozenset[int], out: list[Element]) -> None:
+def _find(top: Element, wanted, drop: frozenset[int], kept: frozenset[int], out: list[Element], hints: bool) -> None:
     todo = list(reversed(top.children))
     while todo:
         child = todo.pop()
-        if isinstance(child, str) or is_boilerplate(child, False, kept) and child.tag != "article" or id(child) in drop:
+        if isinstance(child, str) or is_boilerplate(child, False, kept, hints) and child.tag != "article" or id(child) in drop:
             continue
         if wanted(child):
-            if not is_boilerplate(child, True, kept):
+            if not is_boilerplate(child, True, kept, hints):
                 out.append(child)
         else:
             todo += reversed(child.children)
 
 
-def main_text(root: Element, drop: frozenset[int] = frozenset(), kept: frozenset[int] | None = None) -> str:
+def main_text(root: Element, drop: frozenset[int] = frozenset(), kept: frozenset[int] | None = None, hints: bool = True) -> str:
     kept = kept_elements(root) if kept is None else kept
     for wanted in (
         lambda n: "articleBody" in n.attrs and n.attributes().get("itemprop") == "articleBody",
@@ -252,14 +271,14 @@ def main_text(root: Element, drop: frozenset[int] = frozenset(), kept: frozenset
         lambda n: n.tag == "#root",
     ):
         found: list[Element] = []
-        _find(root, wanted, drop, kept, found)
+        _find(root, wanted, drop, kept, found, hints)
         if wanted(root):
             found = [root]
         if found:
             out: list[str] = []
             for node in found:
                 out.append(" ")
-                _text_into(node, out, drop, kept, node.tag in ("article", "main"))
+                _text_into(node, out, drop, kept, node.tag in ("article", "main"), hints)
             text = " ".join("".join(out).split())
             if text or found == [root]:
                 return text
@@ -300,6 +319,57 @@ def subtree_hashes(root: Element, kept: frozenset[int]) -> list[tuple[int, bool,
     return [x for x in found if id(x[2]) not in kept] if marked else found
 
 
+def _shape_of(node: Element) -> str:
+    attrs = node.attributes() if node.attrs else {}
+    names = " ".join(sorted(f"{attrs.get('class', '')} {attrs.get('id', '')}".split()))
+    return f"{node.tag} {DIGITS.sub('', names)} {' '.join(sorted(attrs))}"
+
+
+#: Where a shaped subtree stands: beside the main element, inside it, or it is that element.
+BESIDE, INSIDE, MAIN = 0, 1, 2
+
+
+def subtree_shapes(root: Element, kept: frozenset[int]) -> list[tuple[int, int, bool, int, Element]]:
+    """(shape, place, hinted, characters, element) of the page's block subtrees with text. Inline elements are text to a shape."""
+    todo: list[tuple[Element, bool, bool, bool]] = [(root, False, False, False)]
+    done: dict[int, tuple[bytes, int]] = {}
+    found = []
+    while todo:
+        node, inside, in_article, entered = todo.pop()
+        if not entered:
+            todo.append((node, inside, in_article, True))
+            within = inside or id(node) in kept and node.tag not in FRAME
+            article = in_article or node.tag in ("article", "main")
+            todo += [(c, within, article, False) for c in node.children if not isinstance(c, str) and c.tag not in RAW]
+            continue
+        parts, size = [], 0
+        for child in node.children:
+            if isinstance(child, str):
+                n = len(child) if child and not child.isspace() else 0
+                part = b"T" if n else b""
+            elif child.tag in RAW:
+                continue
+            else:
+                part, n = done.pop(id(child))
+            size += n
+            if part and (not parts or parts[-1] != part):
+                parts.append(part)
+        block = node.tag in BLOCK or node.tag in HASHED - INLINE
+        if not size:
+            done[id(node)] = b"", 0
+        elif not block and all(p == b"T" for p in parts):
+            done[id(node)] = b"T", size
+        else:
+            h = xxhash.xxh64(_shape_of(node))
+            for part in parts:
+                h.update(b"\x01" + part)
+            done[id(node)] = h.digest(), size
+            if block and node.tag not in FRAME:
+                place = MAIN if id(node) in kept else INSIDE if inside else BESIDE
+                found.append((_signed(h.intdigest()), place, is_hinted(node, in_article), size, node))
+    return found
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -308,9 +378,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+SHAPE = "shape: long, place: int, hinted: boolean, part: double"
+
+
 def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("shape", pa.int64()), ("place", pa.int32()), ("hinted", pa.bool_()), ("part", pa.float64())]))
     for batch in batches:
-        keys, beside, within = [], [], []
+        keys, beside, within, shapes = [], [], [], []
         for source in batch.column("html").to_pylist():
             root = parse(source or "")
             kept = kept_elements(root)
@@ -318,16 +392,26 @@ def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(_signed(xxhash.xxh64_intdigest(main_text(root, kept=kept).encode("utf-8", "surrogatepass"))))
             within.append(sorted({h for h, inside, _ in found if inside}))
             beside.append(sorted({h for h, inside, _ in found if not inside}))
+            shaped = subtree_shapes(root, kept)
+            whole = max((size for *_, size, _ in shaped), default=1) or 1
+            held: dict[tuple, float] = {}
+            for shape, place, hinted, size, _ in shaped:
+                if place != INSIDE or hinted:
+                    held[shape, place, hinted] = held.get((shape, place, hinted), 0.0) + size / whole
+            shapes.append([{"shape": a, "place": b, "hinted": c, "part": n} for (a, b, c), n in held.items()])
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (beside, within)]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), *lists], ["host", "page_key", "beside", "inside"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), *lists, pa.array(shapes, kind)], ["host", "page_key", "beside", "inside", "shapes"])
 
 
-def site_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 10, beside_share: float = 0.02, beside_pages: int = 3) -> DataFrame:
-    """host, templates, inner: hashes of the subtrees that recur across a host's pages, beside and inside the main element.
+def site_templates(
+    pages: DataFrame, *, share: float = 0.6, min_pages: int = 10, beside_share: float = 0.02, beside_pages: int = 3, most_part: float = 0.5, hint_pages: int = 2, hint_all: int = 3
+) -> DataFrame:
+    """host, templates, inner, shapes, hints: what recurs across a host's pages, and whether hints are enough there.
 
-    Of either kind there are at most (subtrees a page) / share of them a host.
+    templates, inner: hashes by content of subtrees beside and inside the main element; shapes: hashes by shape. Of any
+    kind there are at most (subtrees a page) / share of them a host, and of hinted shapes those that the host has.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_emit_hashes, "host string, page_key long, beside array<long>, inside array<long>")
+    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_emit_hashes, f"host string, page_key long, beside array<long>, inside array<long>, shapes array<struct<{SHAPE}>>")
     seen = materialize(seen, "page-hashes")
     sizes = seen.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     # Copies of a page have one key but may have blocks of their own.
@@ -337,26 +421,59 @@ def site_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 10,
     known = counts.join(sizes, "host").where(
         F.when(F.col("inside"), (F.col("n") >= min_pages) & (F.col("n") >= share * F.col("n_pages"))).otherwise((F.col("n") >= beside_pages) & (F.col("n") >= beside_share * F.col("n_pages")))
     )
-    return known.groupBy("host").agg(F.collect_list(F.when(~F.col("inside"), F.col("hash"))).alias("templates"), F.collect_list(F.when(F.col("inside"), F.col("hash"))).alias("inner"))
+    known = known.groupBy("host").agg(F.collect_list(F.when(~F.col("inside"), F.col("hash"))).alias("templates"), F.collect_list(F.when(F.col("inside"), F.col("hash"))).alias("inner"))
+    one = seen.select("host", "page_key", F.inline("shapes")).groupBy("host", "page_key", "shape").agg(F.max((F.col("place") == MAIN).cast("int")).alias("main"), F.max("hinted").alias("hinted"), F.max("part").alias("part"))
+    shaped = one.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("main").alias("n_main"), F.max("hinted").alias("hinted"), F.avg("part").alias("part"))
+    everywhere = shaped.where("hinted").groupBy("shape").agg(F.sum("n").alias("n_all"))
+    rare, regular = F.col("n_main") <= 0.1 * F.col("n"), (F.col("n") >= min_pages) & (F.col("n") >= share * F.col("n_pages"))
+    hinted = F.col("hinted") & ((F.col("n") >= hint_pages) | (F.col("n_all") >= hint_all))
+    chosen = shaped.join(sizes, "host").where(F.col("n_pages") >= min_pages).join(everywhere, "shape", "left").where(hinted | (regular & rare & (F.col("part") <= most_part)))
+    chosen = chosen.groupBy("host").agg(F.collect_list("shape").alias("shapes"))
+    return sizes.join(known, "host", "left").join(chosen, "host", "left").select("host", "templates", "inner", "shapes", (F.col("n_pages") < min_pages).alias("hints"))
+
+
+def _without(root: Element, gone: frozenset[int]) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if any(id(c) in gone for c in node.children):
+            node.children = [c if id(c) not in gone else " " for c in node.children]
+        todo += [c for c in node.children if not isinstance(c, str)]
 
 
-def clean_page(source: str, templates: set[int], inner: set[int]) -> tuple[str, int]:
+def clean_page(source: str, templates: set[int], inner: set[int], shapes: set[int] | frozenset[int] = frozenset(), hints: bool = True) -> tuple[str, int]:
     """The main text of a page, and how many template subtrees were taken out of it."""
     root = parse(source)
-    kept, drop = kept_elements(root), frozenset()
+    kept, drop, n = kept_elements(root), frozenset(), 0
+    if shapes:
+        marked = any(x.tag == "article" or _is_main(x) for x in _elements(root) if id(x) in kept)
+        gone = [x for shape, place, _, _, x in subtree_shapes(root, kept) if shape in shapes and not (marked and place == MAIN)]
+        if gone:
+            held = frozenset(map(id, gone))
+            _without(root, held)
+            kept, n = kept_elements(root), len(held)
     if templates or inner:
         drop = frozenset(id(node) for h, inside, node in subtree_hashes(root, kept) if h in (inner if inside else templates))
-    return main_text(root, drop, kept), len(drop)
+    return main_text(root, drop, kept, hints), len(drop) + n
+
+
+def _elements(root: Element) -> Iterator[Element]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [c for c in node.children if not isinstance(c, str)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("html", "_templates", "_inner", "_shapes", "_hints")
     for batch in batches:
         texts, counts = [], []
-        for source, templates, inner in zip(*[batch.column(c).to_pylist() for c in ("html", "_templates", "_inner")], strict=True):
-            text, n = clean_page(source or "", set(templates or ()), set(inner or ()))
+        for source, templates, inner, shapes, hints in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+            text, n = clean_page(source or "", set(templates or ()), set(inner or ()), set(shapes or ()), hints is not False)
             texts.append(text)
             counts.append(n)
-        columns = {n: batch.column(n) for n in batch.schema.names if n not in ("html", "_templates", "_inner")}
+        columns = {n: batch.column(n) for n in batch.schema.names if n not in names}
         columns |= {"text": pa.array(texts, pa.string()), "n_templates": pa.array(counts, pa.int64())}
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -364,11 +481,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, **options) -> DataFrame:
     """pages with `html` replaced by `text` and `n_templates`, the subtrees taken out as templates.
 
-    Other columns stay as they are, `_host`, `_templates` and `_inner` excepted; a former `text` or `n_templates` is replaced.
+    Other columns stay as they are, `_host`, `_templates`, `_inner`, `_shapes` and `_hints` excepted; a former `text` or `n_templates` is replaced.
     """
-    pages = pages.drop("text", "n_templates", "_host", "_templates", "_inner")
+    pages = pages.drop("text", "n_templates", "_host", "_templates", "_inner", "_shapes", "_hints")
     known = materialize(site_templates(pages, **options), "site-templates")
     # A host may own most pages: the join is left to the optimizer, which broadcasts a small list and splits a skewed host.
-    known = known.withColumnsRenamed({"host": "_host", "templates": "_templates", "inner": "_inner"})
+    known = known.withColumnsRenamed({c: f"_{c}" for c in known.columns})
     joined = pages.withColumn("_host", host_of(F.col("url"))).join(known, "_host", "left").drop("_host")
     return joined.mapInArrow(_extract, extended(pages.drop("html"), text="string", n_templates="long"))
