@@ -95,12 +95,13 @@ def gfa_scan(spark: SparkSession, sf: str) -> DataFrame:
     ref = T.reference_walk(spark, sf).select(F.col("contig").alias("path_id"), "ord", "handle")
     side = lambda h: F.when(H.is_reverse(F.col(h)), "-").otherwise("+")
     edges = graph.canonical_edges(ref, long=True).select(F.concat_ws("\t", F.lit("L"), H.node_of(F.col("from_handle")).cast("string"), side("from_handle"), H.node_of(F.col("to_handle")).cast("string"), side("to_handle"), F.lit("0M")).alias("value"))
-    steps = ref.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(H.node_of(F.col("handle")).cast("string"), F.lit("+")).alias("s")))).alias("w"))
-    paths = steps.select(F.concat_ws("\t", F.lit("P"), "path_id", F.array_join(F.transform("w", lambda x: x["s"]), ","), F.lit("*")).alias("value"))
+    # A path is a line for each segment of it, named by its first place, so no line is as long as a contig.
+    cut = ref.withColumn("at", F.floor(F.col("ord") / 1024)).groupBy("path_id", "at").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(H.node_of(F.col("handle")).cast("string"), F.lit("+")).alias("s")))).alias("w"))
+    paths = cut.select(F.concat_ws("\t", F.lit("P"), F.concat("path_id", F.lit("["), (F.col("at") * 1024).cast("string"), F.lit("]")), F.array_join(F.transform("w", lambda x: x["s"]), ","), F.lit("*")).alias("value"))
     lines = nodes.union(edges).union(paths)
     s = gfa.segments(lines).agg(F.lit("S").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("total"))
     li = gfa.links(lines).agg(F.lit("L").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("to_handle").alias("total"))
-    p = gfa.path_steps(lines, r"Brand#1\d*").agg(F.lit("P").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("handle").alias("total"))
+    p = gfa.path_steps(lines, r"Brand#1\d*\[\d+\]").agg(F.lit("P").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("handle").alias("total"))
     return s.unionByName(li).unionByName(p)
 
 

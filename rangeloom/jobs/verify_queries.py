@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, intervals, measures, summary, validation, walks
+from ..operators import audit, digests, intervals, measures, summary, validation, walks
 from ..sources import archive
 from ..sources import tables as T
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, shared_folder
 from . import sql as S
 from .archive_queries import _tiles, _visits
-from .index_queries import _COUNTERS, _SUMMARY, _loci, _pyramid
+from .index_queries import _COUNTERS, _LOCI, _SUMMARY, _loci, _pyramid
 from .walk_queries import event_walks
 
 TILE = "manifest_id long, bucket_id long, tile_index long, core_start long, core_end long, payload string, digest string, size long"
@@ -35,9 +35,12 @@ def tile_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str) -> DataFrame:
-    """The archive's tiles, written by manifest and bucket and read back."""
-    path = _path(spark, "archive")
-    archive.publish({"tiles": (tile_payloads(spark, sf), ["manifest_id", "bucket_id"])}, path)
+    """The archive's tiles, written by manifest and bucket once a session, and read back."""
+
+    def write(path: str) -> None:
+        archive.publish({"tiles": (tile_payloads(spark, sf), ["manifest_id", "bucket_id"])}, path)
+
+    path = shared_folder(spark, "archive", [T.read(spark, sf, "part")], write)
     return archive.load(spark, path, "tiles", TILE)
 
 
@@ -160,10 +163,25 @@ def provenance_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def identity_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the membership's source digest is the archive's, by contig; the contigs that end in 3 name another source."""
-    own = T.reference_walk(spark, sf).groupBy("contig").agg(F.sha2(F.concat_ws("|", "contig", F.count(F.lit(1)).cast("string"), F.sum("handle").cast("string")), 256).alias("sha"))
-    held = own.select("contig", F.when(F.col("contig").endswith("3"), F.sha2("contig", 256)).otherwise(F.col("sha")).alias("identity"))
-    return own.join(held, "contig").select("contig", (F.col("sha") == F.col("identity")).alias("same_source"))
+    """Whether the digest that the membership files name as their source is the archive's, by contig; both are written and read.
+
+    The membership of the contigs that end in 3 was built from a walk that lacks its last visit.
+    """
+    ref = T.reference_walk(spark, sf)
+
+    def write(path: str) -> None:
+        def told(walk: DataFrame) -> DataFrame:
+            return digests.tree_digest(walk, ["contig"], "ord", F.col("handle").cast("string")).select("contig", "digest")
+
+        last = ref.groupBy("contig").agg(F.max("ord").alias("_last"))
+        other = ref.join(last, "contig").where(~(F.col("contig").endswith("3") & (F.col("ord") == F.col("_last")))).drop("_last")
+        told(ref).write.parquet(f"{path}/archive")
+        told(other).write.parquet(f"{path}/members")
+
+    path = shared_folder(spark, "identities", [T.read(spark, sf, "part")], write)
+    own, named = (spark.read.schema("contig string, digest string").parquet(f"{path}/{n}") for n in ("archive", "members"))
+    both = audit.pairing(own, named, ["contig"], ["digest"])
+    return both.select("contig", (F.col("status") == "same").alias("same_source"))
 
 
 def tile_memberships(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +229,7 @@ def topology_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def display_refusal(spark: SparkSession, sf: str) -> DataFrame:
-    """What a display of each ship mode's parts and lines would have to cut."""
+    """What a display of the parts and lines of each line number would have to cut."""
     line = T.read(spark, sf, "lineitem")
     seen = line.groupBy(F.col("l_linenumber").alias("view")).agg(F.countDistinct("l_partkey").alias("groups"), F.count(F.lit(1)).alias("edges"))
     return seen.select("view", F.coalesce(validation.display_refusal(F.col("groups"), F.col("edges")), F.lit("shown")).alias("message"))
@@ -302,7 +320,7 @@ QUERIES = {
     "summary_contiguity": (summary_contiguity, f"WITH {S.REFERENCE} SELECT manifest_id, w AS bin_start FROM (SELECT *, lag(w) OVER (PARTITION BY manifest_id ORDER BY w) AS p FROM tiles WHERE tile_index % 7 <> 3) WHERE w - p <> 64"),
     "summary_files": (summary_files, f"WITH {_SUMMARY} SELECT level, count(*) AS bins, {_COUNTERS} FROM pyramid GROUP BY level"),
     "membership_files": (membership_files, f"WITH {S.EVENT_GROUPS}, {_GROUPS} SELECT tile_id // 28 AS week, count(*) AS memberships, sum(multiplicity)::BIGINT AS occurrences, count(DISTINCT (tile_id, walk)) AS groups, count(DISTINCT path_id) AS paths FROM member GROUP BY ALL"),
-    "locus_pages": (locus_pages, None),
+    "locus_pages": (locus_pages, f"WITH {_LOCI} SELECT normalized_key, count(*) AS records, 1 AS pages FROM loci GROUP BY normalized_key"),
     "workload_file": (workload_file, "SELECT contig, problem, count(*) AS queries, count(*) FILTER (WHERE k % 5 <> 0) AS hashes FROM (SELECT o_orderpriority AS contig, o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'version' WHEN (o_orderkey % 5 <> 0) = (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) THEN 'expectation' WHEN o_orderkey % 4 = 0 THEN 'interval' ELSE 'none' END AS problem FROM orders) GROUP BY ALL"),
     "catalog_file": (catalog_file, f"WITH {S.PATHS} SELECT sample, count(*) AS paths, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey = p.path_id - 1)) AS starts, max(canonical_name) AS last_name FROM paths p GROUP BY sample"),
     "query_validation": (query_validation, "SELECT k AS o_orderkey, CASE WHEN k % 11 = 0 THEN 'empty name' WHEN k % 13 = 0 AND k % 97 < 50 THEN 'not a safe integer' WHEN k % 97 + k % 5 <= k % 97 - CASE WHEN k % 13 = 0 THEN 50 ELSE 0 END THEN 'empty interval' WHEN k % 3 = 0 AND k % 140 > 100 THEN 'context too wide' ELSE 'none' END AS problem FROM (SELECT o_orderkey AS k FROM orders)"),

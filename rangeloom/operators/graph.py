@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import handles as H
 from ..sources.scratch import materialize
 from .intervals import overlap_join
-from .ordered import prefix_sums
+from .ordered import in_blocks, neighbour, prefix_sums, running_count, same_keys
 
 
 def canonical_edges(walks: DataFrame, *, long: bool = False) -> DataFrame:
@@ -221,11 +221,14 @@ def collapsed_chains(visits: DataFrame, keys: list[str], *, most: int = 64) -> D
 
     visits: keys, ord, chain (what must stay equal). Adds `run` and `part`.
     """
-    by = Window.partitionBy(*keys).orderBy("ord")
-    changed = visits.withColumn("_new", F.when(F.lag("chain").over(by).eqNullSafe(F.col("chain")), 0).otherwise(1))
-    numbered = changed.withColumn("run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
-    inside = Window.partitionBy(*keys, "run").orderBy("ord")
-    return numbered.withColumn("part", F.floor((F.row_number().over(inside) - 1) / most))
+    cut = neighbour(in_blocks(visits, "ord"), keys, ["ord"], "chain", "_before")
+    first = neighbour(cut, keys, ["ord"], "ord", "_previous")
+    changed = first.withColumn("_new", F.when(F.col("_previous").isNotNull() & F.col("_before").eqNullSafe(F.col("chain")), 0).otherwise(1)).drop("_before", "_previous")
+    numbered = running_count(changed, keys, ["ord"], F.col("_new")).withColumnRenamed("_count", "run")
+    placed = running_count(numbered, keys, ["ord"], F.lit(1)).withColumnRenamed("_count", "_place")
+    starts = placed.where(F.col("_new") == 1).select(*keys, "run", F.col("_place").alias("_start"))
+    held = same_keys(placed, starts, [*keys, "run"])
+    return held.withColumn("part", F.floor((F.col("_place") - F.col("_start")) / most)).drop("_new", "_block", "_place", "_start")
 
 
 def payload_size(nodes: Column, sequence: Column, edges: Column, records: Column, record_bytes: Column) -> Column:

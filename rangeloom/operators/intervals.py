@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from .chains import reached_heads
-from .ordered import coalesced, prefix_sums, running_count, running_reach, same_keys
+from .ordered import coalesced, in_blocks, neighbour, prefix_sums, running_count, running_reach, same_keys
 
 
 def tile_references(manifests: DataFrame) -> DataFrame:
@@ -157,14 +157,18 @@ def coalesce_capped(ranges: DataFrame, keys: Sequence[str], *, gap: int, cap: in
 def limit_ranges(ranges: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """Merges the neighbours with the smallest gaps until each key has at most `most` ranges; ties by position.
 
-    ranges are disjoint. Merging two neighbours changes no other gap, so the n - most smallest gaps are chosen at once.
+    ranges are disjoint. Merging two neighbours changes no other gap, so the most - 1 largest gaps of a key are all that
+    stays open: the largest of each block first, then of those.
     """
-    by = Window.partitionBy(*keys).orderBy("start")
-    spaced = ranges.withColumn("_gap", F.col("start") - F.lag("end").over(by)).withColumn("_at", F.row_number().over(by))
-    ranked = spaced.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_gap").asc_nulls_last(), "_at"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    opened = ranked.withColumn("_opens", F.when(F.col("_gap").isNull() | (F.col("_rank") > F.col("_n") - most), 1).otherwise(0))
-    numbered = opened.withColumn("_run", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("members")).drop("_run")
+    spaced = running_reach(ranges, keys, "start", "end").withColumn("_gap", F.col("start") - F.col("_reach"))
+    largest = (F.col("_gap").desc(), F.col("start").desc())
+    wide = spaced.where(F.col("_gap").isNotNull()).select(*keys, "_block", "start", "_gap")
+    wide = wide.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*largest))).where(F.col("_rank") < most)
+    wide = wide.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*largest))).where(F.col("_rank") < most)
+    opening = wide.select(*keys, "start", F.lit(True).alias("_opens")).unionByName(spaced.where(F.col("_gap").isNull()).select(*keys, "start", F.lit(True).alias("_opens")))
+    marked = same_keys(spaced, opening.select(*keys, "start", "_opens"), [*keys, "start"], how="left")
+    numbered = running_count(marked, keys, ["start", "end"], F.when(F.col("_opens"), 1).otherwise(0))
+    return numbered.groupBy(*keys, "_count").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("members")).drop("_count")
 
 
 def union_length(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -186,9 +190,10 @@ def exclusive_union(spans: DataFrame, keys: Sequence[str], wanted: Column) -> Da
     marked = spans.withColumn("_want", F.when(wanted, 1).otherwise(0))
     points = marked.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.col("_want").alias("want"), (1 - F.col("_want")).alias("block")), F.struct(F.col("end").alias("at"), (-F.col("_want")).alias("want"), (F.col("_want") - 1).alias("block")))).alias("p"))
     steps = points.groupBy(*keys, F.col("p.at").alias("at")).agg(F.sum("p.want").alias("want"), F.sum("p.block").alias("block"))
-    by = Window.partitionBy(*keys).orderBy("at")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = steps.withColumn("open", F.sum("want").over(upto)).withColumn("blocked", F.sum("block").over(upto)).withColumn("next", F.lead("at").over(by))
+    steps = in_blocks(materialize(steps, "sweep"), "at")
+    swept = neighbour(steps, keys, ["at"], "at", "next", after=True)
+    swept = running_count(swept, keys, ["at"], F.col("want")).withColumnRenamed("_count", "open")
+    swept = running_count(swept, keys, ["at"], F.col("block")).withColumnRenamed("_count", "blocked")
     return swept.groupBy(*keys).agg(F.coalesce(F.sum(F.when((F.col("open") > 0) & (F.col("blocked") == 0), F.col("next") - F.col("at"))), F.lit(0)).alias("exclusive"))
 
 

@@ -23,13 +23,13 @@ def prefix_sums(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
     return summed.join(starts, [*keys, "_block"]).withColumn("before", F.col("_start") + F.col("_within")).drop("_block", "_value", "_start", "_within")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys, of which nulls are equal; right's keys go."""
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys, of which nulls are equal; right's keys go."""
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-    return left.join(right, cond).drop(*[f"_right_{k}" for k in keys])
+    return left.join(right, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def in_blocks(rows: DataFrame, start: str, blocks: int = 1024) -> DataFrame:
@@ -64,6 +64,22 @@ def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], co
     return same_keys(held, starts, [*keys, "_block"]).withColumn("_count", F.col("_start") + F.sum("_counted").over(inside)).drop("_counted", "_start")
 
 
+def neighbour(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, *, after: bool = False) -> DataFrame:
+    """Adds `name`: the value of the row before (or after) in the same keys, in order; null at the end. Over the blocks of `_block`.
+
+    A row looks within its block; the first (or last) row of a block takes what the nearest block before (or after) it
+    ends (or begins) with, which a row a block carries on.
+    """
+    sort = [F.col(c).desc() if after else F.col(c).asc() for c in order]
+    inside = Window.partitionBy(*keys, "_block").orderBy(*sort)
+    edge = F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))
+    ends = rows.groupBy(*keys, "_block").agg((F.min(edge) if after else F.max(edge)).alias("_edge"))
+    across = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if after else F.col("_block").asc())
+    ends = ends.withColumn("_beyond", F.lag("_edge").over(across)["_v"]).drop("_edge")
+    held = rows.withColumn("_first", F.row_number().over(inside) == 1).withColumn(name, F.lag(value).over(inside))
+    return same_keys(held, ends, [*keys, "_block"]).withColumn(name, F.when(F.col("_first"), F.col("_beyond")).otherwise(F.col(name))).drop("_first", "_beyond")
+
+
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 0) -> DataFrame:
     """Adds `island`: numbers runs of intervals in which each starts at most `gap` after all earlier ones end."""
     reached = running_reach(rows, keys, start, end)

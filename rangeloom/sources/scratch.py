@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-#: Tables written once a session, by what they were made of.
+#: Paths written once a session, and their schemas, by what they were made of.
 _SHARED: dict[tuple, tuple] = {}
 
 
@@ -37,14 +38,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
-def shared(spark: SparkSession, name: str, sources: Sequence[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries of a session need, written by the first of them: as long as the sources' files are the same."""
+def _held(spark: SparkSession, name: str, sources: Sequence[DataFrame], write: Callable[[str], object]) -> tuple[str, object]:
     files = tuple(sorted(f for s in sources for f in s.inputFiles()))
     key = (spark.sparkContext.applicationId, scratch_dir(spark), name, hash(files))
-    path, schema = _SHARED.get(key, (None, None))
-    if path is None or not _exists(spark, path):
+    if key not in _SHARED or not _exists(spark, _SHARED[key][0]):
+        path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _SHARED[key] = (path, write(path))
+    return _SHARED[key]
+
+
+def shared_folder(spark: SparkSession, name: str, sources: Sequence[DataFrame], write: Callable[[str], object]) -> str:
+    """A folder that several queries of a session read, written by the first of them: as long as the sources' files are the same."""
+    return _held(spark, name, sources, write)[0]
+
+
+def shared(spark: SparkSession, name: str, sources: Sequence[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session need, as shared_folder has it."""
+
+    def write(path: str) -> StructType:
         made = make()
-        path, schema = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", made.schema
         made.write.parquet(path)
-        _SHARED[key] = (path, schema)
+        return made.schema
+
+    path, schema = _held(spark, name, sources, write)
     return spark.read.schema(schema).parquet(path)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.operators import digests, measures, validation
+from rangeloom.operators import digests, graph, intervals, measures, validation
+from rangeloom.operators.ordered import in_blocks, neighbour
 
 
 @pytest.mark.parametrize("kind", ["long", "double"])
@@ -83,3 +84,48 @@ def test_graph_faults_name_what_differs(spark):
     assert got == {
         1: (1, "4,6", 1, 0, 0, 0), 2: (2, "2,4,6", 2, 1, 0, 2), 3: (1, "4,6", 1, 2, 0, 0), 5: (2, "2,4,6", 2, 0, 2, 0),
     }
+
+
+def test_neighbours_across_blocks(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", None]), i, rng.choice([None, i * 7])) for i in sorted(rng.sample(range(10**6), 700))]
+    df = in_blocks(spark.createDataFrame(rows, "k string, at long, v long").repartition(5), "at")
+    got = {(r.k, r.at): (r.p, r.n) for r in neighbour(neighbour(df, ["k"], ["at"], "v", "p"), ["k"], ["at"], "v", "n", after=True).collect()}
+    for key in ("hot", None):
+        held = [(a, v) for k, a, v in rows if k == key]
+        assert all(got[key, a] == (held[i - 1][1] if i else None, held[i + 1][1] if i + 1 < len(held) else None) for i, (a, _) in enumerate(held))
+
+
+@pytest.mark.parametrize("most", [1, 2, 9, 10**4])
+def test_fewest_ranges_of_a_hot_key(spark, most):
+    rng = random.Random(most)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([1, 2, 2, 5, 40])
+        rows.append(("hot" if i % 20 else None, at, at + 1))
+        at += 1
+    got = sorted((str(r.k), r.start, r.end, r.members) for r in intervals.limit_ranges(spark.createDataFrame(rows, "k string, start long, end long").repartition(6), ["k"], most).collect())
+    expected = []
+    for key in ("hot", None):
+        held = [(s, e) for k, s, e in rows if k == key]
+        gaps = sorted(range(1, len(held)), key=lambda i: (held[i][0] - held[i - 1][1], i))
+        cuts = sorted(gaps[len(gaps) - most + 1 :] if most > 1 else [])
+        for a, b in zip([0, *cuts], [*cuts, len(held)]):
+            expected.append((str(key), held[a][0], held[b - 1][1], b - a))
+    assert got == sorted(expected)
+
+
+def test_exclusive_length_and_chains_of_a_hot_key(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", None]), s := rng.randrange(4000), s + rng.randrange(1, 12), rng.random() < 0.5) for _ in range(500)]
+    got = {r.k: r.exclusive for r in intervals.exclusive_union(spark.createDataFrame(rows, "k string, start long, end long, w boolean"), ["k"], F.col("w")).collect()}
+    for key in ("hot", None):
+        cover = lambda w: {x for k, s, e, m in rows if k == key and m == w for x in range(s, e)}  # noqa: E731, B023
+        assert got[key] == len(cover(True) - cover(False))
+    visits = [("hot", i * 11, rng.choice([0, 0, 0, 1, None])) for i in range(800)] + [(None, 5, 1)]
+    held = graph.collapsed_chains(spark.createDataFrame(visits, "k string, ord long, chain int").repartition(5), ["k"], most=3).collect()
+    run, place, expected, before = 0, 0, {}, object()
+    for _, at, chain in visits[:-1]:
+        run, place = (run, place + 1) if chain == before else (run + 1, 0)
+        before, expected[at] = chain, (run, place // 3)
+    assert {r.ord: (r.run, r.part) for r in held if r.k} == expected
