@@ -160,6 +160,7 @@ def limit_ranges(ranges: DataFrame, keys: Sequence[str], most: int) -> DataFrame
     ranges are disjoint. Merging two neighbours changes no other gap, so the most - 1 largest gaps of a key are all that
     stays open: the largest of each block first, then of those.
     """
+    ranges = materialize(ranges, "ranges")
     spaced = running_reach(ranges, keys, "start", "end").withColumn("_gap", F.col("start") - F.col("_reach"))
     largest = (F.col("_gap").desc(), F.col("start").desc())
     wide = spaced.where(F.col("_gap").isNotNull()).select(*keys, "_block", "start", "_gap")
