@@ -143,7 +143,8 @@ def price(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], to
 def _price_task(key: tuple, rows: pa.Table) -> pa.Table:
     lang, a, b, block = (k.as_py() for k in key)
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    held = {r["source"]: (np.array(r["ids"], np.int64), np.array(r["counts"], np.int64)) for r in rows.select(["source", "ids", "counts"]).to_pylist()}
+    arrays = [[x.values.to_numpy() for x in rows.column(c)] for c in ("ids", "counts")]  # a scalar's values are a slice, not a copy
+    held = dict(zip(rows.column("source").to_pylist(), zip(*arrays, strict=True), strict=True))
     first = {n: rows.column(n)[0].as_py() for n in ("total_a", "total_b", "kept")}
     value, met = price(held.get(a, empty), held.get(b, empty), first["total_a"], first["total_b"], first["kept"])
     return pa.table({"lang": [lang], "a": [a], "b": [b], "value": pa.array([value], pa.int64()), "met": pa.array([met], pa.int64())})
