@@ -138,6 +138,36 @@ def catalog_file(spark: SparkSession, sf: str) -> DataFrame:
     return held.groupBy("sample").agg(F.count(F.lit(1)).alias("paths"), F.count_if(F.col("_follows").isNull()).alias("starts"), F.max("canonical_name").alias("last_name"))
 
 
+def prepared_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """Prepared memberships of the event tiles, spoilt by tile number, written as JSON lines, read again and checked.
+
+    Of seven tiles one has wrong weights, one ids beyond the catalog, one no walks, one is missing, one ends late and one
+    has wrong numbers of paths. The catalog lacks every fiftieth user and declares a path too many.
+    """
+    m = walks.memberships(event_walks(spark, sf))
+    kind, span = F.pmod("tile_id", F.lit(7)), T.EVENT_TILE_MS
+    none = F.array().cast("array<long>")
+
+    def told(rows: DataFrame) -> DataFrame:
+        placed = rows.where(kind != 4).withColumn("start", F.col("tile_id") * span).withColumn("end", F.col("start") + span + F.when(kind == 5, 1).otherwise(0))
+        return placed.withColumn("walk", F.when((kind == 3) & (F.col("walk")[0] % 4 == 2), none).otherwise(F.col("walk")))
+
+    groups = walks.membership_groups(m).withColumn("weight", F.col("occurrence_weight") + F.when(kind == 1, 1).otherwise(0)).withColumn("unique_paths", F.col("unique_path_count") + F.when(kind == 6, 1).otherwise(0))
+    members = m.withColumn("path_id", F.col("path_id") + F.when(kind == 2, 1 << 40).otherwise(0))
+    users = T.read(spark, sf, "events").where(F.col("user_id").isNotNull()).select(F.col("user_id").alias("path_id")).distinct().where(F.col("path_id") % 50 != 49)
+    path = _path(spark, "prepared")
+    lines = archive.prepared_lines(
+        users.withColumn("canonical_name", F.concat(F.lit("user#"), F.col("path_id").cast("string"))),
+        told(groups).where(F.size("walk") > 0).select("start", "end", "walk", "weight", "unique_paths"),
+        told(members).where(F.size("walk") > 0).select("start", "end", "walk", "path_id", "multiplicity", "reversed"),
+        spare=1,
+    )
+    bare = told(groups).where(F.size("walk") == 0).select(F.lit("group").alias("type"), "start", "end", "walk", "weight", "unique_paths")
+    archive.write_json(lines.unionByName(bare, allowMissingColumns=True), path)
+    tiles = T.event_visits(spark, sf).select((F.col("tile_id") * span).alias("start"), ((F.col("tile_id") + 1) * span).alias("end")).distinct()
+    return archive.prepared_problems(archive.read_prepared(spark, path), tiles)
+
+
 def query_validation(spark: SparkSession, sf: str) -> DataFrame:
     """What is wrong with a query made of each order."""
     o, k = T.read(spark, sf, "orders"), F.col("o_orderkey")
@@ -311,7 +341,19 @@ def _xorshift(source: str, x: str, out: str) -> str:
     )
 
 
+_PREPARED = f"""WITH {S.EVENT_GROUPS}, g AS (SELECT tile_id, tile_id % 7 AS k, tile_id * 21600000 AS s, (tile_id + 1) * 21600000 AS e, walk, tile_id % 7 = 3 AND walk[1] % 4 = 2 AS bare FROM (SELECT DISTINCT tile_id, walk FROM canonical)),
+users AS (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 50 <> 49),
+held AS (SELECT c.tile_id, path_id FROM (SELECT DISTINCT tile_id, walk, path_id, is_reversed FROM canonical) c JOIN g ON g.tile_id = c.tile_id AND g.walk = c.walk WHERE NOT bare AND k <> 4 AND (k = 2 OR path_id NOT IN (SELECT u FROM users)))
+SELECT NULL::BIGINT AS "start", NULL::BIGINT AS "end", 'paths are not as many as declared' AS problem, 1 AS n
+UNION ALL SELECT NULL, NULL, 'path id does not follow', count(*) FROM users WHERE u <> 0 AND u - 1 NOT IN (SELECT u FROM users) HAVING count(*) > 0
+UNION ALL SELECT DISTINCT s, e + 1, 'tile is not in the graph', 1 FROM g WHERE k = 5
+UNION ALL SELECT DISTINCT s, e, 'tile is missing', 1 FROM g WHERE k IN (4, 5)
+UNION ALL SELECT s, e, 'empty walk', count(*) FROM g WHERE bare GROUP BY s, e
+UNION ALL SELECT tile_id * 21600000, (tile_id + 1) * 21600000 + CASE WHEN tile_id % 7 = 5 THEN 1 ELSE 0 END, 'path is not in the catalog', count(*) FROM held GROUP BY tile_id
+UNION ALL SELECT s, e, CASE k WHEN 1 THEN 'weight differs' ELSE 'number of paths differs' END, count(*) FROM g WHERE k IN (1, 6) GROUP BY s, e, k"""
+
 QUERIES = {
+    "prepared_membership": (prepared_membership, _PREPARED),
     "archive_round_trip": (archive_round_trip, f"WITH {_PAYLOADS} SELECT manifest_id, bucket_id, count(*) AS tiles, sum(strlen(payload))::BIGINT AS bytes, sha256(string_agg(sha256(payload), ',' ORDER BY tile_index)) AS digest FROM payloads GROUP BY ALL"),
     "digest_check": (digest_check, f"WITH {_PAYLOADS} SELECT manifest_id, count(*) AS tiles, 0::BIGINT AS faults FROM payloads GROUP BY ALL"),
     "corrupt_matrix": (corrupt_matrix, f"""WITH {_PAYLOADS} SELECT manifest_id, unnest(CASE tile_index % 13 WHEN 6 THEN [tile_index + 1000000] ELSE [tile_index] END) AS tile_index,
