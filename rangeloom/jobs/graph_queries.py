@@ -263,20 +263,9 @@ def payload_size(spark: SparkSession, sf: str) -> DataFrame:
 
 def adaptive_split(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 1,024 part keys, halved while they hold too many order lines; a window of 64 is never split."""
-    hits = T.read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    cap = 6000
-    todo = hits.withColumn("start", F.floor(F.col("key") / 1024) * 1024).withColumn("end", F.col("start") + 1024).withColumn("depth", F.lit(0))
-    for _ in range(4):  # 1024 / 2^4 = 64
-        total = F.sum("n").over(Window.partitionBy("start", "end"))
-        middle = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
-        over = F.col("_t") > cap
-        todo = (
-            todo.withColumn("_t", total).withColumn("_m", middle)
-            .withColumn("_s", F.when(over & (F.col("key") >= F.col("_m")), F.col("_m")).otherwise(F.col("start")))
-            .withColumn("end", F.when(over & (F.col("key") < F.col("_m")), F.col("_m")).otherwise(F.col("end")))
-            .withColumn("depth", F.col("depth") + F.when(over, 1).otherwise(0)).withColumn("start", F.col("_s")).drop("_t", "_m", "_s")
-        )
-    return todo.groupBy(F.col("start").alias("start_key"), F.col("end").alias("end_key"), "depth").agg(F.sum("n").alias("lines"))
+    lines = T.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"))
+    split = intervals.adaptive_windows(lines, "key", cap=6000)
+    return split.select(F.col("start").alias("start_key"), F.col("end").alias("end_key"), "depth", F.col("rows").alias("lines"))
 
 
 def fragment_islands(spark: SparkSession, sf: str) -> DataFrame:

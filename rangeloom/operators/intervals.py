@@ -215,3 +215,30 @@ def overlap_join(queries: DataFrame, spans: DataFrame, keys: Sequence[str], *, b
     filed = spans.where(F.col("start") < F.col("end")).withColumn("_block", F.explode(F.sequence(at("start"), until("end"))))
     met = asked.join(filed, [*keys, "_block"]).where((F.col("start") < F.col("q_end")) & (F.col("end") > F.col("q_start")))
     return met.where(F.col("_block") == F.greatest(at("q_start"), at("start"))).drop("_block")
+
+
+def adaptive_windows(rows: DataFrame, key: str, *, cap: int, widest: int = 1024, narrowest: int = 64) -> DataFrame:
+    """(start, end, depth, rows): windows of `widest` whole-number keys, halved while they hold over `cap` rows; one of `narrowest` is never split.
+
+    Rows are counted once into cells of the narrowest width, combined before the shuffle, and cells are rolled up level by
+    level. From the top down, windows over the cap pass on to their halves by a join on the window. So no task sees
+    the rows of a window, however hot, only two counts a window. Windows without rows are left out; rows without a key take no part.
+    """
+    cells = rows.where(F.col(key).isNotNull()).groupBy(F.floor(F.col(key) / narrowest).cast("long").alias("w")).agg(F.count(F.lit(1)).alias("rows"))
+    levels = [materialize(cells, "cells")]
+    depths = (widest // narrowest).bit_length() - 1
+    if narrowest << depths != widest:
+        raise ValueError("widest must be narrowest times a power of two")
+    for _ in range(depths):
+        levels.insert(0, levels[0].groupBy(F.shiftright("w", 1).alias("w")).agg(F.sum("rows").alias("rows")))
+    found, due = [], levels[0]
+    for depth, width in enumerate(widest >> d for d in range(depths + 1)):
+        over = F.col("rows") > cap if depth < depths else F.lit(False)
+        found.append(due.where(~over).select((F.col("w") * width).alias("start"), ((F.col("w") + 1) * width).alias("end"), F.lit(depth).alias("depth"), "rows"))
+        if depth < depths:
+            split = due.where(over).select(F.col("w").alias("_parent"))
+            due = levels[depth + 1].join(split, F.shiftright("w", 1) == F.col("_parent"), "left_semi")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out

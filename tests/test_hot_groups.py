@@ -129,3 +129,24 @@ def test_exclusive_length_and_chains_of_a_hot_key(spark):
         run, place = (run, place + 1) if chain == before else (run + 1, 0)
         before, expected[at] = chain, (run, place // 3)
     assert {r.ord: (r.run, r.part) for r in held if r.k} == expected
+
+
+def test_adaptive_windows_with_one_hot_cell(spark):
+    """A third of all rows in one cell, negative keys, null keys and a window that ends exactly at the cap."""
+    rng = random.Random(13)
+    keys = [rng.randrange(-3000, 6000) for _ in range(1500)] + [77] * 800 + [5000 + i for i in range(100)] + [None] * 5
+    cap = 150
+
+    def split(start, width, depth):
+        n = sum(1 for k in keys if k is not None and start <= k < start + width)
+        if n > cap and width > 64:
+            return split(start, width // 2, depth + 1) + split(start + width // 2, width // 2, depth + 1)
+        return [(start, start + width, depth, n)] if n else []
+
+    expected = [w for start in range(-3072, 6144, 1024) for w in split(start, 1024, 0)]
+    df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(6)
+    got = [tuple(r) for r in intervals.adaptive_windows(df, "key", cap=cap).select("start", "end", "depth", "rows").collect()]
+    assert sorted(got) == sorted(expected) and any(n > cap for *_, n in got)
+    assert intervals.adaptive_windows(df.limit(0), "key", cap=cap).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        intervals.adaptive_windows(df, "key", cap=cap, narrowest=100)
