@@ -13,7 +13,9 @@ The plan is DataFrame operations only. Per document it moves four numbers, never
    boundary slice need no ordering; only the boundary slice, 1 / `slices` of a source, is sorted.
 
 Cases: null text and texts without words have size 0 and are taken 0 times; a null source is a source
-of its own, ordered last; repeated rows are documents of their own; an empty table gives no rows.
+of its own, ordered last; documents without an id are ordered by the hash of their source and text, so
+they spread over the slices as others do; repeated rows are documents of their own, and share their repetitions in any
+order; columns named as the plan's own (size, part, row and the like) keep their values; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +34,13 @@ def _slice(mark: Column, slices: int) -> Column:
     return F.shiftright(mark, _HASH_BITS - (slices.bit_length() - 1))
 
 
+def _mark(seed: int) -> Column:
+    nameless = F.concat(F.lit("null:"), F.coalesce("source", F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return seeded_hash(seed, F.coalesce(F.col("doc_id").cast("string"), nameless)).alias("mark")
+
+
 def size_documents(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_hash(seed, F.col("doc_id")).alias("mark"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark(seed))
 
 
 def fill_sources(sized: DataFrame, weights: Sequence[int], max_epochs: int, slices: int) -> DataFrame:
@@ -97,7 +104,7 @@ def mix_plan(
     sources = fill_sources(sized, weights, max_epochs, slices)
     rows = sized
     if carry:
-        rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_hash(seed, F.col("doc_id")).alias("mark"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+        rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark(seed), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     d, s = rows.alias("d"), sources.alias("s")
     joined = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *[F.col(f"s.{c}") for c in sources.columns if c != "source"])
     here = _slice(F.col("mark"), slices)
