@@ -55,8 +55,12 @@ def running_reach(rows: DataFrame, keys: Sequence[str], start: str, end: str) ->
 
 
 def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], counted: Column) -> DataFrame:
-    """Adds `_count`: the sum of `counted` up to each row, over the blocks of `_block` as running_reach leaves them."""
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Adds `_count`: the sum of `counted` up to each row, over the blocks of `_block` as running_reach leaves them.
+
+    Rows that tie in `order` get one sum, which takes in all of them: which of them came first in an earlier scan
+    is not told again by this one.
+    """
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     held = rows.withColumn("_counted", counted)
     totals = held.groupBy(*keys, "_block").agg(F.sum("_counted").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
