@@ -80,13 +80,17 @@ def haplotype_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = placed_walk(spark, sf_dir)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     step = F.when(F.row_number().over(order) == 1, 0).otherwise(1 + F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.lit(3)))
-    lines = line.select("l_orderkey", F.row_number().over(order).cast("long").alias("ord"), step.alias("step"), F.first("l_partkey").over(order).alias("anchor"), (F.col("l_quantity").cast("long") % 7 == 0).alias("turned"))
-    moved = Window.partitionBy("l_orderkey").orderBy("ord")
-    lines = lines.select(F.col("l_orderkey").alias("path_id"), "ord", "anchor", "turned", F.sum("step").over(moved).alias("moved"))
+    lines = line.withColumn("ord", F.row_number().over(order).cast("long")).withColumn("step", step).withColumn("anchor", F.first("l_partkey").over(order))
+    moved = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lines = lines.select(F.col("l_orderkey").alias("path_id"), "ord", "anchor", (F.col("l_quantity").cast("long") % 7 == 0).alias("turned"), moved.alias("moved"))
     lengths = placed.groupBy("contig").agg(F.count(F.lit(1)).alias("length"))  # a row a brand
-    anchors = placed.select(F.col("ord").alias("anchor"), "contig", F.col("place").alias("from"))
-    held = lines.join(anchors, "anchor").join(F.broadcast(lengths), "contig").withColumn("place", (F.col("from") + F.col("moved")) % F.col("length"))
-    held = held.join(placed.select("contig", "place", "node_id"), ["contig", "place"])
+    before = Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.withColumn("base", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    # Places of all contigs are numbered on, so lines go from shuffle to shuffle without the contig's name.
+    spots = placed.join(F.broadcast(lengths), "contig").select("ord", "node_id", "place", "base", "length")
+    anchors = spots.select(F.col("ord").alias("anchor"), F.col("place").alias("from"), "base", "length")
+    held = lines.join(anchors.hint("shuffle_hash"), "anchor").withColumn("spot", F.col("base") + (F.col("from") + F.col("moved")) % F.col("length"))
+    held = held.select("path_id", "ord", "turned", "spot").join(spots.select((F.col("base") + F.col("place")).alias("spot"), "node_id").hint("shuffle_hash"), "spot")
     return held.select("path_id", "ord", (F.col("node_id") * 2 + F.when(F.col("turned"), 1).otherwise(0)).alias("handle"), "node_id")
 
 
