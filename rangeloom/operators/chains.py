@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import discard, materialize
 
 
 def _jump(open_rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -99,12 +99,14 @@ def reached_heads(heads: DataFrame, jumps: DataFrame) -> DataFrame:
     jumps = materialize(jumps.where(F.col("next").isNotNull()).select("id", "next"), "chain-jumps")
     while True:
         found = known.join(jumps, "id").select(F.col("next").alias("id"))
-        known = materialize(known.unionByName(found).distinct(), "chain-heads")
+        before, known = known, materialize(known.unionByName(found).distinct(), "chain-heads")
+        discard(before)
         more = known.count()
         if more == count:
             return known
-        count = more
+        count, before = more, jumps
         jumps = materialize(jumps.join(jumps.select(F.col("id").alias("next"), F.col("next").alias("_next")), "next").select("id", F.col("_next").alias("next")), "chain-jumps")
+        discard(before)
 
 
 def successor_records(visits: DataFrame, occurrences: DataFrame, keys: Sequence[str]) -> DataFrame:

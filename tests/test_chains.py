@@ -86,3 +86,37 @@ def test_walks_from_records_are_the_stored_ones(spark):
     turned = records.withColumn("next_handle", F.coalesce("next_handle", "handle")).withColumn("next_occurrence", F.coalesce("next_occurrence", "occurrence"))
     with pytest.raises(ValueError, match="cycle"):
         chains.walks_from_records(turned, anchors, ["tile_id"], max_steps=1 << 8)
+
+
+def test_capped_merges_are_those_of_a_plain_scan(spark):
+    """Long ranges that cover later islands, cuts by the cap, copies; and the jumps that are followed are the cuts alone."""
+    for seed in range(2):
+        rng = random.Random(seed)
+        rows = []
+        for k in (None, 1, 2):
+            for _ in range(120):
+                s = rng.randrange(0, 900)
+                rows += [(k, s, s + rng.choice([1, 3, 9, 30, 200]))] * rng.choice([1, 1, 3])
+        want = []
+        for k in (None, 1, 2):
+            held = sorted((s, e) for key, s, e in rows if key == k)
+            at = None
+            for s, e in held:
+                if at and e - s <= 40 and at[1] - at[0] <= 40 and s <= at[1] + 4 and e <= at[0] + 40:
+                    at[1], at[2] = max(at[1], e), at[2] + 1
+                else:
+                    at = [s, e, 1]
+                    want.append((k, at))
+        df = spark.createDataFrame(rows, "k int, start long, end long").repartition(5)
+        for block_rows in (7, 20_000):
+            got = sorted(((r.k, r.start, r.end, r.members) for r in intervals.coalesce_capped(df, ["k"], gap=4, cap=40, block_rows=block_rows).collect()), key=repr)
+            assert got == sorted(((k, *m) for k, m in want), key=repr)
+
+
+def test_capped_merges_follow_only_cuts(spark, monkeypatch):
+    followed = []
+    monkeypatch.setattr(intervals, "reached_heads", lambda heads, jumps: followed.append(jumps.count()) or chains.reached_heads(heads, jumps))
+    df = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + F.when(F.col("id") < 5, 100).otherwise(10)).alias("end"))
+    got = sorted((r.start, r.end) for r in intervals.coalesce_capped(df, ["k"], gap=0, cap=250).collect())
+    assert got == [(0, 200), (200, 400), (400, 510), *((i * 100, i * 100 + 10) for i in range(6, 500))]
+    assert followed and max(followed) <= 6
