@@ -84,3 +84,25 @@ def test_long_orders_keep_their_places(spark, tmp_path):
     odd = [1, 3, 5, 7]
     want = [(1, n, odd[(3 + 2 * (n - 1)) % 4] + 1) for n in range(1, 9)]
     assert [g[:3] for g in got] == [*want, (2, 1, 3)] and got[-1][3] == 7
+
+
+def test_slices_deal_every_key_once(spark):
+    rows = spark.range(1000).select((F.col("id") % 90).alias("key"))
+    assert len(scratch.sliced(100, each=200)) == 1 and len(scratch.sliced(1000, each=200)) == 4 and len(scratch.sliced(500, each=200)) == 3
+    parts = [{r.key for r in of(rows).distinct().collect()} for of in scratch.sliced(1000, each=200)]
+    assert all(parts) and sum(map(len, parts)) == 90 and set().union(*parts) == set(range(90))
+
+
+def test_verified_regions_are_cut_to_their_first_tile(spark, monkeypatch):
+    """Tiles that overlap store a visit more than once; it is read once a region, so no more rows are dealt than the region has visits."""
+    from rangeloom.operators import regions
+
+    dealt = []
+    monkeypatch.setattr(regions, "region_runs", lambda held, runs=regions.region_runs: dealt.append(held.count()) or runs(held))
+    visits = spark.range(40).select(F.lit(1).alias("path_id"), F.col("id").alias("ord"), (F.col("id") * 2).alias("handle"), F.col("id").alias("node_id"))
+    tiles = spark.range(40).select(F.explode(F.sequence(F.greatest(F.col("id") - 9, F.lit(0)), F.col("id"))).alias("tile_id"), F.col("id").alias("node_id"))
+    pieces = regions.tile_pieces(tiles, visits)
+    chosen = spark.range(5, 35).where("id <> 20").select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node_id"))
+    got = regions.stitched_runs(pieces, tiles.select(F.lit(7).cast("long").alias("key"), "tile_id").distinct(), chosen).collect()
+    assert sorted((r.key, r.path_id, r.first_ord, len(r.walk)) for r in got) == [(7, 1, 5, 15), (7, 1, 21, 14)]
+    assert dealt[-1] == 29
